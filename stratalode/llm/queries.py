@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import distinctive, leaks, parsecheck, split
+from . import distinctive, leaks, parsecheck, secrets, split
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -27,6 +27,14 @@ def p3_scores(spark, d):
     return distinctive.score_terms(table(spark, d, "docs")).withColumn("z", F.round("z", 4))
 
 
+def p4_found(spark, d):
+    return secrets.secret_lines(table(spark, d, "docs"))
+
+
+def p4_redacted(spark, d):
+    return secrets.redacted(table(spark, d, "docs"))
+
+
 def p6_found(spark, d):
     return split.split_oversized(table(spark, d, "docs")).where("piece_no = 1").select("id")
 
@@ -44,7 +52,7 @@ def p8_passages(spark, d):
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_rates, p3_found, p3_scores, p6_found, p6_pieces, p8_found, p8_passages)
+    f.__name__: f for f in (p1_found, p1_rates, p3_found, p3_scores, p4_found, p4_redacted, p6_found, p6_pieces, p8_found, p8_passages)
 }
 
 _COUNTS = """
