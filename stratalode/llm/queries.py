@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import distinctive, leaks, parsecheck, secrets, split
+from . import distinctive, handwritten, leaks, parsecheck, secrets, split
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -19,6 +19,14 @@ def p1_rates(spark, d):
     return parsecheck.broken_rates(table(spark, d, "docs"), table(spark, d, "structural_files"))
 
 
+def p2_found(spark, d):
+    return handwritten.not_handwritten(table(spark, d, "docs"))
+
+
+def p2_reasons(spark, d):
+    return handwritten.classify(table(spark, d, "docs"))
+
+
 def p3_found(spark, d):
     return distinctive.score_terms(table(spark, d, "docs"), least_tf=5, most_df=3).select("id", "term")
 
@@ -52,7 +60,7 @@ def p8_passages(spark, d):
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_rates, p3_found, p3_scores, p4_found, p4_redacted, p6_found, p6_pieces, p8_found, p8_passages)
+    f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_reasons, p3_found, p3_scores, p4_found, p4_redacted, p6_found, p6_pieces, p8_found, p8_passages)
 }
 
 _COUNTS = """
