@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import distinctive, handwritten, leaks, parsecheck, secrets, split
+from . import distinctive, handwritten, leaks, neighbors, parsecheck, secrets, split
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -51,6 +51,16 @@ def p6_pieces(spark, d):
     return split.split_oversized(table(spark, d, "docs"))
 
 
+def p7_found(spark, d):
+    return neighbors.similar_pairs(table(spark, d, "docs"))
+
+
+def p7_search(spark, d):
+    """Every row whose id is divisible by 50, against all rows."""
+    docs = table(spark, d, "docs")
+    return neighbors.search(docs, docs.where("id % 50 = 0"))
+
+
 def p8_found(spark, d):
     return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
@@ -60,7 +70,7 @@ def p8_passages(spark, d):
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_reasons, p3_found, p3_scores, p4_found, p4_redacted, p6_found, p6_pieces, p8_found, p8_passages)
+    f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_reasons, p3_found, p3_scores, p4_found, p4_redacted, p6_found, p6_pieces, p7_found, p7_search, p8_found, p8_passages)
 }
 
 _COUNTS = """
