@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import distinctive, handwritten, leaks, neighbors, parsecheck, secrets, split
+from . import distinctive, handwritten, leaks, neighbors, parsecheck, pii, secrets, split
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -69,8 +69,16 @@ def p8_passages(spark, d):
     return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p10_found(spark, d):
+    return pii.items(table(spark, d, "documents"), table(spark, d, "contributors")).select("doc_id", "start_char", "kind")
+
+
+def p10_anonymised(spark, d):
+    return pii.anonymised(table(spark, d, "documents"), table(spark, d, "contributors"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_reasons, p3_found, p3_scores, p4_found, p4_redacted, p6_found, p6_pieces, p7_found, p7_search, p8_found, p8_passages)
+    f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_reasons, p3_found, p3_scores, p4_found, p4_redacted, p6_found, p6_pieces, p7_found, p7_search, p8_found, p8_passages, p10_found, p10_anonymised)
 }
 
 _COUNTS = """
