@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import distinctive, handwritten, leaks, neighbors, parsecheck, pii, secrets, split
+from . import distinctive, handwritten, leaks, mixing, neighbors, parsecheck, pii, secrets, split
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -69,6 +69,16 @@ def p8_passages(spark, d):
     return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p9_mix(spark, d):
+    """The chosen rows with their repeats, and beside each what its source reached."""
+    chosen, report = mixing.mixture(table(spark, d, "documents"), table(spark, d, "source_targets"))
+    return chosen.join(F.broadcast(report.select("source", "target_share", "reached_share")), "source")  # one row per source
+
+
+def p9_shares(spark, d):
+    return mixing.mixture(table(spark, d, "documents"), table(spark, d, "source_targets"))[1]
+
+
 def p10_found(spark, d):
     return pii.items(table(spark, d, "documents"), table(spark, d, "contributors")).select("doc_id", "start_char", "kind")
 
@@ -78,7 +88,7 @@ def p10_anonymised(spark, d):
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_reasons, p3_found, p3_scores, p4_found, p4_redacted, p6_found, p6_pieces, p7_found, p7_search, p8_found, p8_passages, p10_found, p10_anonymised)
+    f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_reasons, p3_found, p3_scores, p4_found, p4_redacted, p6_found, p6_pieces, p7_found, p7_search, p8_found, p8_passages, p9_mix, p9_shares, p10_found, p10_anonymised)
 }
 
 _COUNTS = """
