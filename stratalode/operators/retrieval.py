@@ -16,11 +16,8 @@ def depth_for(limit: int) -> int:
     return max(50, 5 * limit)
 
 
-def postings(docs: DataFrame, ident: str, text: str) -> DataFrame:
-    """``id, term, tf, dl``: term counts inside one row, so nothing is shuffled before the corpus counts."""
-    t = terms(text)
-    src = docs.where(F.col(text).isNotNull()).select(F.col(ident).alias("id"), t.alias("t"))
-    return src.select("id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+def _equals(q: str):
+    return lambda x: x == F.lit(q)
 
 
 def bm25(docs: DataFrame, query: str, ident: str = "id", text: str = "text") -> DataFrame:
@@ -41,7 +38,7 @@ def bm25(docs: DataFrame, query: str, ident: str = "id", text: str = "text") ->
     for i, q in enumerate(asked):
         d = F.col(f"df{i}")
         idf = F.greatest(F.ln((n - d + 0.5) / (d + 0.5)), F.lit(1e-6))
-        tf = F.size(F.filter("hit", lambda x, q=q: x == q)).cast("double")
+        tf = F.size(F.filter("hit", _equals(q))).cast("double")
         total = total + F.when(tf > 0, idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))).otherwise(F.lit(0.0))
     return src.where(F.size("hit") > 0).crossJoin(F.broadcast(stats)).select("id", F.round(total, 6).alias("score"))  # stats: one row
 
