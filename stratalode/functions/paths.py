@@ -45,17 +45,17 @@ def depth(directory: Column | str) -> Column:
     return F.when(d == "", F.lit(0)).otherwise(F.size(F.split(d, "/")))
 
 
-def common_depth(a: Column | str, b: Column | str) -> Column:
-    """Number of leading segments that two directories share."""
-    x, y = F.filter(F.split(col(a), "/"), lambda s: s != ""), F.filter(F.split(col(b), "/"), lambda s: s != "")
-    n = F.least(F.size(x), F.size(y))
-    same = F.transform(F.filter(F.sequence(F.lit(0), n), lambda i: i > 0), lambda i: F.when(F.slice(x, F.lit(1), i) == F.slice(y, F.lit(1), i), i).otherwise(F.lit(0)))
-    return F.coalesce(F.array_max(same), F.lit(0))
-
-
 def head(directory: Column | str, n: Column) -> Column:
     """The first ``n`` segments."""
-    return F.array_join(F.slice(F.filter(F.split(col(directory), "/"), lambda s: s != ""), F.lit(1), n), "/")
+    return F.call_function("substring_index", col(directory), F.lit("/"), n.cast("int"))
+
+
+def common_depth(a: Column | str, b: Column | str) -> Column:
+    """Number of leading segments that two directories share."""
+    x, y = col(a), col(b)
+    n = F.least(depth(x), depth(y))
+    same = F.transform(F.sequence(F.lit(0), n), lambda i: F.when(head(x, i) == head(y, i), i).otherwise(F.lit(0)))
+    return F.array_max(same)
 
 
 def visible(p: Column | str) -> Column:

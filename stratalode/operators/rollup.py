@@ -65,7 +65,8 @@ def scope_edges(edges: DataFrame) -> DataFrame:
     def end(side):
         return F.when(depth(side) == n, F.concat(F.lit("scope:"), scope)).otherwise(head(side, n + 1))
 
-    lifted = edges.select(scope.alias("scope"), end("source").alias("source"), end("target").alias("target"), "count")
+    # other names first: an alias called like an input column would be picked up inside the lambda of common_depth
+    lifted = edges.select(scope.alias("scope"), end("source").alias("_s"), end("target").alias("_t"), "count").withColumnsRenamed({"_s": "source", "_t": "target"})
     return lifted.where("source <> target").groupBy("scope", "source", "target").agg(F.sum("count").alias("count"))
 
 
