@@ -34,11 +34,11 @@ START = ("code", False)
 ENTRY = tuple((m, v) for m in ("code", "block", "raw") for v in (False, True))
 
 
-def lex(text: str, state=START, last: bool = True) -> tuple[tuple | None, list[str]]:
+def lex(text: str, state=START, first: bool = True) -> tuple[tuple | None, list[str]]:
     mode, value = state
     out: list[str] = []
     add = out.append
-    pos = 1 if text.startswith("﻿") else 0
+    pos = 1 if first and text.startswith("﻿") else 0
     while True:
         if mode == "block":
             close = text.find("*/", pos)
@@ -476,10 +476,9 @@ class Parser:
             if kind is None and self.eat(";"):
                 if self.t[self.i] != ";":
                     self.expr()
+                self.need(";")
                 if self.t[self.i] != "{":
-                    self.need(";")
-                    if self.t[self.i] != "{":
-                        self.simple()
+                    self.simple()
         self.lev = lev
         self.block()
 

@@ -54,14 +54,14 @@ ENTRY = tuple(
 )
 
 
-def lex(text: str, state=START) -> tuple[tuple | None, list[str]]:
+def lex(text: str, state=START, first: bool = True) -> tuple[tuple | None, list[str]]:
     """Exit state (None: a character or literal that no token fits) and token kinds of ``text``."""
     mode, value, stack = state
     stack = list(stack)
     out: list[str] = []
     add = out.append
     pos, end = 0, len(text)
-    if state == START and text.startswith("#!"):
+    if first and text.startswith("#!"):
         pos = text.find("\n")
         if pos < 0:
             return state, out
@@ -208,6 +208,7 @@ class Parser:
         self.nl.append(True)
         self.i = 0
         self.ts = ts
+        self.typed_arrows = True
         self.close: dict[int, int] = {}
         stack = []
         for i, k in enumerate(self.t):
@@ -784,7 +785,7 @@ class Parser:
         if self.t[at] == "(":
             j = self.close[at]
             after = self.t[j + 1]
-            if after != "=>" and not (self.ts and after == ":"):
+            if after != "=>" and not (self.ts and self.typed_arrows and after == ":"):
                 return False
         try:
             if self.ts:
@@ -810,8 +811,18 @@ class Parser:
     def conditional(self, no_in):
         target = self.binary(no_in)
         if self.eat("?"):
-            self.assignment()
-            self.need(":")
+            at = self.i
+            try:
+                self.assignment()
+                self.need(":")
+            except Bad:
+                if not self.ts:
+                    raise
+                # a ? (b) : c => d: what was read as the result type of an arrow is the other branch
+                self.i, was, self.typed_arrows = at, self.typed_arrows, False
+                self.assignment()
+                self.typed_arrows = was
+                self.need(":")
             self.assignment(no_in)
             return False
         return target

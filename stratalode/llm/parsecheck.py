@@ -44,7 +44,7 @@ PAIR = {"(": ")", "[": "]", "{": "}", "${": "}$", "`(": "`)"}
 CLOSERS = frozenset(PAIR.values())
 
 
-def lex_python(text: str, state: str = "code") -> tuple[str | None, list[str]]:
+def lex_python(text: str, state: str = "code", first: bool = True) -> tuple[str | None, list[str]]:
     """Exit state and brackets of a chunk; states are ``code`` and the two triple quotes."""
     out, pos = [], 0
     while True:
@@ -118,7 +118,7 @@ def summarise(language: str, text: str, first: bool) -> dict:
     lex, start, entry = LEX[language]
     out = {}
     for state in (start,) if first else entry:
-        left, kinds = lex(text, state)
+        left, kinds = lex(text, state, first)
         out[state] = (left, kinds, brackets(kinds))
     return out
 
