@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..operators.rowmap import map_rows
+from ..operators.sample import hashed_sample
 from ..operators.skew import salted_join
 from ..sources.ship import ship
 
@@ -158,15 +159,16 @@ class Index:
 
     @classmethod
     def fit(cls, units: DataFrame) -> Index | None:
-        """Fitted on at most ``MOST_SAMPLE`` classes, those with the smallest hashes."""
+        """Fitted on about ``MOST_SAMPLE`` rows at most, chosen by hash."""
         sizes = units.groupBy(F.octet_length("unit").alias("n")).count().orderBy(F.desc("count"), "n").first()
         if sizes is None:
             return None
         n = sizes["count"]
         cells = max(1, min(MOST_CELLS, math.ceil(n / CELL)))
         sample = max(LEAST_SAMPLE, min(MOST_SAMPLE, cells * PER_CELL))
-        rows = units.where(F.octet_length("unit") == sizes["n"]).select("key", "unit").orderBy(F.xxhash64("key"), "key").limit(sample).select("unit").collect()
-        x = np.stack([np.frombuffer(r.unit, np.float32) for r in rows])
+        rows = hashed_sample(units.where(F.octet_length("unit") == sizes["n"]), F.col("id"), sample, n).select("id", "unit").collect()
+        rows.sort(key=lambda r: r.id)
+        x = np.stack([np.frombuffer(u, np.float32) for u in dict.fromkeys(r.unit for r in rows)])  # copies count once
         return cls(spherical_kmeans(x, min(cells, len(x))), AnisotropicCodes.fit(x[:16_384]))
 
 
