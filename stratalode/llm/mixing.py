@@ -2,7 +2,7 @@
 
 1. Tokens of every document are counted with a public tokenizer.
 2. A multinomial naive Bayes classifier over hashed words is fitted on a bounded
-   sample of labelled rows (``TRAIN_ROWS``).  With the row's own label as further
+   sample of labelled rows (about ``TRAIN_ROWS``, chosen by hash).  With the row's own label as further
    evidence (wrong with probability ``NOISE``) it gives each document a posterior
    over the sources.
 3. Rates of how often a document is taken, between 0 and its source's
@@ -36,6 +36,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..operators.rowmap import map_rows
+from ..operators.sample import hashed_sample
 from ..sources.shared import cut
 from ..sources.ship import ship
 
@@ -165,7 +166,10 @@ def mixture(documents: DataFrame, targets: DataFrame, total: int | None = None,
     sources = [r.source for r in wanted]
     share = np.array([r.target_share or 0.0 for r in wanted])
     caps = np.array([float(max(r.max_repeats or 0, 0)) for r in wanted])
-    sample = documents.where(F.col("source").isin(sources) & F.col("text").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS).select("source", "text").collect() if sources else []
+    sample = []
+    if sources:
+        labelled = documents.where(F.col("source").isin(sources) & F.col("text").isNotNull())
+        sample = sorted(hashed_sample(labelled, F.col("doc_id"), TRAIN_ROWS, labelled.count()).select("doc_id", "source", "text").collect())
     with open(ranks_path, "rb") as f:
         ranks = f.read()
     # counted and classified once; every step of the fit reads it back
