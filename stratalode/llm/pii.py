@@ -57,6 +57,7 @@ ID = frozenset("id identity national ssn passport card no number nir dni nie nin
 THING = frozenset("build run bytes line page error commit doi port version revision issue pr row offset batch job code order invoice sku isbn release chapter figure table section step ms count from to after".split())
 BEFORE_NAME = frozenset("with to by hi dear hello thanks owner author from signed reviewed reported cc contact ask mr mrs ms dr herr frau m mme sr sra assigned assignee spoke and attn for regards cheers said via von par".split())
 AFTER_NAME = frozenset("since about for said wrote asked will is has was and reported confirmed from at joined on".split())
+GENERIC = frozenset("team group desk board guild crew squad review guide map plan court road street layer service".split())
 #: Words that often open a sentence, and days and months, which end no town's name.
 SMALL = frozenset("the a an if see since unlike please call nobody we this that does it in on monday tuesday wednesday thursday friday saturday sunday january february march april may june july august september october november december le la el les der die das bitte nach después despues après apres appelez llame un una le decision".split())
 
@@ -277,6 +278,9 @@ def _names(text: str, people: People, lower: set[str]) -> list[tuple]:
             loud = cases.strip("I") and set(cases.replace("I", "")) == {"U"} and (i > 0 and case_of(toks[i - 1][0]) == "U" and a - toks[i - 1][2] < 3) + (j + 1 < n and case_of(toks[j + 1][0]) == "U" and toks[j + 1][1] - end < 3)
             mid = "mid" if a > 1 and text[a - 1] in "  " and text[a - 2 : a - 1] not in (".", "!", "?", ":", "\n", "#", "-") else "first"
             f = ["name", f"gaz={gaz}|{'c' if commas else ''}", f"cases={shape}", f"known={known}/{len(full)}", f"low={low}", f"low={low}|{gaz}", f"n={len(full)}", f"mid={mid}|{known}", f"initial={'i' in members}|{gaz}", f"nl={'n' in seps}", f"loud={int(loud)}", f"loud={int(loud)}|{known}"]
+            last = text[end : end + 1] in ("", "\n", "\r")
+            generic = any(x.lower() in GENERIC for x in words)
+            f += [f"name|line-end={last}|{known}", f"name|label={'near=before' in ctx and 'p=:' in ctx}|{low}|{known}|{generic}", f"name|generic={generic}"]
             f += [f"name|{x}" for x in ctx] + [f"name|{x}|{known}" for x in ctx if x.startswith(("near", "n=", "heading"))]
             f.append(f"name|{mid}|{low}|{known}|{'near=before' in ctx}|{'n=after' in ctx or 'n=<' in ctx}|{'c' if commas else ''}")
             out.append((a, end, "name", f))

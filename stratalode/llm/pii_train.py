@@ -129,7 +129,7 @@ class Gen:
         if r < 0.34:
             s = w("name:" + self.name())
             e = w("email:" + self.email())
-            return self.pick([f"Hi {s},", f"Dear {s},", f"Owner: {s}", f"Signed-off-by: {s} <{e}>", f"Reviewed-by: {s} <{e}>", f"I spoke with {s} about the {n}.", f"Thanks to {s} for the {n} fix.", f"assigned to {s} since the {n} split", s, f"cc {s}", f"{s} wrote:", f"Author: {s}", f"{s} reported that the {n} is stale.", f"Please ask {s} first.", f"Regards,\n{s}", f"- {s} ({self.pick(ADJ)})", f"@reviewers: {s}, {w('name:' + self.name())}", f"decided by {s} on Monday"])
+            return self.pick([f"Hi {s},", f"Dear {s},", f"Owner: {s}", f"Owner: {s}", f"Owner: {s}", f"Maintainer: {s}", f"Lead: {s}", f"Signed-off-by: {s} <{e}>", f"Reviewed-by: {s} <{e}>", f"I spoke with {s} about the {n}.", f"Thanks to {s} for the {n} fix.", f"assigned to {s} since the {n} split", s, f"cc {s}", f"{s} wrote:", f"Author: {s}", f"{s} reported that the {n} is stale.", f"Please ask {s} first.", f"Regards,\n{s}", f"- {s} ({self.pick(ADJ)})", f"@reviewers: {s}, {w('name:' + self.name())}", f"decided by {s} on Monday"])
         if r < 0.54:
             e = w("email:" + self.email())
             return self.pick([f"Reply-To: {e}", f"Ask {e} about the {n}.", f"Logs go to <{e}> every night.", f"contact={e};role={n}", f"mail {e}", f"mailto:{e}", f"({e})", f"{e}", f"From: {e}"])

@@ -113,7 +113,7 @@ def shape(w: str) -> tuple[str, ...]:
         kind = "jwt"
     elif _PREFIX.match(w) and (turns >= 2 or (lo and up)) and not re.fullmatch(r"[a-z]+(?:[_-][a-z]+)*\d*", w):
         kind = "prefixed"
-    elif re.fullmatch(r"[A-Z]{4}[A-Z0-9]{12,}", w) and d:
+    elif re.fullmatch(r"A[KS]IA[A-Z0-9]{12,}", w) or d and re.fullmatch(r"[A-Z]{4}[A-Z0-9]{12,}", w):
         kind = "upperkey"
     elif re.fullmatch(r"\d[\d._]*", w):
         kind = "number"

@@ -68,7 +68,7 @@ def cut(data: bytes, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[i
         most = start + limit
         end = 0
         # a coarser boundary is preferred if it leaves the piece at least half full
-        for array, least in ((levels[0], start + limit // 2), (levels[1], start + limit // 2), (levels[2], done)):
+        for array, least in ((levels[0], start + limit // 2), (levels[1], start + limit // 2), (levels[2], start + overlap)):
             k = bisect_right(array, most) - 1
             if k >= 0 and array[k] > max(least, done):
                 end = array[k]
@@ -79,7 +79,7 @@ def cut(data: bytes, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[i
             if k >= 0 and offsets[k] == most and most < n and len(offsets) > 1:
                 k -= 1  # the last token may go on behind the limit
             end = char_floor(data, offsets[k] if k >= 0 else most)
-            if end <= done:
+            if end <= max(done, start + overlap):
                 end = char_floor(data, most)
         out.append((start, end))
         done = end
