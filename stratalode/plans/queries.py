@@ -7,13 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import bytes as B
 from ..functions import ids
 from ..functions import paths as P
 from ..functions import text as X
 from ..functions import vectors as V
-from ..operators import coverage, evaluation, graph, imports, incremental, resolution, retrieval, rollup, snapshot
+from ..operators import coverage, evaluation, facts, graph, imports, incremental, resolution, retrieval, rollup, snapshot
 from ..operators.current import latest, stamp_ns
 from ..sources.tables import table
+from ..streaming import refresh
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -590,3 +592,42 @@ def allocation(spark, d):
 def synthetic_scale(spark, d):
     v = evaluation.synthetic_vectors(spark, 2000, 16)
     return v.select("id", F.round(V.dot("vector", "vector"), 6).alias("one"), ((F.col("id") * 31) % 101 - 50).cast("bigint").alias("first"))
+
+
+# Code facts, bytes, streams
+
+
+def _current_files(spark, d) -> DataFrame:
+    """Current, readable rows; stale rows are found on narrow columns and taken out by an anti-join, so no text is aggregated."""
+    docs = table(spark, d, "docs")
+    narrow = docs.where("path is not null").select("path", "id", stamp_ns("stamp").alias("stamp"))
+    keep = latest(narrow.withColumn("keep", F.col("id")), "path", ["stamp", "id"], ["keep"]).select(F.col("keep").alias("id"))
+    stale = narrow.select("id").join(keep, "id", "left_anti")
+    return docs.select("id", "path", "body").join(stale, "id", "left_anti").where("path is not null and body is not null").select("path", "body")
+
+
+@query()
+def fact_symbols(spark, d):
+    s = facts.symbols(facts.collect(_current_files(spark, d)))
+    return s.groupBy(P.extension("path").alias("extension"), "kind", "callable").agg(F.count("*").alias("n"))
+
+
+@query()
+def fact_sites(spark, d):
+    r = facts.resolve(facts.collect(_current_files(spark, d)))
+    return r.groupBy(P.extension("path").alias("extension"), "certainty", "reason").agg(F.count("*").alias("n"))
+
+
+@query()
+def byte_windows(spark, d):
+    return B.byte_windows(table(spark, d, "docs"), "id", "body")
+
+
+@query()
+def byte_excerpts(spark, d):
+    return B.excerpts(table(spark, d, "documents"), "doc_id", "text", 900)
+
+
+@query(f"WITH {_CURRENT} SELECT path, digest FROM cur")
+def stream_latest_state(spark, d):
+    return refresh.latest_state(spark, d).select("path", "digest")
