@@ -202,7 +202,7 @@ def facts_of(path: str, text: str) -> list[tuple]:
 def collect(files: DataFrame, path: str = "path", body: str = "body") -> DataFrame:
     """Facts of all files in the four languages, written once to the shared folder; null bodies give none."""
     src = files.where(F.col(body).isNotNull() & extension(path).isin(*LANGUAGES)).select(F.col(path).alias("p"), F.col(body).alias("b"))
-    return cut(map_rows(src, lambda: lambda p, b: facts_of(p, b), SCHEMA))
+    return cut(map_rows(src, lambda: lambda p, b: facts_of(p, b), SCHEMA, heavy=True))
 
 
 def symbols(facts: DataFrame) -> DataFrame:

@@ -15,14 +15,28 @@ from ..sources.ship import ship
 OUT_ROWS = 20_000
 
 
-def map_rows(df: DataFrame, make: Callable[[], Callable], schema: str) -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
+    """A small input that fills less than half of the cores is dealt out to all of them.
+
+    For stages whose time goes into Python: one small file would keep one core
+    busy.  An input with more partitions than that stays where it is, so large
+    tables are never shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
+
+
+def map_rows(df: DataFrame, make: Callable[[], Callable], schema: str, heavy: bool = False) -> DataFrame:
     """Flat-map the rows of ``df``.
 
     ``make`` runs once per task and returns a function that takes a row's
     values in column order and returns an iterable of output tuples.  The
-    number of partitions stays that of the input: nothing is shuffled.
+    number of partitions stays that of the input, but for ``heavy`` functions over
+    small inputs (see ``spread``): nothing else is shuffled.
     """
     ship(df.sparkSession)
+    if heavy:
+        df = spread(df)
     spec = T.StructType.fromDDL(schema)
     arrow = to_arrow_schema(spec)
 
