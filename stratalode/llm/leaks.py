@@ -138,4 +138,4 @@ def leaks(documents: DataFrame, items: DataFrame, ident: str = "doc_id", text: s
         return row
 
     src = documents.where(F.col(text).isNotNull()).select(F.col(ident).alias("doc_id"), F.col(text).alias("text"))
-    return map_rows(src, make, "doc_id bigint, item_id int, start_char int, end_char int, words int")
+    return map_rows(src, make, "doc_id bigint, item_id int, start_char int, end_char int, words int", heavy=True)

@@ -104,7 +104,7 @@ def _scored(documents: DataFrame, classifier: Posterior, ranks: bytes) -> DataFr
         return row
 
     src = documents.where(F.col("text").isNotNull()).select("doc_id", "source", "text")
-    return map_rows(src, make, "doc_id bigint, source string, tokens bigint, posterior array<float>")
+    return map_rows(src, make, "doc_id bigint, source string, tokens bigint, posterior array<float>", heavy=True)
 
 
 def _replay(p: np.ndarray, cap: np.ndarray, start: np.ndarray, history: list[np.ndarray]) -> np.ndarray:

@@ -243,7 +243,7 @@ def parse_states(docs: DataFrame) -> DataFrame:
     src = docs.where(ext.isin(*LANGUAGES) & F.col("path").contains(".")).select(
         "path", stamp_ns("stamp").alias("stamp"), F.col("id").alias("ident"), F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])[ext].alias("language"), "body"
     )
-    parts = map_rows(src, _scan, "path string, stamp bigint, ident bigint, chunk_no int, chunks int, valid boolean, summary binary")
+    parts = map_rows(src, _scan, "path string, stamp bigint, ident bigint, chunk_no int, chunks int, valid boolean, summary binary", heavy=True)
     # by row: the parts of one body meet (bounded by its size); then by path on narrow rows
     rows = parts.groupBy("path", "stamp", "ident").agg(
         F.max("valid").alias("valid"), F.collect_list(F.when(F.col("chunks") > 1, F.struct("chunk_no", "summary"))).alias("parts")

@@ -332,7 +332,7 @@ def items(documents: DataFrame, contributors: DataFrame, ident: str = "doc_id",
         return lambda i, t: [(i, a, b, k) for a, b, k in finder.find(t)]
 
     src = documents.where(F.col(text).isNotNull()).select(F.col(ident).alias("doc_id"), F.col(text).alias("text"))
-    return map_rows(src, make, "doc_id bigint, start_char int, end_char int, kind string")
+    return map_rows(src, make, "doc_id bigint, start_char int, end_char int, kind string", heavy=True)
 
 
 def anonymised(documents: DataFrame, contributors: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
@@ -349,4 +349,4 @@ def anonymised(documents: DataFrame, contributors: DataFrame, ident: str = "doc_
         return row
 
     src = documents.where(F.col(text).isNotNull()).select(F.col(ident).alias("doc_id"), F.col(text).alias("text"))
-    return map_rows(src, make, "doc_id bigint, items int, text string")
+    return map_rows(src, make, "doc_id bigint, items int, text string", heavy=True)

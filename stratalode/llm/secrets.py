@@ -372,7 +372,7 @@ def secret_lines(docs: DataFrame, ident: str = "id", path: str = "path", body: s
 
         return row
 
-    return map_rows(docs.where(F.col(body).isNotNull()).select(ident, path, body), make, f"`{ident}` bigint, line_no int")
+    return map_rows(docs.where(F.col(body).isNotNull()).select(ident, path, body), make, f"`{ident}` bigint, line_no int", heavy=True)
 
 
 def redacted(docs: DataFrame, ident: str = "id", path: str = "path", body: str = "body") -> DataFrame:
@@ -387,4 +387,4 @@ def redacted(docs: DataFrame, ident: str = "id", path: str = "path", body: str =
 
         return row
 
-    return map_rows(docs.where(F.col(body).isNotNull()).select(ident, path, body), make, f"`{ident}` bigint, secrets int, `{body}` string")
+    return map_rows(docs.where(F.col(body).isNotNull()).select(ident, path, body), make, f"`{ident}` bigint, secrets int, `{body}` string", heavy=True)
