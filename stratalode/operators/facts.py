@@ -220,6 +220,11 @@ def module_path(path, module):
     return target_path(path, module, F.lit(""))
 
 
+def submodule(module, what, inner):
+    """``from module import what`` followed by ``what.x`` names the module below, not a member."""
+    return F.when(inner, F.concat(module, F.when(module.endswith("."), F.lit("")).otherwise(F.lit(".")), what)).otherwise(module)
+
+
 def resolve(facts: DataFrame) -> DataFrame:
     """``site_id, path, name, target_id, certainty, reason`` of every site."""
     s = sites(facts)
@@ -233,8 +238,10 @@ def resolve(facts: DataFrame) -> DataFrame:
     defs = symbols(facts).where("callable").select("path", F.col("name").alias("member"), "id")
     stems = defs.select("path").distinct().select(F.col("path"), F.regexp_replace(F.regexp_replace("path", r"\.\w+$", ""), "/__init__$", "").alias("stem"))
     want = s.join(got, "site_id").where("bk = 'import'").select("site_id", "path", "name", F.substring_index("bv", "|", 1).alias("module"), F.substring_index("bv", "|", -1).alias("what"))
-    member = F.when(F.col("what") != "", F.when(~F.col("name").contains("."), F.col("what"))).otherwise(F.when(F.col("name").contains("."), F.substring_index("name", ".", -1)))
-    want = want.select("site_id", module_path(F.col("path"), F.col("module")).alias("stem"), member.alias("member"))
+    dotted = F.col("name").contains(".")
+    member = F.when(dotted, F.substring_index("name", ".", -1)).when(F.col("what") != "", F.col("what"))
+    named = submodule(F.col("module"), F.col("what"), dotted & (F.col("what") != ""))
+    want = want.select("site_id", module_path(F.col("path"), named).alias("stem"), member.alias("member"))
     hit = unique_match(want, stems.select("stem", F.col("path").alias("target_path")), ["stem"], "target_path").withColumnRenamed("reason", "_file")
     hit = unique_match(hit, defs.withColumnRenamed("path", "target_path"), ["target_path", "member"], "id")
     hit = hit.select("site_id", F.col("id").alias("_imported"), F.when(F.col("_file").isNotNull(), F.concat(F.lit("import_"), F.when(F.col("_file") == "missing", "missing").otherwise("ambiguous"))).when(F.col("id").isNull(), "member_missing").alias("_why"))
