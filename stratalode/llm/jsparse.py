@@ -54,8 +54,13 @@ ENTRY = tuple(
 )
 
 
-def lex(text: str, state=START, first: bool = True) -> tuple[tuple | None, list[str]]:
-    """Exit state (None: a character or literal that no token fits) and token kinds of ``text``."""
+def lex(text: str, state=START, first: bool = True, other: bool = False) -> tuple[tuple | None, list[str]]:
+    """Exit state (None: a character or literal that no token fits) and token kinds of ``text``.
+
+    Whether a slash after ``)`` or ``}`` divides or begins a regular expression depends
+    on what these close.  It is read as division after ``)`` and as the other after
+    ``}``; with ``other`` the reverse.
+    """
     mode, value, stack = state
     stack = list(stack)
     out: list[str] = []
@@ -125,6 +130,8 @@ def lex(text: str, state=START, first: bool = True) -> tuple[tuple | None, list[
                         stack[-1] -= 1
                     value = False  # a block; after an object literal a division is rare and handled by the retry below
                 elif t == "/":
+                    if other and out and out[-1] in (")", "}"):
+                        value = out[-1] == "}"
                     if value:
                         value = False
                     else:
@@ -209,6 +216,7 @@ class Parser:
         self.i = 0
         self.ts = ts
         self.typed_arrows = True
+        self.ambient = False
         self.close: dict[int, int] = {}
         stack = []
         for i, k in enumerate(self.t):
@@ -291,7 +299,7 @@ class Parser:
                 self.i += 1
                 return self.enum()
             self.i += 1
-            self.declarators(False)
+            self.declarators(False, k == "const" and not self.ambient)
             return self.semi()
         if k == "function" or k == "async" and k1 == "function" and not self.nl[i + 1]:
             return self.function(True)
@@ -424,7 +432,10 @@ class Parser:
             return self.klass(True)
         if k == "declare" and not self.nl[self.i + 1] and (nxt in ("const", "let", "var", "function", "class", "abstract", "enum", "async") or nxt in ("type", "interface", "namespace", "module", "global")):
             self.i += 1
-            return self.statement(True)
+            was, self.ambient = self.ambient, True
+            self.statement(True)
+            self.ambient = was
+            return
         raise Bad
 
     def namespace_body(self):
@@ -448,7 +459,7 @@ class Parser:
             if self.t[self.i] != "}":
                 self.need(",")
 
-    def declarators(self, no_in):
+    def declarators(self, no_in, must=False):
         while True:
             pattern = self.t[self.i] in ("[", "{")
             self.binding()
@@ -458,7 +469,7 @@ class Parser:
                     self.type()
             if self.eat("="):
                 self.assignment(no_in)
-            elif pattern and not (no_in and (self.t[self.i] in ("of", "in"))):
+            elif (pattern or must) and not (no_in and (self.t[self.i] in ("of", "in"))):
                 raise Bad
             if not self.eat(","):
                 return
@@ -519,7 +530,7 @@ class Parser:
         if k != ";":
             if k in ("var", "const") or k == "let" and (self.is_name(k1) or k1 in "[{"):
                 self.i += 1
-                self.declarators(True)
+                self.declarators(True, k == "const")
             else:
                 self.expression(True)
             if self.t[self.i] in ("of", "in"):

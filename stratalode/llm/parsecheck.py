@@ -66,6 +66,8 @@ def lex_python(text: str, state: str = "code", first: bool = True) -> tuple[str
             return "code", out
 
 
+_SLASH = re.compile(r"[)}]\s*/(?![/*])")
+
 LEX = {
     "python": (lex_python, "code", ("code", "'''", '"""')),
     "go": (goparse.lex, goparse.START, goparse.ENTRY),
@@ -187,7 +189,13 @@ def verdict(language: str, summary: dict, text: str, grammar: Grammar) -> bool |
     balanced = rest and pairs == ([], [])
     if language == "python":
         return python_parses(text, balanced)
-    return balanced and grammar.file(kinds, language)
+    if balanced and grammar.file(kinds, language):
+        return True
+    if language == "go" or not _SLASH.search(text):
+        return False
+    # the other reading of slashes after brackets
+    left, kinds = jsparse.lex(text, other=True)
+    return left is not None and left[0] == "code" and not left[2] and brackets(kinds) == ([], []) and grammar.file(kinds, language)
 
 
 def is_valid(language: str, text: str, grammar: Grammar | None = None, size: int = CHUNK_CHARS) -> bool:

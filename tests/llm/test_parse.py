@@ -10,11 +10,12 @@ GOOD = {
         "", "#!/usr/bin/env node\nlet a = 1\n", "a = b / c / d; x = /re[/]x/g.test(y)", "const {a, b: {c = 2}, ...r} = f(`x${a ? `y${b}` : {}}z`)", "export default class extends A { static #p = 1; get x() { return this.#p } static { f() } async *g() { yield* h() } }",
         "for await (const x of y) if (x) continue; else break", "label: for (;;) { break label }", "import a, {b as c, default as d} from 'm'; import * as n from \"k\"; export * as q from 'z'; import('x').then(() => {})", "const f = async ({a}, [b], ...c) => ({...a, [b]: c, get z() { return 1 }, async *w() {}})", "x = a ?? b?.c?.[d]?.(e) ** 2; new Foo; new a.b.C(1)",
         "try { f() } catch { g() } finally { h() }", "switch (a) { case 1: case 2: b(); default: c() }", "let a = 1\nlet b = a\n++b", "var x = function* () {}, y = class {}", "if (a) b; else if (c) d; else { e }", "do x++; while (x < 5) y()", "a = 0x1F + 0b11 + 1_000n + .5e-3; b = 'it\\'s' + \"q\\\n\"", "while (i --> 0);", "await x; throw new Error(`${e}`)", "({a, b} = c); [a, b] = [b, a]", "void function (e, t) { if (a) b; else c }(this, {});", "!function(){}(); (() => {})()", "x\n/y/g\nz", "const re = /(?<a>[^\\/]+)\\/u/u, d = a++ / 2",
+        "if (a) /x{/.test(b); while (c) /[}/]/g.exec(d)", "const n = { a: 1 } / 2; const m = 4 / n", "for (const k in o); for (const [a] of b) {}",
         "const of = 1, async = 2, get = 3; async(of); type = get",
     ],
     "typescript": [
         "interface A<T extends B = C> extends D<T> { readonly a?: string; [k: string]: any; m<U>(x: U, ...r: T[]): void; new (x: number): A; (y: string): y is 'z' }", "type M<T> = { readonly [K in keyof T]?: T[K] extends infer U ? U[] : never }; type F = (a: number) => asserts a is 1", "enum E { A = 1, B = A << 2, 'c' } const enum G { X }", "abstract class A<T> extends B<T> implements C, D { private readonly x!: number = 1; constructor(public a: string, private b?: number) { super() } abstract f(): void; static get z(): number { return 1 } }",
-        "const f = <T,>(x: T): T => x; const g = async (a: A<B<C>>): Promise<void> => { await h<number>(a as unknown as X) }", "declare module 'x' { export function f(a: string): void }\ndeclare global { interface Window { a: 1 } }", "export type { A } from './a'; import type B from 'b'; import { type C, D } from 'c'", "let x = y!.z! as const; let u = v satisfies W; for (const a of <any[]>b) {}", "function f(this: Foo, a?: number): a is 3;\nfunction f() {}", "namespace A.B { export const c = 1 }", "export abstract class Q {}\nexport default interface Z {}", "const a = b < c && d > e; f(a < b, c > d)", "let t: [a: string, b?: number, ...rest: boolean[]] = x; let q: typeof import('a').b", "@dec() class A { @prop({ a: 1 }) b: string; @m() c() {} }", "type L = `a${string}b` | 'c' | -1; let g = a ? (b) : c => d; let o = { a<T>(x: T) { return x } }",
+        "const f = <T,>(x: T): T => x; const g = async (a: A<B<C>>): Promise<void> => { await h<number>(a as unknown as X) }", "declare const q: number; declare namespace N { const z: 1 }", "declare module 'x' { export function f(a: string): void }\ndeclare global { interface Window { a: 1 } }", "export type { A } from './a'; import type B from 'b'; import { type C, D } from 'c'", "let x = y!.z! as const; let u = v satisfies W; for (const a of <any[]>b) {}", "function f(this: Foo, a?: number): a is 3;\nfunction f() {}", "namespace A.B { export const c = 1 }", "export abstract class Q {}\nexport default interface Z {}", "const a = b < c && d > e; f(a < b, c > d)", "let t: [a: string, b?: number, ...rest: boolean[]] = x; let q: typeof import('a').b", "@dec() class A { @prop({ a: 1 }) b: string; @m() c() {} }", "type L = `a${string}b` | 'c' | -1; let g = a ? (b) : c => d; let o = { a<T>(x: T) { return x } }",
         "export const v: Record<string, number> = { a: 1 };",
     ],
     "go": [
@@ -24,8 +25,8 @@ GOOD = {
     "python": ["", "def f(x: int = 1, /, *, y) -> None:\n    return {**x, 'a': [i async for i in y]}\n", "x = f'{a[\"b\"]!r:>{w}} {{'\n", "match x:\n    case {'a': [1, *_]}: pass\n", 's = """it\'s\n(({{"""\n', "\ufeffx = 1\n", "class A[T]: pass\ntype B = int\n"],
 }
 BAD = {
-    "javascript": ["const a = ;", "f(", "}", "let x = 'abc\n'", "a b", "if a { }", "function (", "<<<<<<< HEAD\nlet a = 1\n=======\nlet a = 2\n>>>>>>> x", "def f():\n    pass\n", "const x: number = 1", "interface A { a: string }", "{ \"a\": { \"b\": 1 } }", "let s = “x”", "const {a} ;", "import x from ;", "return 1", "class { f() }", "x = `abc", "/* open", "a = (1, 2]", "1 = 2", "for (let i = 0; i < 3) {}", "@@ -1,2 +3 @@\n a\n", "<html></html>", "const = 3", "let a = {b: 1, c 2}", "try { f() }", "new"],
-    "typescript": ["let x: = 1", "interface A { a string }", "package a\n\nfunc f() {}\n", "type = ", "enum { A }", "const f = (a: string => 1", "function f(a: number) { return a", "import { a } frm 'b'"],
+    "javascript": ["const a = ;", "f(", "}", "let x = 'abc\n'", "a b", "if a { }", "function (", "<<<<<<< HEAD\nlet a = 1\n=======\nlet a = 2\n>>>>>>> x", "def f():\n    pass\n", "const x: number = 1", "interface A { a: string }", "{ \"a\": { \"b\": 1 } }", "let s = “x”", "const {a} ;", "import x from ;", "return 1", "class { f() }", "const a; const b = 1", "if (a) /x{/.test(b", "x = `abc", "/* open", "a = (1, 2]", "1 = 2", "for (let i = 0; i < 3) {}", "@@ -1,2 +3 @@\n a\n", "<html></html>", "const = 3", "let a = {b: 1, c 2}", "try { f() }", "new"],
+    "typescript": ["let x: = 1", "interface A { a string }", "package a\n\nfunc f() {}\n", "type = ", "const x: number;", "enum { A }", "const f = (a: string => 1", "function f(a: number) { return a", "import { a } frm 'b'"],
     "go": ["", "func f() {}", "package a\nfunc f( {}\n", "package a\nvar x = 'ab'\n", "package a\nfunc f() {\n\tif x {\n\t}\n\telse {\n\t}\n}\n", "package a\nvar s = \"open\n", "package a\nfunc f() { x := }\n", "package a\nx := 1\n", "package a\ntype T struct {\n\tA int,\n}\n", "package a\nvar m = map[string]int{\n\t\"a\": 1\n}\n", "package a\nfunc f() {\n", "package a\nfunc f()\n{\n}\n", "package a\nimport \"x\"\n<<<<<<< HEAD\n", "package a\nvar x = `raw\n", "export const a = 1;\n", "package a\nfunc f() { return 1 + }\n", "package a\nfunc f() { for i := 0; i < 3 { } }\n"],
     "python": ["def f(:\n", "x = 'a\n", "if x\n    y\n", "  x = 1\n y = 2\n", "print 'a'\n", "f(1\n", "x = \u201ca\u201d\n", "package a\n\nfunc f() {}\n", '"""open\n', "a = 1 +\n"],
 }
