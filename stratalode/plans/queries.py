@@ -151,16 +151,39 @@ def degree_metrics(spark, d):
     return rollup.degrees(_edges(spark, d))
 
 
-@query()
+_CAT = "CASE lower(dir) " + " ".join(f"WHEN '{k}' THEN '{v[0]}'" for k, v in rollup.CATEGORY.items()) + " ELSE dir END"
+_CAT_ROLE = "CASE lower(dir) " + " ".join(f"WHEN '{k}' THEN '{v[1]}'" for k, v in rollup.CATEGORY.items()) + " ELSE 'other' END"
+# the largest repository as a tree of its own; none of its directories is one that would be opened up
+_SYSTEM = f"""{_EDGES}, big AS (SELECT split_part(path, '/', 1) AS repo FROM files GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
+inner_dirs AS (SELECT split_part(path, '/', 2) AS dir, count(*) AS n FROM files, big WHERE starts_with(path, repo || '/') AND len(string_split(path, '/')) > 2 GROUP BY 1),
+grouped AS (SELECT {_CAT} AS name, {_CAT_ROLE} AS role, CAST(sum(n) AS BIGINT) AS files, list(dir) AS dirs FROM inner_dirs GROUP BY 1, 2),
+numbered AS (SELECT *, row_number() OVER (ORDER BY files DESC, name) AS r, count(*) OVER () AS n FROM grouped),
+placed AS (SELECT CASE WHEN n > 12 AND r >= 12 THEN 'Other components' ELSE name END AS name, CASE WHEN n > 12 AND r >= 12 THEN 'other' ELSE role END AS role, files, dirs FROM numbered),
+final AS (SELECT name, role, CAST(sum(files) AS BIGINT) AS files, list_sort(flatten(list(dirs))) AS dirs FROM placed GROUP BY name, role)"""
+
+
+def _largest(spark, d) -> str:
+    return _paths(spark, d).groupBy(F.substring_index("path", "/", 1).alias("repo")).count().orderBy(F.desc("count"), "repo").first().repo
+
+
+def _within(df, column, repo):
+    """The column relative to a repository, rows outside dropped."""
+    return df.where(F.col(column).startswith(repo + "/")).withColumn(column, F.expr(f"substring({column}, {len(repo) + 2})"))
+
+
+@query(f"WITH {_SYSTEM} SELECT name, role, CASE role WHEN 'documentation' THEN 3 WHEN 'examples' THEN 3 ELSE 2 END AS layer, files, array_to_string(dirs, ',') AS paths FROM final")
 def system_partition(spark, d):
-    groups, _ = rollup.system_partition(_paths(spark, d))
+    groups, _ = rollup.system_partition(_within(_paths(spark, d), "path", _largest(spark, d)))
     return groups.withColumn("paths", F.array_join("paths", ","))
 
 
-@query()
+@query(f"""WITH {_SYSTEM}, own AS (SELECT unnest(dirs) AS dir, name FROM final),
+inside AS (SELECT split_part(source, '/', 2) AS s, split_part(target, '/', 2) AS t, count FROM edges, big WHERE starts_with(source, repo || '/') AND starts_with(target, repo || '/'))
+SELECT a.name AS source, b.name AS target, CAST(sum(count) AS BIGINT) AS count FROM inside JOIN own a ON a.dir = s JOIN own b ON b.dir = t WHERE a.name <> b.name GROUP BY 1, 2""")
 def system_edges(spark, d):
-    _, owners = rollup.system_partition(_paths(spark, d))
-    return rollup.system_edges(_edges(spark, d), owners)
+    repo = _largest(spark, d)
+    _, owners = rollup.system_partition(_within(_paths(spark, d), "path", repo))
+    return rollup.system_edges(_within(_within(_edges(spark, d), "source", repo), "target", repo), owners)
 
 
 @query(f"""WITH {_EDGES}, top AS (SELECT directory, files FROM tree WHERE directory <> '' AND directory NOT LIKE '%/%' ORDER BY files DESC, directory LIMIT 23)
@@ -399,7 +422,14 @@ def strongest_links(spark, d):
     return e.orderBy(F.desc("n"), "source", "target").limit(6).select("source", "target")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_EDGES}, e AS (SELECT source, target FROM (SELECT {_AREA.format(c='source')} AS source, {_AREA.format(c='target')} AS target, CAST(sum(count) AS BIGINT) AS n FROM edges GROUP BY ALL) WHERE source <> target ORDER BY n DESC, source, target LIMIT 6),
+nodes AS (SELECT source AS node FROM e UNION SELECT target FROM e),
+reach(a, b) AS (SELECT node, node FROM nodes UNION SELECT a, target FROM reach JOIN e ON b = source),
+comp AS (SELECT x.a AS node, min(x.b) AS component FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a GROUP BY x.a),
+links AS (SELECT DISTINCT s.component AS s, t.component AS t FROM e JOIN comp s ON s.node = source JOIN comp t ON t.node = target WHERE s.component <> t.component),
+steps(component, layer) AS (SELECT DISTINCT component, 0 FROM comp UNION SELECT t, layer + 1 FROM steps JOIN links ON component = s),
+depth AS (SELECT component, max(layer) AS layer FROM steps GROUP BY component)
+SELECT node, component, layer FROM comp JOIN depth USING (component)""")
 def cycle_layers(spark, d):
     e = strongest_links(spark, d)
     nodes = e.select(F.col("source").alias("node")).union(e.select("target")).distinct()
