@@ -31,6 +31,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..operators.rowmap import map_rows
 from ..operators.sample import hashed_sample
 from ..operators.skew import salted_join
+from ..sources.shared import cut
 from ..sources.ship import ship
 
 K = 5
@@ -286,7 +287,7 @@ def class_neighbors(classes: DataFrame, index: Index, probes: int = PROBES, rera
 
 def neighbors(df: DataFrame, ident: str = "id", vector: str = "vector", k: int = K, least: float = -2.0, probes: int = PROBES, rerank: int = RERANK) -> DataFrame:
     """``id, rank, neighbor, cosine``: for every row with a vector its ``k`` most similar rows of at least ``least``."""
-    units = unit_rows(df, ident, vector)
+    units = cut(unit_rows(df, ident, vector))  # scaled once; classes, sample and rows read it back
     w = Window.partitionBy("key").orderBy("id")
     ranked = units.withColumn("rank", F.row_number().over(w))
     first = ranked.where(F.col("rank") <= k + 1)  # cut per task before the shuffle, so a crowd of copies doesn't travel
