@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ORIGINS = ("client", "producer")
-OPPOSITE = {"client": "server", "producer": "consumer"}
 
 
 def matches(bindings: DataFrame, contracts: DataFrame) -> DataFrame:

@@ -506,7 +506,7 @@ def catalog_diff(spark, d):
     return snapshot.catalog(_before(spark, d), now, "path", "digest", []).select("path", "digest", "action")
 
 
-@query(f"""WITH {_EDGES}, {_BEFORE.replace(_CURRENT + ', ', _CURRENT + ', ')},
+@query(f"""WITH {_EDGES}, {_BEFORE},
 had AS (SELECT DISTINCT {_AREA.format(c=_DIR)} AS key FROM old), has AS (SELECT DISTINCT {_AREA.format(c=_DIR)} AS key FROM new),
 dep AS (SELECT DISTINCT path, {_AREA.format(c='module')} AS key FROM imp WHERE path LIKE '%.go')
 SELECT path, CASE WHEN had.key IS NULL THEN 'appeared' ELSE 'disappeared' END AS cause FROM dep LEFT JOIN had USING (key) LEFT JOIN has USING (key)
@@ -588,9 +588,6 @@ def exact_grade(spark, d):
     return evaluation.grade(gold, actual, ["path", "module"])
 
 
-_JUDGED = 8
-
-
 @query(f"""WITH q AS (SELECT item_id, list_distinct(list_filter(string_split(lower(replace({_WORDS.format(t='text')}, '_', ' ')), ' '), lambda x: x <> '')) AS t FROM eval_items),
 doc AS (SELECT doc_id, list_distinct(list_filter(string_split(lower(replace({_WORDS.format(t='text')}, '_', ' ')), ' '), lambda x: x <> '')) AS t, text FROM documents WHERE text IS NOT NULL),
 pw AS (SELECT item_id, unnest(t) AS w FROM q), dw AS (SELECT doc_id, unnest(t) AS w FROM doc),
