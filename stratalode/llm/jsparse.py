@@ -1272,7 +1272,6 @@ class Parser:
                 self.eat(";") or self.eat(",")
 
 
-STARTS = frozenset("import export function class const let var async interface type declare enum namespace abstract @ ID if for while switch try".split())
 SURE = frozenset("import export function class const var if for while switch try".split())
 
 

@@ -19,6 +19,7 @@ items with equal texts are reported each; repeated documents are reported each.
 
 from __future__ import annotations
 
+import html
 import unicodedata
 from bisect import bisect_left, bisect_right
 
@@ -39,10 +40,27 @@ def fold(text: str) -> str:
     return text.lower() if text.isascii() else unicodedata.normalize("NFKC", text).casefold()
 
 
+def shown(text: str) -> tuple[str, list[int] | None]:
+    """The text with character references replaced, and for each character its place in the original (None: unchanged)."""
+    if "&" not in text or not _ENTITY.search(text):
+        return text, None
+    parts, at, last = [], [], 0
+    for m in _ENTITY.finditer(text):
+        parts.append(text[last : m.start()])
+        at.extend(range(last, m.start()))
+        c = html.unescape(m.group())
+        parts.append(c)
+        at.extend([m.start()] * len(c))
+        last = m.end()
+    parts.append(text[last:])
+    at.extend(range(last, len(text)))
+    return "".join(parts), at
+
+
 def stream(text: str) -> tuple[str, list[int], list[int]]:
     """Letters and digits without a gap, and where in it words (by white space) begin and end."""
     parts, starts, ends, n = [], [], [], 0
-    for word in _SPACE.split(fold(text)):
+    for word in _SPACE.split(fold(shown(text)[0])):
         w = "".join(_KEEP.findall(word))
         if w:
             starts.append(n)
@@ -54,11 +72,12 @@ def stream(text: str) -> tuple[str, list[int], list[int]]:
 
 def original_offsets(text: str) -> list[int]:
     """For every character of the stream, its place in ``text`` (code points)."""
+    seen, at = shown(text)
     out = []
-    for i, c in enumerate(text):
+    for i, c in enumerate(seen):
         for d in fold(c):
             if _KEEP.match(d):
-                out.append(i)
+                out.append(at[i] if at else i)
     return out
 
 

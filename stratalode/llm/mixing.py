@@ -25,7 +25,6 @@ from __future__ import annotations
 import base64
 import math
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa

@@ -27,7 +27,6 @@ from ..operators.rowmap import map_rows
 from .crf import SemiMarkov
 
 MOST_WORDS, MOST_CHARS, MOST_PEOPLE = 6, 120, 100_000
-KINDS = ("email", "phone", "id_number", "address", "name")
 
 _AT = r"(?:@|\s?[\[({]\s?at\s?[\])}]\s?)"
 _DOT = r"(?:\.|\s?[\[({]\s?dot\s?[\])}]\s?)"

@@ -177,7 +177,7 @@ WORDS = ITEM.split()
 @pytest.mark.parametrize("text,hit", [
     (" ".join(WORDS[3:15]), True), (" ".join(WORDS[3:14]), False), (ITEM.upper(), True), (" \u200b".join(WORDS), True), ("> " + "\n> ".join(WORDS[2:16]), True),
     (" ".join(f"**{w}**" for w in WORDS[:13]), True), (ITEM.replace("ordered", "or-\ndered"), True), ("pre" + " ".join(WORDS[3:15]), False), (" ".join(WORDS[3:9] + ["x"] + WORDS[9:15]), False), ("", False),
-    ("\u201c" + ITEM.replace("queue", "qu\u00adeue") + "\u201d", True), (" ".join(WORDS[3:14]) + " replays", False),
+    ("\u201c" + ITEM.replace("queue", "qu\u00adeue") + "\u201d", True), (" ".join(WORDS[3:14]) + " replays", False), ("&quot;" + "&nbsp;".join(WORDS[:14]) + "&#34;", True), ("AT&T; &x " + ITEM, True),
 ])
 def test_leak_normalisation(text, hit):
     assert bool(leaks.Scanner([(7, ITEM)]).scan(text)) == hit
