@@ -22,6 +22,9 @@ def spread(df: DataFrame) -> DataFrame:
     busy.  An input with more partitions than that stays where it is, so large
     tables are never shuffled for this.
     """
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    if any(word in plan for word in ("Join", "Aggregate", "Window", "Sort", "Repartition", "Generate")):
+        return df  # it has shuffles of its own; counting its partitions would run them
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
 
