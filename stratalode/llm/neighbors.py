@@ -7,7 +7,9 @@ its nearest cell and asks in its ``probes`` nearest cells.  Within a cell,
 targets are scanned by four-bit product codes whose codebooks minimise the
 score-aware loss: the part of a residual parallel to its vector, which changes
 large inner products, weighs ``eta`` times the orthogonal part.  The best
-``rerank`` targets of every query are then scored exactly in float64.
+``rerank`` targets of every query are then scored exactly in float64.  Where the
+error of the codes leaves open whether these hold its nearest, as in a crowd of
+near-copies, the query is scored exactly against the whole block.
 
 The sixteen-entry tables are applied as one matrix product over the decoded
 codes, which gives the same sums as adding table entries subspace by subspace.
@@ -38,6 +40,8 @@ K = 5
 #: Classes per cell, at most so many cells, sampled classes per cell (and at least / at most so many).
 CELL, MOST_CELLS, PER_CELL, LEAST_SAMPLE, MOST_SAMPLE = 1000, 4096, 32, 8192, 131_072
 PROBES, RERANK = 4, 64
+#: More than products of unit vectors in float32 and the rounding of scores are off by.
+SLACK = 1e-5
 #: Targets of one cell that one task scans; a larger cell is split.
 BLOCK = 8192
 SUBSPACES, CODES, THRESHOLD = 32, 16, 0.2
@@ -212,12 +216,51 @@ def place(units: DataFrame, index: Index, probes: int) -> DataFrame:
     return units.select("key", "unit", "ids").mapInArrow(run, spec)
 
 
-def best_of(index: Index, q: np.ndarray, t: np.ndarray, codes: np.ndarray, rerank: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and exact scores of the ``rerank`` targets with the best coded scores, per query."""
-    approx = q @ index.codes.decode(unpack(codes, index.codes.books.shape[0])).T
+def _exact(q: np.ndarray, t: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """Scores in float64 of pairs of positions."""
+    out = np.empty(len(rows))
+    for s in range(0, len(rows), 65_536):
+        out[s : s + 65_536] = np.einsum("nd,nd->n", q[rows[s : s + 65_536]].astype(np.float64), t[cols[s : s + 65_536]].astype(np.float64))
+    return out
+
+
+def best_of(index: Index, q: np.ndarray, t: np.ndarray, codes: np.ndarray, rerank: int, keep: int = K + 1, floor: np.ndarray | float = -2.0) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and exact scores, per query, of the ``rerank`` targets with the best coded scores.
+
+    A coded score is off by at most the length of the target's residual.  Where
+    that leaves room for an unscored target beyond ``floor`` and among the best
+    ``keep`` (ties included), the query is scored against every target instead.
+    Rows with fewer positions than others are filled up with scores of -9.
+    """
+    decoded = index.codes.decode(unpack(codes, index.codes.books.shape[0]))
+    approx = q @ decoded.T
     r = min(rerank, len(t))
-    at = np.argpartition(-approx, r - 1, axis=1)[:, :r] if r < len(t) else np.broadcast_to(np.arange(len(t)), (len(q), len(t)))
-    return at, np.einsum("qd,qrd->qr", q.astype(np.float64), t[at].astype(np.float64))
+    if r == len(t):
+        at = np.broadcast_to(np.arange(len(t)), (len(q), len(t)))
+        return at, np.einsum("qd,qrd->qr", q.astype(np.float64), t[at].astype(np.float64))
+    at = np.argpartition(-approx, r - 1, axis=1)[:, :r]
+    score = np.einsum("qd,qrd->qr", q.astype(np.float64), t[at].astype(np.float64))
+    kept = np.partition(score, r - keep, axis=1)[:, r - keep] if keep <= r else np.full(len(q), -2.0)
+    floor = np.broadcast_to(floor, len(q))
+    least = np.maximum(kept, floor) - SLACK
+    np.put_along_axis(approx, at, -9.0, 1)
+    approx += np.linalg.norm(t.astype(np.float64) - decoded, axis=1).astype(np.float32)
+    open_ = np.flatnonzero(approx.max(1) >= least)
+    if not len(open_):
+        return at, score
+    # the whole block in float32, then in float64 what that cannot tell from the best ``keep``
+    near = q[open_] @ t.T
+    if keep <= len(t):
+        least[open_] = np.maximum(np.partition(near, len(t) - keep, axis=1)[:, len(t) - keep], floor[open_]) - SLACK
+    rows, cols = np.nonzero(near >= least[open_, None])
+    exact = _exact(q[open_], t, rows, cols)
+    slot = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    width = max(r, int(slot.max(initial=-1)) + 1)
+    if width > r:
+        at, score = np.pad(at, ((0, 0), (0, width - r))), np.pad(score, ((0, 0), (0, width - r)), constant_values=-9.0)
+    at[open_], score[open_] = 0, -9.0
+    at[open_[rows], slot], score[open_[rows], slot] = cols, exact
+    return at, score
 
 
 def class_neighbors(classes: DataFrame, index: Index, probes: int = PROBES, rerank: int = RERANK, least: float = -2.0, k: int = K) -> DataFrame:
@@ -253,7 +296,7 @@ def class_neighbors(classes: DataFrame, index: Index, probes: int = PROBES, rera
         keys = group.column("key").take(pa.array(qi)).to_pylist()
         q, found = matrix(qi), []
         for s in range(0, len(qi), 1024):
-            at, score = best_of(ix, q[s : s + 1024], t, codes, rerank)
+            at, score = best_of(ix, q[s : s + 1024], t, codes, rerank, k + 1, least)
             rows, cols = np.nonzero(score >= least)
             if not len(rows):
                 continue
@@ -346,7 +389,7 @@ def search(df: DataFrame, queries: DataFrame, ident: str = "id", vector: str = "
                     t, mine = np.frombuffer(b"".join(r for r in raw if len(r) == 4 * ix.width), np.float32).reshape(-1, ix.width), mine[ok]
                     codes = pack(ix.codes.encode(t))
                     for a in range(0, len(q), 1024):
-                        at, score = best_of(ix, q[a : a + 1024], t, codes, rerank)
+                        at, score = best_of(ix, q[a : a + 1024], t, codes, rerank, k + 1, best[a : a + 1024, -1])
                         other = mine[at]
                         score = np.where(other == ids[a : a + 1024, None], -9.0, np.round(score, 9))
                         both, names = np.concatenate([best[a : a + 1024], score], 1), np.concatenate([who[a : a + 1024], other], 1)

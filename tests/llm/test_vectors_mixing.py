@@ -55,6 +55,26 @@ def test_copies_and_dirty_rows(spark):
     assert neighbors.neighbors(df.limit(0)).count() == 0 and neighbors.similar_pairs(extra.where("id < 53")).count() == 0
 
 
+def test_crowd_of_near_copies_is_scored_whole(spark):
+    """A third of all rows in one dense group: one cell, far more near-copies than are reranked."""
+    rng = np.random.default_rng(4)
+    centre = rng.normal(size=(1, 64))
+    centre /= np.linalg.norm(centre)
+    group = centre + 0.2 / 8 * rng.normal(size=(300, 64))
+    v = np.concatenate([group, rng.normal(size=(600, 64))]).astype(np.float32)
+    ids = list(range(len(v)))
+    df = frame(spark, v, ids)
+    got = {}
+    for r in neighbors.neighbors(df, least=0.9).orderBy("id", "rank").collect():
+        got.setdefault(r.id, []).append(r.neighbor)
+    want = brute(v.astype(np.float64), ids, least=0.9)
+    assert len(want[0]) == 5 and got == {i: n for i, n in want.items() if n}
+    found = {}
+    for r in neighbors.search(df, df.where("id < 100")).orderBy("id", "rank").collect():
+        found.setdefault(r.id, []).append(r.neighbor)
+    assert found == {i: n for i, n in brute(v.astype(np.float64), ids).items() if i < 100}
+
+
 def test_recall_of_cells_and_search(spark, monkeypatch):
     monkeypatch.setattr(neighbors, "CELL", 100)
     monkeypatch.setattr(neighbors, "BLOCK", 64)
