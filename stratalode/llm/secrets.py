@@ -7,10 +7,12 @@ of the token and context features of its surroundings (the name it is assigned
 to, the call it is passed to, header words, URL position, comment, the line that
 opened the block).  The Viterbi path decides which characters are redacted.
 
-Only tokens that could be a literal may be secret, so lines without such a token
-keep the label plain throughout and are not scored: ``_TRIGGER`` finds the rest
-in one pass over the body.  A private key goes on over its base64 lines up to
-the end marker; it counts as one credential, at its opening marker.
+Only tokens that could be a literal may be secret.  ``_TRIGGER`` finds the lines
+to score in one pass over the body: those with a name that ``key_class`` calls
+strong (and the line after, where such a line opens a value), a header word with
+a literal, or a literal that stands out by itself.  Others are taken as plain.
+A private key goes on over its base64 lines up to the end marker; it counts as
+one credential, at its opening marker.
 
 Defined results: null bodies give no rows; a repeated body gives rows for each
 row; lines end at LF, a CR stays outside the redaction; a credential in pieces
@@ -33,16 +35,6 @@ from .crf import LinearChain
 
 MASK = "*"
 
-_KEY = r"passw|pwd|secret|token|api[_.-]?key|apikey|credential|passphrase|(?:signing|private|access|encryption|master|shared|account)[_.-]?key|smtp[_.-]?pass|\bpass\b|_pass\b|authorization|bearer|basic"
-_LITERAL = r"[A-Za-z0-9+/=_.~!#%&*?$@^-]"
-#: A line is scored if it has a key marker, user information in a URL, a key word followed by a literal, a long mixed literal, or a literal of known prefix.
-_TRIGGER = re.compile(
-    r"-----BEGIN |"
-    r"://[^\s/@\"'`:]*:[^\s/@\"'`]+@|"
-    rf"(?i:{_KEY})[^\n]{{0,40}}?(?:[\"'`=:]|\s)\s*[\"'`]?{_LITERAL}{{6}}|"
-    r"(?<![A-Za-z0-9])(?:[A-Z]{4}[A-Z0-9]{12,}|[A-Za-z]{2,5}[_-][A-Za-z0-9_]{16,}|eyJ[A-Za-z0-9_-]{8,})|"
-    r"(?<![\w+/=.-])(?=[A-Za-z+/]{0,60}[0-9])(?=[0-9a-z+/]{0,60}[A-Z])(?=[0-9A-Z+/]{0,60}[a-z])[A-Za-z0-9+/_-]{20,}"
-)
 _TOKEN = re.compile(
     r"(?P<pem>-----(?:BEGIN|END) [A-Z0-9 ]+-----)|(?P<scheme>[A-Za-z][A-Za-z0-9+.-]*://)|(?P<esc>\\[nrt])|"
     r"(?P<w>[\w+/](?:[\w+/~.!#%&*?^-]|\$(?!\{))*(?:={1,2}(?![\w=\"'`$<\[{(]|\s+\S))?(?<![.,])|[*x#]{4,})|(?P<p>[^\s\w])"
@@ -63,6 +55,23 @@ AGAINST = frozenset(
 FETCH = frozenset("getenv environ env getpass lookup compile match search test findall sub regexp require import startswith hasprefix contains".split())
 COMMENT = ("#", "//", "/*", "*", "--", "<!--")
 
+_KEY = r"passw|pwd|secret|token|api[_.-]?key|apikey|credential|passphrase|(?:signing|private|access|encryption|master|shared|account)[_.-]?key|smtp[_.-]?pass|\bpass\b|_pass\b|authorization|bearer|basic"
+_LITERAL = r"[A-Za-z0-9+/=_.~!#%&*?$@^-]"
+#: Superset of the names that ``key_class`` calls strong, as written in any case or camel case.
+_STRONG_NAME = (
+    rf"(?i:{'|'.join(sorted(STRONG - {'pass'}))}|(?:{'|'.join(sorted(KEY_BEFORE))})[^A-Za-z0-9\s]*key)|"
+    r"(?<![a-z])pass(?![a-z])|P(?:ass|ASS)(?![a-z])"
+)
+#: A line is scored if it has a key marker, user information in a URL, a key word followed by a literal, a strong key name, a long mixed literal, or a literal of known prefix.
+_TRIGGER = re.compile(
+    r"-----BEGIN |"
+    r"://[^\s/@\"'`:]*:[^\s/@\"'`]+@|"
+    rf"(?i:{_KEY})[^\n]{{0,40}}?(?:[\"'`=:]|\s)\s*[\"'`]?{_LITERAL}{{6}}|"
+    rf"{_STRONG_NAME}|"
+    r"(?<![A-Za-z0-9])(?:[A-Z]{4}[A-Z0-9]{12,}|[A-Za-z]{2,5}[_-][A-Za-z0-9_]{16,}|eyJ[A-Za-z0-9_-]{8,})|"
+    r"(?<![\w+/=.-])(?=[A-Za-z+/]{0,60}[0-9])(?=[0-9a-z+/]{0,60}[A-Z])(?=[0-9A-Z+/]{0,60}[a-z])[A-Za-z0-9+/_-]{20,}"
+)
+
 
 @lru_cache(maxsize=65536)
 def words_of(name: str) -> tuple[str, ...]:
@@ -260,17 +269,19 @@ class Finder:
         """``line_no, start, end, line_start, begins`` per secret token, offsets in code points of the body; begins: a case starts here."""
         out, done = [], -1
         for m in _TRIGGER.finditer(body):
-            at = m.start()
-            if at < done:
+            stop = m.end()
+            if stop <= done:
                 continue
-            lo = body.rfind("\n", 0, at) + 1
-            while lo >= 0 and lo <= m.end():
+            lo = body.rfind("\n", 0, m.start()) + 1
+            while lo >= 0 and lo <= stop:
                 hi = body.find("\n", lo)
                 hi = len(body) if hi < 0 else hi
                 if lo >= done:
                     done = self._line(body, lo, hi, config, out)
+                    if lo <= m.start() and hi - lo <= 4000 and _OPENS.search(body[lo:hi].rstrip()):
+                        stop = max(stop, min(hi + 1, len(body)))  # the value stands on the next line
                 lo = hi + 1
-                if hi >= m.end():
+                if hi >= stop:
                     break
         return [(body.count("\n", 0, s) + 1, s, e, ls, b) for s, e, ls, b in out]
 
