@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from functools import lru_cache
 from importlib import resources
@@ -325,20 +326,29 @@ class Finder:
         return done
 
     def _long(self, body: str, lo: int, line: str, config: bool, out: list) -> int:
-        """A very long line: the same labelling on overlapping windows cut at white space or quotes around each trigger."""
-        covered = -1
+        """A very long line: the same labelling on overlapping windows around each trigger, cut between tokens only."""
+        toks = tokens(line)
+        starts, ends = [t[2] for t in toks], [t[3] for t in toks]
+
+        def outside(at: int, side: list[int]) -> int:
+            """``at``, or where it is inside a token, that token's end on a side."""
+            i = bisect_left(starts, at) - 1
+            return side[i] if i >= 0 and ends[i] > at else at
+
+        done = covered = -1  # triggers up to done have their window; tokens before covered were whole in it
         for m in _TRIGGER.finditer(line):
-            if m.start() < covered:
+            if m.end() <= done:
                 continue
-            a, b = max(0, m.start() - 160), min(len(line), m.end() + 200)
+            a, b = max(0, m.start() - 160), outside(min(len(line), m.end() + 200), ends)
             while a > 0 and line[a - 1] not in " \t;{":
                 a -= 1
                 if m.start() - a > 400:
                     break
+            a = outside(a, starts)
             for s, e in self.label(line[a:b], "none", config, ""):
                 if a + s >= covered:
                     out.append((lo + a + s, lo + a + e, lo, True))
-            covered = b - 100
+            done, covered = b - 100, outside(b - 100, ends)
         return lo + len(line) + 1
 
     def _key_block(self, body: str, start: int, end: int, out: list, line_start: int) -> None:

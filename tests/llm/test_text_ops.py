@@ -116,6 +116,18 @@ def test_other_lines_are_left(line):
     assert secrets.Finder().find(line) == []
 
 
+@pytest.mark.parametrize("pad", range(0, 200, 20))
+def test_long_lines_are_cut_between_tokens(pad):
+    """Credentials longer than a window, at every place in it, are masked to their last character."""
+    rng = random.Random(pad)
+    text = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    jwt = f"eyJ{text(40)}.{text(900)}.{text(300)}"
+    line = "var a=1;" * 300 + 'x={password:"Tr4vel!ng-0wl",' + "b:1," * (pad // 4) + f'token:"{jwt}"' + "};" + "var c=2;" * 300
+    found = secrets.Finder().find(line)
+    red = secrets.redact(line, found)
+    assert len(red) == len(line) and f'token:"{"*" * len(jwt)}"' in red
+
+
 def test_every_strong_name_triggers():
     names = [v for w in secrets.STRONG for v in (w, w.upper(), f"db_{w}", f"db{w.title()}", f"db_{w}_for_the_reporting_service_of_the_second_region")]
     names += [v for w in secrets.KEY_BEFORE for v in (f"{w}_key", f"{w}Key", f"{w}-key", f"{w}.key".upper(), f"{w}__key")]
