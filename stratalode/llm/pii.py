@@ -29,6 +29,7 @@ from .crf import SemiMarkov
 MOST_WORDS, MOST_CHARS, MOST_PEOPLE = 6, 120, 100_000
 
 _AT = r"(?:@|\s?[\[({]\s?at\s?[\])}]\s?)"
+_AT_SIGN = re.compile(rf"(?i){_AT}")
 _DOT = r"(?:\.|\s?[\[({]\s?dot\s?[\])}]\s?)"
 _EMAIL = re.compile(rf"(?i)(?<![\w.+%-])[\w.+%-]*\w{_AT}[\w-]+(?:{_DOT}[\w-]+)+")
 _GROUPS = re.compile(r"(?<![\w.,/:=#@-])(?:\+|\(|(?=[A-Za-z0-9]))(?:[A-Za-z]{1,2} ?)?\(?\d[\d().\s /-]{4,24}\d ?[A-Za-z]?(?![\w@])|(?<![\w.,/:=#@-])[A-Za-z]?\d{7,14}[A-Za-z]?(?![\w@])")
@@ -45,8 +46,8 @@ _GAP = r"[ \t ]*(?:\r?\n)?[ \t ]*"
 _CITY = rf"{_CAP}(?:[ \t ](?:on|upon|in|sur|de|del|la|am|an|der|of|le)\b)*(?:[ \t -]{_CAP})*(?:[ \t ](?:on|upon|sur|am|an)[ \t ]{_CAP})?"
 _STREETS = (
     ("n-after", re.compile(rf"(?P<flat>(?i:flat|apt\.?|apartment|unit|suite|room)[ \t]\w{{1,5}},{_GAP})?(?<![\w.])(?P<no>\d{{1,5}}[A-Za-z]?),?[ \t ]{_GAP}(?:{_CAP}[ \t ]+){{1,3}}(?P<kind>(?i:{_AFTER}))(?![\w-])(?P<apt>,?{_GAP}(?i:apt\.?|apartment|unit|suite|flat|#)[ \t]?\w{{1,5}})?(?P<city>,{_GAP}{_CITY})?(?P<zip>,?[ \t ]+(?:[A-Z]{{2}}[ \t])?\d{{4,6}}(?:-\d{{4}})?|,?[ \t ]+[A-Z]{{1,2}}\d[A-Z\d]?[ \t]\d[A-Z]{{2}})?")),
-    ("n-before", re.compile(rf"(?P<flat>(?!))?(?<![\w.])(?P<no>\d{{1,5}}(?:[ \t](?:bis|ter))?),?[ \t ]{_GAP}(?P<kind>(?i:{_BEFORE}))[ \t ]+(?:(?:de|du|des|la|le|del|los|las|da|do)[ \t ]+|[ld]['’])*{_CAP}(?:[ \t ]+(?:(?:de|du|des|la|le|del)[ \t ]+)*{_CAP}){{0,3}}(?P<apt>(?!))?(?P<city>,{_GAP}\d{{4,5}}[ \t ]+{_CITY}|,{_GAP}{_CITY})?(?P<zip>(?!))?")),
-    ("before-n", re.compile(rf"(?P<flat>(?!))?(?<![\w./])(?P<kind>(?i:{_BEFORE}))[ \t ]+(?:(?:de|du|des|la|le|del|los|las|da|do|di|della)[ \t ]+|[ld]['’])*{_CAP}(?:[ \t ]+(?:(?:de|la|del)[ \t ]+)*{_CAP}){{0,3}},?[ \t ]+{_GAP}(?P<no>\d{{1,5}}[A-Za-z]?)(?P<apt>(?!))?(?P<city>,{_GAP}\d{{4,5}}[ \t ]+{_CITY}|,{_GAP}{_CITY})?(?P<zip>(?!))?")),
+    ("n-before", re.compile(rf"(?P<flat>(?!))?(?<![\w.])(?P<no>\d{{1,5}}(?:[ \t](?:bis|ter))?),?[ \t ]{_GAP}(?P<kind>(?i:{_BEFORE}))[ \t ]+(?:(?:de|du|des|la|le|del|los|las|da|das|do|dos)[ \t ]+|[ld]['’])*{_CAP}(?:[ \t ]+(?:(?:de|du|des|la|le|del)[ \t ]+)*{_CAP}){{0,3}}(?P<apt>(?!))?(?P<city>,{_GAP}\d{{4,5}}[ \t ]+{_CITY}|,{_GAP}{_CITY})?(?P<zip>(?!))?")),
+    ("before-n", re.compile(rf"(?P<flat>(?!))?(?<![\w./])(?P<kind>(?i:{_BEFORE}))[ \t ]+(?:(?:de|du|des|la|le|del|los|las|da|das|do|dos|di|della)[ \t ]+|[ld]['’])*{_CAP}(?:[ \t ]+(?:(?:de|la|del)[ \t ]+)*{_CAP}){{0,3}},?[ \t ]+{_GAP}(?P<no>\d{{1,5}}[A-Za-z]?)(?P<apt>(?!))?(?P<city>,{_GAP}\d{{4,5}}[ \t ]+{_CITY}|,{_GAP}{_CITY})?(?P<zip>(?!))?")),
     ("german", re.compile(rf"(?P<flat>(?!))?(?<![\w./-])(?P<kind>(?:{_CAP}[ \t-])?(?i:{_GERMAN}))[ \t ]+{_GAP}(?P<no>\d{{1,4}}[ ]?[a-z]?\b)(?P<apt>(?!))?(?P<city>,?{_GAP}\d{{4,5}}[ \t ]+{_CITY}|,{_GAP}{_CITY})?(?P<zip>(?!))?")),
 )
 
@@ -134,7 +135,7 @@ def _contexts(text: str, a: int, b: int) -> list[str]:
 
 def _emails(text: str) -> list[tuple]:
     out = []
-    if "@" not in text and "at]" not in text and "at)" not in text and "AT" not in text:
+    if "@" not in text and not _AT_SIGN.search(text):
         return out
     for m in _EMAIL.finditer(text):
         a, b = m.span()
@@ -190,7 +191,7 @@ _HINTS = {
     "before-n": re.compile(rf"(?<!\w)(?i:{_BEFORE})[ \t\u00a0]"),
     "german": re.compile(r"(?i:straße|strasse|str\.|weg|platz|allee|gasse|ring|damm|ufer|steig|chaussee)[ \t\u00a0\r\n]+\d"),
 }
-_FOREIGN = ("rue", "aven", "av.", "av ", "boulevard", "bd", "place", "chemin", "all\u00e9e", "allee", "quai", "impasse", "calle", "c/", "plaza", "paseo", "carrera", "camino", "via", "piazza", "corso", "travessa", "largo")
+_FOREIGN = tuple(sorted({p.replace(r"\.?", "").replace("[ée]", e) for p in _BEFORE[3:-1].split("|") for e in "ée"}))
 _PARTS = {"n-before": _FOREIGN, "before-n": _FOREIGN, "german": ("stra\u00dfe", "strasse", "str.", "weg", "platz", "allee", "gasse", "ring", "damm", "ufer", "steig", "chaussee")}
 
 

@@ -270,3 +270,15 @@ def test_pii_rows(spark):
     out = {r.doc_id: r.text for r in pii.anonymised(docs, people).collect()}
     assert out[1] == "Reply-To: [EMAIL]\nOwner: [NAME]" and out[3] == "" and 2 not in out
     assert pii.items(docs, people.limit(0)).where("doc_id = 1").count() >= 2 and pii.items(docs.limit(0), people).count() == 0
+
+
+@pytest.mark.parametrize("text", ["Rua Augusta 120", "45 Rua das Flores", "av\tMistral 12", *(f"{k} Augusta 120" for k in "rue avenue av av. boulevard bd place chemin allée allee quai impasse calle c/ plaza paseo avenida carrera camino via viale piazza corso rua travessa largo".split())])
+def test_every_street_word_passes_the_gate(text):
+    assert any(rx.search(text) for _, rx in pii._STREETS)
+    assert any(kind == "address" for _, _, kind, _ in pii.candidates(text, pii.People([])))
+
+
+@pytest.mark.parametrize("at", ["@", " [ at ] ", "{at}", "(At)", " (at) ", "[at]", "[AT]"])
+def test_every_written_at_passes_the_gate(at):
+    text = f"write to jane.doe{at}host.org now"
+    assert ("email", f"jane.doe{at}host.org") in [(kind, text[a:b]) for a, b, kind, _ in pii.candidates(text, pii.People([]))]
