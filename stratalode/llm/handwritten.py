@@ -132,7 +132,7 @@ def evidence(path: str, body: str) -> tuple[str | None, str | None]:
         if len(plain) >= 8 and sum(bool(_ACCESSOR.match(line)) for line in plain) >= 0.6 * len(plain):
             return "generated", key
     own = repository.replace("-", "_") if ext == "py" else repository
-    roots = set((_PY_ROOT if ext == "py" else _GO_ROOT).findall(rest[:20_000])) if ext in ("py", "go") else set()
+    roots = set((_PY_ROOT if ext == "py" else _GO_ROOT).findall(rest)) if ext in ("py", "go") else set()
     roots -= {"os", "xml", "concurrent", "importlib", "email", "urllib", "collections", "logging", "encoding", "net", "io", "go", "text", "html", "path", "crypto", "container", "math", "unicode", "runtime", "database", "github.com", "golang.org", "google.golang.org", "gopkg.in"}
     if roots and own not in roots and len(roots) == 1:
         (root,) = roots

@@ -282,3 +282,10 @@ def test_every_street_word_passes_the_gate(text):
 def test_every_written_at_passes_the_gate(at):
     text = f"write to jane.doe{at}host.org now"
     assert ("email", f"jane.doe{at}host.org") in [(kind, text[a:b]) for a, b, kind, _ in pii.candidates(text, pii.People([]))]
+
+
+def test_imports_far_down_a_file_count():
+    filler = "".join(f"def step_{i}(x):\n    return x * {i} + other_{i % 7}(x)\n\n\n" for i in range(600))
+    assert len(filler) > 20_000
+    assert handwritten.evidence("atlas/core/run.py", filler + "from borealis.core import job\n")[0] == "vendored"
+    assert handwritten.evidence("atlas/core/run.py", "from borealis.core import job\n" + filler + "from atlas.core import job\n")[0] is None
