@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.text import query_terms, terms
 from ..functions.vectors import dot, norm
-from .rowmap import spread
 
 K1, B, RRF_K, SHORTLIST = 1.2, 0.75, 60, 32
 
@@ -30,7 +29,7 @@ def bm25(docs: DataFrame, query: str, ident: str = "id", text: str = "text") ->
     unstemmed and keep their accents.
     """
     asked = query_terms(query)
-    src = spread(docs.where(F.col(text).isNotNull()).select(F.col(ident).alias("id"), F.col(text).alias("_text"))).select("id", terms("_text").alias("t")).select("id", F.size("t").alias("dl"), F.filter("t", lambda x: x.isin(*asked) if asked else F.lit(False)).alias("hit"))
+    src = docs.where(F.col(text).isNotNull()).select(F.col(ident).alias("id"), F.col(text).alias("_text")).select("id", terms("_text").alias("t")).select("id", F.size("t").alias("dl"), F.filter("t", lambda x: x.isin(*asked) if asked else F.lit(False)).alias("hit"))
     df = [F.sum(F.array_contains("hit", q).cast("bigint")).alias(f"df{i}") for i, q in enumerate(asked)]
     stats = src.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *df)
     n = F.col("n").cast("double")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -15,36 +16,31 @@ from ..sources.ship import ship
 OUT_ROWS = 20_000
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A small input that fills less than half of the cores is dealt out to all of them.
+_kept: dict[str, Callable] = {}
 
-    For stages whose time goes into Python: one small file would keep one core
-    busy.  An input with more partitions than that stays where it is, so large
-    tables are never shuffled for this.
-    """
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    if any(word in plan for word in ("Join", "Aggregate", "Window", "Sort", "Repartition", "Generate")):
-        return df  # it has shuffles of its own; counting its partitions would run them
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
+
+def kept(token: str, make: Callable[[], Callable]) -> Callable:
+    """What ``make`` returns, built once per Python worker and query: workers run many tasks, and models and automata take longer to build than a split to read."""
+    if token not in _kept:
+        while len(_kept) >= 4:
+            _kept.pop(next(iter(_kept)))
+        _kept[token] = make()
+    return _kept[token]
 
 
-def map_rows(df: DataFrame, make: Callable[[], Callable], schema: str, heavy: bool = False) -> DataFrame:
+def map_rows(df: DataFrame, make: Callable[[], Callable], schema: str) -> DataFrame:
     """Flat-map the rows of ``df``.
 
-    ``make`` runs once per task and returns a function that takes a row's
+    ``make`` runs once per Python worker and returns a function that takes a row's
     values in column order and returns an iterable of output tuples.  The
-    number of partitions stays that of the input, but for ``heavy`` functions over
-    small inputs (see ``spread``): nothing else is shuffled.
+    partitions stay those of the input: nothing is shuffled.
     """
     ship(df.sparkSession)
-    if heavy:
-        df = spread(df)
     spec = T.StructType.fromDDL(schema)
-    arrow = to_arrow_schema(spec)
+    arrow, token = to_arrow_schema(spec), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = make()
+        f = kept(token, make)
         out: list[tuple] = []
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):

@@ -1,9 +1,10 @@
 """Immutable generations of tables under one folder, published by compare-and-swap.
 
-A generation is a folder of parquet tables; the name of the current one is the
-highest committed pointer.  Publishing names the generation it expects to
-replace: if another writer was first, the rename fails and nothing changes.
-Attempts are recorded beside it; a terminal state is never overwritten.
+Every attempt writes its tables to a folder of its own.  A pointer file
+``_CURRENT-<n>`` names the folder of generation n; the highest pointer is in
+force.  Publishing names the generation it expects to replace: if another writer
+was first, its pointer stays and nothing it published changes.  Attempts are
+recorded beside it; a terminal state is never overwritten.
 """
 
 from __future__ import annotations
@@ -12,89 +13,95 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .pointers import Folder, fresh
+
 TERMINAL = ("ready", "failed", "interrupted", "publication_uncertain")
 
 
 class Store:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
-        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _names(self, prefix: str) -> list[int]:
-        root = self._path(self.folder)
-        if not self._fs.exists(root):
-            return []
-        return [int(s.getPath().getName()[len(prefix) :]) for s in self._fs.listStatus(root) if s.getPath().getName().startswith(prefix)]
+        self.files = Folder(spark, self.folder)
 
     def current(self) -> int:
-        return max([0, *self._names("_CURRENT-")])
-
-    def write(self, tables: dict[str, DataFrame]) -> int:
-        """Writes the tables of the next generation; nobody sees them before ``publish``."""
-        g = self.current() + 1
-        for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{self.folder}/generation-{g}/{name}")
-        return g
-
-    def publish(self, generation: int, expected: int) -> bool:
-        """Makes a generation current if ``expected`` still is; False if another writer was first."""
-        if self.current() != expected or generation != expected + 1:
-            return False
-        a, b = self._path(f"{self.folder}/_STAGED-{generation}"), self._path(f"{self.folder}/_CURRENT-{generation}")
-        self._fs.create(a, True).close()
-        return bool(not self._fs.exists(b) and self._fs.rename(a, b))
+        return max([0, *(int(n[len("_CURRENT-") :]) for n in self.files.names("_CURRENT-"))])
+
+    def write(self, tables: dict[str, DataFrame]) -> str:
+        """Writes tables to a folder of their own and returns its name; nobody sees them before ``publish``."""
+        name = fresh("tables")
+        for table, df in tables.items():
+            df.write.parquet(f"{self.folder}/{name}/{table}")
+        return name
+
+    def publish(self, written: str, expected: int) -> bool:
+        """Makes what ``write`` returned the generation after ``expected``; False if another writer was first."""
+        return self.current() == expected and self.files.claim(f"_CURRENT-{expected + 1}", written)
+
+    def _at(self, generation: int | None) -> str | None:
+        g = self.current() if generation is None else generation
+        return self.files.read(f"_CURRENT-{g}") if g and self.files.exists(f"_CURRENT-{g}") else None
 
     def read(self, table: str, generation: int | None = None) -> DataFrame:
         """A table of a pinned generation; the current one by default."""
-        g = self.current() if generation is None else generation
-        if not g:
-            raise LookupError("nothing was published yet")
-        return self.spark.read.parquet(f"{self.folder}/generation-{g}/{table}")
+        at = self._at(generation)
+        if at is None:
+            raise LookupError("nothing was published yet" if generation is None else f"no generation {generation}")
+        return self.spark.read.parquet(f"{self.folder}/{at}/{table}")
 
     def tables(self, generation: int | None = None) -> list[str]:
-        g = self.current() if generation is None else generation
-        at = self._path(f"{self.folder}/generation-{g}")
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(at)) if g and self._fs.exists(at) else []
+        at = self._at(generation)
+        return Folder(self.spark, f"{self.folder}/{at}").names() if at else []
+
+    def generation_of(self, written: str) -> int | None:
+        """The generation under which a written folder was published, if it was."""
+        for n in self.files.names("_CURRENT-"):
+            if self.files.read(n) == written:
+                return int(n[len("_CURRENT-") :])
+        return None
 
     def attempt(self, ident: str, state: str, **fields) -> dict:
         """Records the state of an attempt; raises once it has ended."""
-        at = self._path(f"{self.folder}/attempts/{ident}.json")
         known = self.attempt_state(ident)
         if known and known["state"] in TERMINAL:
             raise ValueError(f"attempt {ident} ended as {known['state']}")
         record = {**(known or {}), **fields, "attempt": ident, "state": state}
-        out = self._fs.create(at, True)
-        out.write(bytearray(json.dumps(record, sort_keys=True).encode()))
-        out.close()
+        attempts = Folder(self.spark, f"{self.folder}/attempts")
+        attempts.replace(f"{ident}.json", json.dumps(record, sort_keys=True))
         return record
 
     def attempt_state(self, ident: str) -> dict | None:
-        at = self._path(f"{self.folder}/attempts/{ident}.json")
-        if not self._fs.exists(at):
-            return None
-        f = self._fs.open(at)
-        try:
-            data = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(f)
-            return json.loads(bytes(data).decode())
-        finally:
-            f.close()
+        attempts = Folder(self.spark, f"{self.folder}/attempts")
+        return json.loads(attempts.read(f"{ident}.json")) if attempts.exists(f"{ident}.json") else None
 
 
 def lifecycle(store: Store, ident: str, build) -> int:
-    """Runs ``build() -> tables`` as one attempt and publishes what it returns; the prior generation stays in force if anything fails."""
+    """Runs ``build() -> tables`` as one attempt and publishes what it returns; the prior generation stays in force if anything fails.
+
+    Where publishing itself fails and a look at the pointers can't tell whether it
+    took effect, the attempt ends as ``publication_uncertain``.
+    """
     store.attempt(ident, "updating")
     expected = store.current()
     try:
-        g = store.write(build())
+        written = store.write(build())
     except KeyboardInterrupt:
         store.attempt(ident, "interrupted")
         raise
     except Exception as e:
         store.attempt(ident, "failed", error=type(e).__name__)
         raise
-    ok = store.publish(g, expected)
-    store.attempt(ident, "ready" if ok else "failed", generation=g)
+    try:
+        ok = store.publish(written, expected)
+    except Exception as e:
+        try:
+            ok = store.generation_of(written) is not None
+        except Exception:
+            store.attempt(ident, "publication_uncertain", error=type(e).__name__, written=written)
+            raise e from None
+        if not ok:
+            store.attempt(ident, "failed", error=type(e).__name__)
+            raise
+    store.attempt(ident, "ready" if ok else "failed", generation=expected + 1, written=written)
     if not ok:
         raise RuntimeError("another writer published first")
-    return g
+    return expected + 1

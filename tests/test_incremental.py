@@ -61,6 +61,66 @@ def test_ledger_survives_failure_and_late_commits(spark, tmp_path):
     assert numbers(spans(ledger.intervals())) == {1, 2, 3, 5, 6}
 
 
+def test_two_runs_from_the_same_generation(spark, tmp_path):
+    """A run that is slow and loses neither touches nor hides what the other committed, and can be repeated."""
+    src = spark.range(20).withColumn("v", F.col("id") * 2)
+    at = f"file://{tmp_path}/ledger"
+    slow, quick = inc.IntervalLedger(spark, at), inc.IntervalLedger(spark, at)
+
+    def process(d):
+        assert quick.run(src, "id", lambda x: x) == 1
+        return d.where("id < 5")
+
+    with pytest.raises(RuntimeError):
+        slow.run(src, "id", process)
+    assert slow.generation() == 1 and sorted(r.id for r in slow.output().collect()) == list(range(20))
+    slow.run(src.union(spark.createDataFrame([(30, 60)], "id bigint, v bigint")), "id", lambda x: x)
+    assert sorted(r.id for r in quick.output().collect()) == [*range(20), 30]
+
+
+@pytest.mark.parametrize("step", range(4))
+def test_ledger_killed_at_each_step(spark, tmp_path, monkeypatch, step):
+    """The run dies in its n-th write or when it commits; the next run takes the same records."""
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    ledger = inc.IntervalLedger(spark, f"file://{tmp_path}/ledger")
+    ledger.run(spark.range(10), "id", lambda d: d)
+    writes, real = [], DataFrameWriter.parquet
+
+    def write(self, path, *a, **k):
+        writes.append(path)
+        if len(writes) > step:
+            raise KeyboardInterrupt
+        return real(self, path, *a, **k)
+
+    def claim(*_):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        m.setattr(DataFrameWriter, "parquet", write)
+        m.setattr(ledger.files, "claim", claim)
+        with pytest.raises(KeyboardInterrupt):
+            ledger.run(spark.range(15), "id", lambda d: d)
+    assert ledger.generation() == 1
+    ledger.run(spark.range(15), "id", lambda d: d)
+    assert sorted(r.id for r in ledger.output().collect()) == list(range(15))
+    assert numbers(spans(ledger.intervals())) == set(range(15))
+
+
+def test_adopted_intervals_have_no_output(spark, tmp_path):
+    ledger = inc.IntervalLedger(spark, f"file://{tmp_path}/ledger")
+    ledger.adopt(inc.to_intervals(spark.range(5), "id"))
+    assert ledger.generation() == 1 and ledger.output() is None
+    ledger.run(spark.range(8), "id", lambda d: d)
+    assert sorted(r.id for r in ledger.output().collect()) == [5, 6, 7]
+
+
+def test_rows_that_share_a_number(spark):
+    df = spark.createDataFrame([(1, x) for x in range(50)] + [(2, 0), (3, 0)], "id bigint, v int")
+    got = inc.rows_in(df, "id", inc.to_intervals(df.where("id in (1, 3)"), "id"))
+    assert got.count() == 51 and got.where("id = 2").count() == 0
+
+
 DOCS = "id bigint, path string, stamp string, digest string, extra int, _v string"
 LOG = "log_id bigint, run_no int, path string, digest string, action string"
 
@@ -79,6 +139,17 @@ def test_changed_paths(spark):
     assert sorted(r.path for r in got.collect()) == ["failed", "gone", "new", "nodigest", "other"]
 
 
+def test_changed_paths_with_a_lasting_ledger(spark, tmp_path):
+    at = f"file://{tmp_path}/ledger"
+    docs = [(1, "a", "1:1", "x", 0, ""), (2, "b", "1:1", "y", 0, "")]
+    log = spark.createDataFrame([(1, 1, "a", "x", "scanned")], LOG)
+    runs = spark.createDataFrame([(1, "ready")], "run_no int, state string")
+    call = lambda rows: sorted(r.path for r in inc.changed_paths(spark.createDataFrame(rows, DOCS), log, runs, at).collect())
+    assert call(docs) == ["b"]
+    assert call(docs) == []
+    assert call([*docs, (3, "b", "2:1", "z", 0, ""), (4, "c", "1:1", "w", 0, "")]) == ["b", "c"]
+
+
 def test_changed_paths_of_empty_tables(spark):
     docs, log = spark.createDataFrame([], DOCS), spark.createDataFrame([], LOG)
     runs = spark.createDataFrame([], "run_no int, state string")

@@ -82,6 +82,33 @@ def test_generations(spark, tmp_path):
     assert s.current() == 3 and s.attempt_state("y") == {"attempt": "y", "state": "failed", "error": "KeyError"} and s.tables() == ["t"]
 
 
+def test_a_writer_that_loses_leaves_the_winner_alone(spark, tmp_path):
+    a, b = (generations.Store(spark, f"file://{tmp_path}/s") for _ in range(2))
+    expected = a.current(), b.current()
+    ga = a.write({"t": spark.range(3)})
+    assert a.publish(ga, expected[0])
+    gb = b.write({"t": spark.range(7)})
+    assert not b.publish(gb, expected[1])
+    assert a.current() == 1 and a.read("t").count() == 3 and a.generation_of(gb) is None and a.generation_of(ga) == 1
+
+
+def test_publication_that_cannot_be_told(spark, tmp_path, monkeypatch):
+    s = generations.Store(spark, f"file://{tmp_path}/s")
+
+    def lost(*_):
+        raise OSError("no answer")
+
+    with monkeypatch.context() as m:
+        m.setattr(s.files, "claim", lost)
+        with pytest.raises(OSError):
+            generations.lifecycle(s, "u", lambda: {"t": spark.range(1)})
+        assert s.attempt_state("u")["state"] == "failed"
+        m.setattr(s, "generation_of", lost)
+        with pytest.raises(OSError):
+            generations.lifecycle(s, "v", lambda: {"t": spark.range(1)})
+    assert s.attempt_state("v")["state"] == "publication_uncertain" and s.current() == 0
+
+
 PY = """import helper
 from pkg.util import tool as t
 
