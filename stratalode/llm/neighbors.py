@@ -2,19 +2,27 @@
 
 Vectors are scaled to unit length, so inner product is cosine.  Exact copies
 form one class with its smallest ids; a class is indexed once, whatever its size.
-Cells come from spherical k-means on a bounded sample; every class is stored in
-its nearest cell and asks in its ``probes`` nearest cells.  Within a cell,
-targets are scanned by four-bit product codes whose codebooks minimise the
-score-aware loss: the part of a residual parallel to its vector, which changes
-large inner products, weighs ``eta`` times the orthogonal part.  The best
-``rerank`` targets of every query are then scored exactly in float64.  Where the
-error of the codes leaves open whether these hold its nearest, as in a crowd of
-near-copies, the query is scored exactly against the whole block.
+Cells come from spherical k-means on a bounded sample, in two levels where there
+are many, so their number grows with the collection and their size doesn't; every
+class is stored in its nearest cell and asks in its ``probes`` nearest cells.
+How many that are is measured: for about ``ASKED`` classes the true nearest are
+found by a scan of all rows, and as many cells are asked as hold ``RECALL`` of them.
+
+Within a cell, targets are scanned by four-bit product codes whose codebooks
+minimise the score-aware loss: the part of a residual parallel to its vector,
+which changes large inner products, weighs ``eta`` times the orthogonal part.  The
+best ``rerank`` targets of every query are then scored exactly in float64.  Where
+the error of the codes leaves open whether these hold its nearest, as in a crowd
+of near-copies, the query is scored exactly against the whole block.
 
 The sixteen-entry tables are applied as one matrix product over the decoded
-codes, which gives the same sums as adding table entries subspace by subspace.
+codes, which gives the same sums as adding table entries subspace by subspace:
+without byte shuffles at hand, gathers from tables take several times as long as
+the product.  Vectors travel beside their codes, as fetching those of 64
+candidates per query afterwards would move many times as much.
 
-Defined results: null, zero, non-finite or odd-sized vectors take no part; ties
+Defined results: null, zero, non-finite or empty vectors take no part; vectors of
+different lengths are not compared, each length is a collection of its own; ties
 are broken by the smaller id; a row is not its own neighbour, its copies are.
 """
 
@@ -30,23 +38,28 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..operators.rowmap import map_rows
 from ..operators.sample import hashed_sample
 from ..operators.skew import salted_join
 from ..sources.shared import cut
 from ..sources.ship import ship
 
 K = 5
-#: Classes per cell, at most so many cells, sampled classes per cell (and at least / at most so many).
-CELL, MOST_CELLS, PER_CELL, LEAST_SAMPLE, MOST_SAMPLE = 1000, 4096, 32, 8192, 131_072
-PROBES, RERANK = 4, 64
+#: Classes per cell, sampled classes per cell, and the least sample.
+CELL, PER_CELL, LEAST_SAMPLE = 2000, 32, 8192
+#: Beyond so many cells there are two levels; no level of one cell is fitted on more than ``MOST_SAMPLE`` classes, codebooks on ``CODE_SAMPLE``.
+ONE_LEVEL, MOST_SAMPLE, CODE_SAMPLE = 4096, 131_072, 16_384
+#: Coarse cells whose fine cells a class looks at, beyond twice its probes.
+WIDER = 8
+#: Classes whose true nearest are found to measure how many cells must be asked, the share of these that the asked cells must hold, and that share where only near ones count.
+ASKED, RECALL, RECALL_NEAR = 512, 0.96, 0.999
+LEAST_PROBES, RERANK = 2, 64
 #: More than products of unit vectors in float32 and the rounding of scores are off by.
 SLACK = 1e-5
-#: Targets of one cell that one task scans; a larger cell is split.
-BLOCK = 8192
+#: Targets, and queries, of one cell that one task scans; a larger cell is split on both sides.
+BLOCK, ASK_BLOCK = 8192, 32_768
 SUBSPACES, CODES, THRESHOLD = 32, 16, 0.2
-#: Queries of one pass of the search over all rows.
-PASS = 65_536
+#: Queries of one pass of the search over all rows, and lengths of vectors told apart.
+PASS, MOST_LENGTHS = 65_536, 16
 
 
 class AnisotropicCodes:
@@ -141,40 +154,114 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 3) -> n
 
 def unit_rows(df: DataFrame, ident: str, vector: str) -> DataFrame:
     """``id, key, unit``: float32 unit vectors as bytes, and a key equal for exact copies only."""
+    spec = T.StructType.fromDDL("id bigint, key binary, unit binary")
+    arrow = to_arrow_schema(spec)
 
-    def make():
-        def row(i, v):
-            a = np.array(v, np.float32)
-            norm = float(np.linalg.norm(a.astype(np.float64)))
-            if not len(a) or not math.isfinite(norm) or norm <= 0:
-                return ()
-            return ((i, xxhash.xxh3_128_digest(a.tobytes()), (a / norm).astype(np.float32).tobytes()),)
-
-        return row
-
-    src = df.where(F.col(vector).isNotNull() & F.col(ident).isNotNull() & ~F.exists(F.col(vector), lambda x: x.isNull())).select(F.col(ident).alias("id"), F.col(vector).alias("v"))
-    return map_rows(src, make, "id bigint, key binary, unit binary")
+    def run(batches):
+        for b in batches:
+            lists = b.column(1)
+            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float32)
+            sizes = np.diff(lists.offsets.to_numpy())
+            ids = b.column(0).to_numpy()
+            starts = np.concatenate([[0], np.cumsum(sizes)])
+            for n in np.unique(sizes):  # vectors of one length form a matrix
+                at = np.flatnonzero(sizes == n)
+                if not n:
+                    continue
+                x = flat[starts[at][:, None] + np.arange(n)]
+                with np.errstate(over="ignore", invalid="ignore"):
+                    norm = np.linalg.norm(x.astype(np.float64), axis=1)
+                ok = np.isfinite(norm) & (norm > 0)
+                x, norm = x[ok], norm[ok]
+                yield _table({"id": ids[at[ok]], "key": [xxhash.xxh3_128_digest(r.tobytes()) for r in x], "unit": _bytes((x / norm[:, None]).astype(np.float32))}, arrow)
+
+    src = df.where(F.col(vector).isNotNull() & F.col(ident).isNotNull() & ~F.exists(F.col(vector), lambda x: x.isNull())).select(F.col(ident).cast("bigint").alias("id"), F.col(vector).cast("array<float>").alias("v"))
+    ship(df.sparkSession)
+    return src.mapInArrow(run, spec)
 
 
 class Index:
-    """Cells and codebooks; small enough for every task by construction (``MOST_CELLS`` centroids, 16 codewords per subspace)."""
+    """Cells and codebooks.  Sent to every task: one centroid per ``CELL`` classes, a five-hundredth of the vectors' own size at 64 numbers, and 16 codewords per subspace."""
 
-    def __init__(self, centroids: np.ndarray, codes: AnisotropicCodes):
+    def __init__(self, centroids: np.ndarray, codes: AnisotropicCodes, coarse: np.ndarray | None = None, of: np.ndarray | None = None):
         self.centroids, self.codes, self.width = centroids, codes, centroids.shape[1]
+        self.coarse, self.of = coarse, of  # coarse centroids, and for each of them where its fine cells begin (sorted by coarse cell)
 
     @classmethod
     def fit(cls, units: DataFrame) -> Index | None:
-        """Fitted on about ``MOST_SAMPLE`` rows at most, chosen by hash."""
-        sizes = units.groupBy(F.octet_length("unit").alias("n")).count().orderBy(F.desc("count"), "n").first()
-        if sizes is None:
+        """Fitted on a sample chosen by hash: ``PER_CELL`` classes per cell; units must be of one length."""
+        n = units.count()
+        if not n:
             return None
-        n = sizes["count"]
-        cells = max(1, min(MOST_CELLS, math.ceil(n / CELL)))
-        sample = max(LEAST_SAMPLE, min(MOST_SAMPLE, cells * PER_CELL))
-        rows = hashed_sample(units.where(F.octet_length("unit") == sizes["n"]), F.col("id"), sample, n).select("id", "unit").collect()
+        cells = math.ceil(n / CELL)
+        two = cells > ONE_LEVEL
+        first = math.ceil(math.sqrt(cells)) if two else cells
+        rows = hashed_sample(units, F.col("id"), max(LEAST_SAMPLE, min(MOST_SAMPLE, first * PER_CELL * (8 if two else 1))), n).select("id", "unit").collect()
         rows.sort(key=lambda r: r.id)
         x = np.stack([np.frombuffer(u, np.float32) for u in dict.fromkeys(r.unit for r in rows)])  # copies count once
-        return cls(spherical_kmeans(x, min(cells, len(x))), AnisotropicCodes.fit(x[:16_384]))
+        part = np.random.default_rng(5).permutation(len(x))[:CODE_SAMPLE]
+        codes = AnisotropicCodes.fit(x[part])
+        top = spherical_kmeans(x, min(first, len(x)))
+        if not two:
+            return cls(top, codes)
+        fine = cls._fine(hashed_sample(units, F.col("id"), cells * PER_CELL, n), top)
+        order = sorted(fine)
+        at = np.searchsorted(np.repeat(order, [len(fine[c]) for c in order]), np.arange(len(top) + 1))
+        return cls(np.concatenate([fine[c] for c in order]), codes, top, at)
+
+    @staticmethod
+    def _fine(sample: DataFrame, top: np.ndarray) -> dict[int, np.ndarray]:
+        """Fine centroids per coarse cell, each fitted in a task of its own on at most ``MOST_SAMPLE`` sampled classes."""
+        shared = sample.sparkSession.sparkContext.broadcast(top)
+        spec, out = T.StructType.fromDDL("coarse int, place bigint, unit binary"), T.StructType.fromDDL("coarse int, centroids binary")
+
+        def near(batches):
+            for b in batches:
+                raw = b.column(1).to_pylist()
+                if raw:
+                    x = np.frombuffer(b"".join(raw), np.float32).reshape(len(raw), -1)
+                    yield _table({"coarse": (x @ shared.value.T).argmax(1).astype(np.int32), "place": [xxhash.xxh64_intdigest(r) >> 1 for r in raw], "unit": raw}, to_arrow_schema(spec))
+
+        placed = sample.select("id", "unit").mapInArrow(near, spec)
+        sizes = {r.coarse: r["count"] for r in placed.groupBy("coarse").count().collect()}  # one row per coarse cell
+        share = F.coalesce(F.create_map(*[F.lit(v) for c, m in sizes.items() for v in (c, min(1.0, MOST_SAMPLE / m))])[F.col("coarse")], F.lit(1.0))
+        kept = placed.where(F.pmod(F.col("place"), F.lit(1 << 20)) < share * (1 << 20))
+
+        def fit(group: pa.Table) -> pa.Table:
+            raw = sorted(set(group.column("unit").to_pylist()))
+            c = group.column("coarse")[0].as_py()
+            x = np.frombuffer(b"".join(raw), np.float32).reshape(len(raw), -1)
+            k = max(1, min(len(x), round(sizes[c] / PER_CELL), ONE_LEVEL))
+            return pa.Table.from_batches([_table({"coarse": [c], "centroids": [spherical_kmeans(x, k).tobytes()]}, to_arrow_schema(out))])
+
+        rows = kept.groupBy("coarse").applyInArrow(fit, out).collect()  # one centroid per CELL classes
+        return {r.coarse: np.frombuffer(r.centroids, np.float32).reshape(-1, top.shape[1]) for r in rows}
+
+    def nearest(self, x: np.ndarray, probes: int) -> np.ndarray:
+        """The ``probes`` nearest cells of each row, nearest first; -1 where a row looks at fewer."""
+        p = min(probes, len(self.centroids))
+        if self.coarse is None:
+            score = x @ self.centroids.T
+            near = np.argpartition(-score, p - 1, axis=1)[:, :p]
+            return np.take_along_axis(near, np.argsort(-np.take_along_axis(score, near, 1), axis=1, kind="stable"), 1)
+        first = x @ self.coarse.T
+        first[:, self.of[1:] == self.of[:-1]] = -9.0
+        c = min(2 * p + WIDER, len(self.coarse))
+        look = np.argpartition(-first, c - 1, axis=1)[:, :c]
+        best, who = np.full((len(x), p), -9.0, np.float32), np.full((len(x), p), -1, np.int64)
+        for cell in np.unique(look):
+            lo, hi = self.of[cell], self.of[cell + 1]
+            rows = np.flatnonzero((look == cell).any(1))
+            if hi == lo or not len(rows):
+                continue
+            score = x[rows] @ self.centroids[lo:hi].T
+            m = min(p, hi - lo)
+            at = np.argpartition(-score, m - 1, axis=1)[:, :m]
+            both = np.concatenate([best[rows], np.take_along_axis(score, at, 1)], 1)
+            names = np.concatenate([who[rows], at + lo], 1)
+            order = np.argsort(-both, axis=1, kind="stable")[:, :p]
+            best[rows], who[rows] = np.take_along_axis(both, order, 1), np.take_along_axis(names, order, 1)
+        return who
 
 
 def _table(rows: dict, schema: pa.Schema) -> pa.RecordBatch:
@@ -196,26 +283,70 @@ def place(units: DataFrame, index: Index, probes: int) -> DataFrame:
         for b in batches:
             for s in range(0, b.num_rows, 4096):
                 part = b.slice(s, 4096)
-                keys, raw, ids = part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist()
-                ok = [i for i, r in enumerate(raw) if len(r) == 4 * ix.width]
-                if not ok:
-                    continue
-                keys, raw, ids = [keys[i] for i in ok], [raw[i] for i in ok], [ids[i] for i in ok]
-                x = np.frombuffer(b"".join(raw), np.float32).reshape(len(ok), ix.width)
-                score = x @ ix.centroids.T
-                p = min(probes, score.shape[1])
-                near = np.argpartition(-score, p - 1, axis=1)[:, :p]
-                first = np.take_along_axis(score, near, 1).argmax(1)
-                home = near[np.arange(len(ok)), first]
+                n = part.num_rows
+                keys, raw, ids = part.column(0), part.column(1), part.column(2)
+                x = np.frombuffer(b"".join(raw.to_pylist()), np.float32).reshape(n, ix.width)
+                near = ix.nearest(x, probes).astype(np.int32)
                 codes = _bytes(pack(ix.codes.encode(x)))
-                yield _table({"cell": home, "target": [True] * len(ok), "key": keys, "unit": raw, "codes": codes, "ids": ids}, arrow)
-                for j in range(p):
-                    yield _table({"cell": near[:, j], "target": [False] * len(ok), "key": keys, "unit": raw, "codes": [None] * len(ok), "ids": [None] * len(ok)}, arrow)
+                yield pa.RecordBatch.from_arrays([pa.array(near[:, 0]), pa.array(np.ones(n, bool)), keys, raw, pa.array(codes, pa.binary()), ids.cast(arrow.field("ids").type)], schema=arrow)
+                for j in range(near.shape[1]):
+                    ask = pa.array(np.flatnonzero(near[:, j] >= 0))
+                    m = len(ask)
+                    yield pa.RecordBatch.from_arrays([pa.array(near[:, j]).take(ask), pa.array(np.zeros(m, bool)), keys.take(ask), raw.take(ask), pa.nulls(m, pa.binary()), pa.nulls(m, arrow.field("ids").type)], schema=arrow)
 
     ship(units.sparkSession)
     return units.select("key", "unit", "ids").mapInArrow(run, spec)
 
 
+def probes_for(units: DataFrame, index: Index, total: int, k: int, least: float, recall: float) -> int:
+    """How many cells must be asked so that they hold ``recall`` of the true nearest of about ``ASKED`` rows.
+
+    The true nearest come from one exact scan of all rows for these few queries.
+    """
+    if len(index.centroids) == 1:
+        return 1
+    asked = hashed_sample(units, F.concat(F.lit("asked"), F.col("id").cast("string")), ASKED, total).select("unit").distinct().collect()
+    q = np.stack([np.frombuffer(r.unit, np.float32) for r in sorted(asked)])
+    shared = units.sparkSession.sparkContext.broadcast(q)
+    spec = T.StructType.fromDDL("q int, score double, unit binary")
+    arrow = to_arrow_schema(spec)
+
+    def run(batches):
+        q, best = shared.value, {}
+        for b in batches:
+            raw = b.column(0).to_pylist()
+            for s in range(0, len(raw), 4096):
+                part = raw[s : s + 4096]
+                score = q @ np.frombuffer(b"".join(part), np.float32).reshape(len(part), -1).T
+                m = min(2 * k + 1, len(part))
+                at = np.argpartition(-score, m - 1, axis=1)[:, :m]
+                for i in range(len(q)):
+                    got = best.setdefault(i, {})
+                    got.update((part[j], float(score[i, j])) for j in at[i])
+                    if len(got) > 4 * k + 4:
+                        best[i] = dict(sorted(got.items(), key=lambda x: -x[1])[: k + 1])
+        rows = [(i, v, u) for i, got in best.items() for u, v in sorted(got.items(), key=lambda x: -x[1])[: k + 1]]
+        if rows:
+            a, v, u = zip(*rows)
+            yield _table({"q": a, "score": v, "unit": u}, arrow)
+
+    hits = units.select("unit").mapInArrow(run, spec).distinct()
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "unit"))
+    rows = hits.withColumn("r", rank).where(F.col("r") <= k + 1).collect()  # ASKED * (k + 1) rows
+    own = [x.tobytes() for x in q]
+    rows = [r for r in rows if r.unit != own[r.q] and r.score >= least]
+    if not rows:
+        return LEAST_PROBES
+    home = index.nearest(np.stack([np.frombuffer(r.unit, np.float32) for r in rows]), 1)[:, 0]
+    p = LEAST_PROBES
+    while True:
+        near = index.nearest(q, p)
+        held = np.mean([home[i] in near[r.q] for i, r in enumerate(rows)])
+        if held >= recall or p >= len(index.centroids):
+            return p
+        p = p + max(1, p // 4)
+
+
 def _exact(q: np.ndarray, t: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
     """Scores in float64 of pairs of positions."""
     out = np.empty(len(rows))
@@ -224,12 +355,15 @@ def _exact(q: np.ndarray, t: np.ndarray, rows: np.ndarray, cols: np.ndarray) ->
     return out
 
 
-def best_of(index: Index, q: np.ndarray, t: np.ndarray, codes: np.ndarray, rerank: int, keep: int = K + 1, floor: np.ndarray | float = -2.0) -> tuple[np.ndarray, np.ndarray]:
+def best_of(index: Index, q: np.ndarray, t: np.ndarray, codes: np.ndarray, rerank: int, keep: int = K + 1, floor: np.ndarray | float = -2.0, certain: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Positions and exact scores, per query, of the ``rerank`` targets with the best coded scores.
 
-    A coded score is off by at most the length of the target's residual.  Where
-    that leaves room for an unscored target beyond ``floor`` and among the best
-    ``keep`` (ties included), the query is scored against every target instead.
+    A coded score is off by at most the length of the target's residual, and seldom
+    by more than three times what a direction of no relation to it would give, or
+    a quarter more than the worst seen among the scored.  Where the first
+    (``certain``) or the second leaves room for an unscored target beyond ``floor``
+    and among the best ``keep`` (ties included), the query is scored against every
+    target instead.
     Rows with fewer positions than others are filled up with scores of -9.
     """
     decoded = index.codes.decode(unpack(codes, index.codes.books.shape[0]))
@@ -243,8 +377,12 @@ def best_of(index: Index, q: np.ndarray, t: np.ndarray, codes: np.ndarray, reran
     kept = np.partition(score, r - keep, axis=1)[:, r - keep] if keep <= r else np.full(len(q), -2.0)
     floor = np.broadcast_to(floor, len(q))
     least = np.maximum(kept, floor) - SLACK
+    off = np.linalg.norm(t.astype(np.float64) - decoded, axis=1).astype(np.float32)
+    if not certain:
+        worst = 1.25 * (score - np.take_along_axis(approx, at, 1)).max(1).astype(np.float32)
+        off = np.minimum(off, np.maximum(3 / math.sqrt(q.shape[1]) * off, worst[:, None]))
     np.put_along_axis(approx, at, -9.0, 1)
-    approx += np.linalg.norm(t.astype(np.float64) - decoded, axis=1).astype(np.float32)
+    approx += off
     open_ = np.flatnonzero(approx.max(1) >= least)
     if not len(open_):
         return at, score
@@ -263,17 +401,19 @@ def best_of(index: Index, q: np.ndarray, t: np.ndarray, codes: np.ndarray, reran
     return at, score
 
 
-def class_neighbors(classes: DataFrame, index: Index, probes: int = PROBES, rerank: int = RERANK, least: float = -2.0, k: int = K) -> DataFrame:
+def class_neighbors(classes: DataFrame, index: Index, probes: int, rerank: int = RERANK, least: float = -2.0, k: int = K) -> DataFrame:
     """``key, near``: per class the best ``k + 1`` ``(score, id)`` of all classes it met, its own ids among them."""
     shared = classes.sparkSession.sparkContext.broadcast(index)
     placed = place(classes, index, probes)
-    # a crowded cell is split into blocks of targets; its queries go to each of them
-    crowded = placed.where("target").groupBy("cell").count().where(F.col("count") > BLOCK).select("cell", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    blocks = {r.cell: r.blocks for r in crowded.collect()}  # at most MOST_CELLS rows
+    # a crowded cell is cut on both sides: every block of its targets meets every block of its queries once
+    sizes = placed.groupBy("cell").agg(F.sum(F.col("target").cast("int")).alias("t"), F.count("*").alias("n"))
+    crowded = sizes.where((F.col("t") > BLOCK) | (F.col("n") - F.col("t") > ASK_BLOCK)).select("cell", F.ceil(F.col("t") / BLOCK).cast("int").alias("tb"), F.ceil((F.col("n") - F.col("t")) / ASK_BLOCK).cast("int").alias("qb"))
+    blocks = {r.cell: (max(1, r.tb), max(1, r.qb)) for r in crowded.collect()}  # at most one row per cell
     if blocks:
-        of = F.coalesce(F.create_map(*[F.lit(v) for kv in blocks.items() for v in kv])[F.col("cell")], F.lit(1))
-        spread = F.when(F.col("target"), F.array(F.pmod(F.xxhash64("key"), of).cast("int"))).otherwise(F.sequence(F.lit(0), of - 1))
-        placed = placed.withColumn("block", F.explode(spread))
+        of = lambda i: F.coalesce(F.create_map(*[F.lit(v) for c, b in blocks.items() for v in (c, b[i])])[F.col("cell")], F.lit(1))
+        tb, qb, h = of(0), of(1), F.xxhash64("key")
+        mine = F.when(F.col("target"), F.transform(F.sequence(F.lit(0), qb - 1), lambda j: F.pmod(h, tb).cast("int") * qb + j)).otherwise(F.transform(F.sequence(F.lit(0), tb - 1), lambda i: i * qb + F.pmod(h, qb).cast("int")))
+        placed = placed.withColumn("block", F.explode(mine))
     else:
         placed = placed.withColumn("block", F.lit(0))
     out = T.StructType.fromDDL("key binary, score double, id bigint")
@@ -296,7 +436,7 @@ def class_neighbors(classes: DataFrame, index: Index, probes: int = PROBES, rera
         keys = group.column("key").take(pa.array(qi)).to_pylist()
         q, found = matrix(qi), []
         for s in range(0, len(qi), 1024):
-            at, score = best_of(ix, q[s : s + 1024], t, codes, rerank, k + 1, least)
+            at, score = best_of(ix, q[s : s + 1024], t, codes, rerank, k + 1, least, least > 0)
             rows, cols = np.nonzero(score >= least)
             if not len(rows):
                 continue
@@ -328,22 +468,35 @@ def class_neighbors(classes: DataFrame, index: Index, probes: int = PROBES, rera
     return near.select("key", F.slice(F.array_sort("near"), 1, k + 1).alias("near"))
 
 
-def neighbors(df: DataFrame, ident: str = "id", vector: str = "vector", k: int = K, least: float = -2.0, probes: int = PROBES, rerank: int = RERANK) -> DataFrame:
-    """``id, rank, neighbor, cosine``: for every row with a vector its ``k`` most similar rows of at least ``least``."""
-    units = cut(unit_rows(df, ident, vector))  # scaled once; classes, sample and rows read it back
-    w = Window.partitionBy("key").orderBy("id")
-    ranked = units.withColumn("rank", F.row_number().over(w))
-    first = ranked.where(F.col("rank") <= k + 1)  # cut per task before the shuffle, so a crowd of copies doesn't travel
-    classes = first.groupBy("key").agg(F.min("unit").alias("unit"), F.array_sort(F.collect_list("id")).alias("ids"))
-    index = Index.fit(units)
-    spec = "id bigint, rank int, neighbor bigint, cosine double"
-    if index is None:
-        return df.sparkSession.createDataFrame([], spec)
-    near = class_neighbors(classes, index, probes, rerank, least, k)
-    rows = salted_join(units.select("id", "key"), near, ["key"], F.col("id"))
-    others = F.slice(F.filter("near", lambda x: x["id"] != F.col("id")), 1, k)
-    out = rows.select("id", F.posexplode(others).alias("rank", "n"))
-    return out.select("id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("n.id").alias("neighbor"), (-F.col("n.cost")).alias("cosine"))
+def neighbors(df: DataFrame, ident: str = "id", vector: str = "vector", k: int = K, least: float = -2.0, probes: int | None = None, rerank: int = RERANK) -> DataFrame:
+    """``id, rank, neighbor, cosine``: for every row with a vector its ``k`` most similar rows of at least ``least``.
+
+    ``probes``: cells asked per class; measured (``probes_for``) if not given.
+    """
+    spark, spec = df.sparkSession, "id bigint, rank int, neighbor bigint, cosine double"
+    scaled = cut(unit_rows(df, ident, vector))  # scaled once; classes, sample and rows read it back
+    out = None
+    for size in _lengths(scaled):
+        units = scaled.where(F.octet_length("unit") == size)
+        w = Window.partitionBy("key").orderBy("id")
+        first = units.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k + 1)  # cut per task before the shuffle, so a crowd of copies doesn't travel
+        classes = first.groupBy("key").agg(F.min("unit").alias("unit"), F.array_sort(F.collect_list("id")).alias("ids"))
+        index = Index.fit(units)
+        p = probes or probes_for(units, index, units.count(), k, least, RECALL_NEAR if least > 0 else RECALL)
+        near = class_neighbors(classes, index, p, rerank, least, k)
+        rows = salted_join(units.select("id", "key"), near, ["key"], F.col("id"))
+        others = F.slice(F.filter("near", lambda x: x["id"] != F.col("id")), 1, k)
+        got = rows.select("id", F.posexplode(others).alias("rank", "n")).select("id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("n.id").alias("neighbor"), (-F.col("n.cost")).alias("cosine"))
+        out = got if out is None else out.unionByName(got)
+    return spark.createDataFrame([], spec) if out is None else out
+
+
+def _lengths(units: DataFrame) -> list[int]:
+    """Sizes in bytes of the vectors."""
+    sizes = [r.n for r in units.groupBy(F.octet_length("unit").alias("n")).count().orderBy(F.desc("count"), "n").limit(MOST_LENGTHS + 1).collect()]
+    if len(sizes) > MOST_LENGTHS:
+        raise ValueError(f"vectors of more than {MOST_LENGTHS} different lengths")
+    return sizes
 
 
 def similar_pairs(df: DataFrame, least: float = 0.9, k: int = K) -> DataFrame:
@@ -359,21 +512,37 @@ def search(df: DataFrame, queries: DataFrame, ident: str = "id", vector: str = "
     its best are scored exactly.  Queries go in passes of ``PASS`` (16 MB of
     64 numbers), so what a pass sends to the tasks is bounded however many there are.
     """
+    none = "id bigint, rank int, neighbor bigint, cosine double"
+    scaled, wanted = cut(unit_rows(df, ident, vector)), unit_rows(queries, ident, vector)
+    result = None
+    for size in _lengths(scaled):
+        same = F.octet_length("unit") == size
+        hits = _scan_all(scaled.where(same), wanted.where(same), k, rerank)
+        if hits is not None:
+            result = hits if result is None else result.union(hits)
+    if result is None:
+        return df.sparkSession.createDataFrame([], none)
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "neighbor"))
+    return result.withColumn("rank", rank).where(F.col("rank") <= k).select("id", "rank", "neighbor", "cosine")
+
+
+def _scan_all(units: DataFrame, asked: DataFrame, k: int, rerank: int) -> DataFrame | None:
+    """``id, cosine, neighbor``: the best ``k`` of every task for every query."""
     spec = T.StructType.fromDDL("id bigint, cosine double, neighbor bigint")
     arrow = to_arrow_schema(spec)
-    units, asked = unit_rows(df, ident, vector), unit_rows(queries, ident, vector)
-    index = Index.fit(units)
     total = asked.count()
-    if index is None or not total:
-        return df.sparkSession.createDataFrame([], "id bigint, rank int, neighbor bigint, cosine double")
+    if not total:
+        return None
+    index = Index.fit(units)
     passes = math.ceil(total / PASS)
-    ship(df.sparkSession)
+    spark = units.sparkSession
+    ship(spark)
     result = None
     for p in range(passes):
-        part = asked.where(F.pmod(F.xxhash64("id"), F.lit(passes)) == p).select("id", "unit").where(F.octet_length("unit") == 4 * index.width).collect()
+        part = asked.where(F.pmod(F.xxhash64("id"), F.lit(passes)) == p).select("id", "unit").collect()
         if not part:
             continue
-        shared = df.sparkSession.sparkContext.broadcast((index, np.array([r.id for r in part]), np.stack([np.frombuffer(r.unit, np.float32) for r in part])))
+        shared = spark.sparkContext.broadcast((index, np.array([r.id for r in part]), np.stack([np.frombuffer(r.unit, np.float32) for r in part])))
 
         def run(batches, shared=shared):
             ix, ids, q = shared.value
@@ -383,10 +552,7 @@ def search(df: DataFrame, queries: DataFrame, ident: str = "id", vector: str = "
                 for s in range(0, b.num_rows, 4096):
                     piece = b.slice(s, 4096)
                     raw, mine = piece.column(1).to_pylist(), piece.column(0).to_numpy()
-                    ok = np.array([len(r) == 4 * ix.width for r in raw])
-                    if not ok.any():
-                        continue
-                    t, mine = np.frombuffer(b"".join(r for r in raw if len(r) == 4 * ix.width), np.float32).reshape(-1, ix.width), mine[ok]
+                    t = np.frombuffer(b"".join(raw), np.float32).reshape(-1, ix.width)
                     codes = pack(ix.codes.encode(t))
                     for a in range(0, len(q), 1024):
                         at, score = best_of(ix, q[a : a + 1024], t, codes, rerank, k + 1, best[a : a + 1024, -1])
@@ -403,5 +569,4 @@ def search(df: DataFrame, queries: DataFrame, ident: str = "id", vector: str = "
 
         hits = units.select("id", "unit").mapInArrow(run, spec)
         result = hits if result is None else result.union(hits)
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "neighbor"))
-    return result.withColumn("rank", rank).where(F.col("rank") <= k).select("id", "rank", "neighbor", "cosine")
+    return result

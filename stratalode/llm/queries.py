@@ -55,6 +55,11 @@ def p7_found(spark, d):
     return neighbors.similar_pairs(table(spark, d, "docs"))
 
 
+def p7_neighbors(spark, d):
+    """The five most similar rows of every row with a vector."""
+    return neighbors.neighbors(table(spark, d, "docs")).select("id", "rank", "neighbor")
+
+
 def p7_search(spark, d):
     """Every row whose id is divisible by 50, against all rows."""
     docs = table(spark, d, "docs")
@@ -88,7 +93,7 @@ def p10_anonymised(spark, d):
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_reasons, p3_found, p3_scores, p4_found, p4_redacted, p6_found, p6_pieces, p7_found, p7_search, p8_found, p8_passages, p9_mix, p9_shares, p10_found, p10_anonymised)
+    f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_reasons, p3_found, p3_scores, p4_found, p4_redacted, p6_found, p6_pieces, p7_found, p7_neighbors, p7_search, p8_found, p8_passages, p9_mix, p9_shares, p10_found, p10_anonymised)
 }
 
 _COUNTS = """

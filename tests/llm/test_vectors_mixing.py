@@ -97,6 +97,31 @@ def test_recall_of_cells_and_search(spark, monkeypatch):
     assert sum(len(found[i] & set(full[i])) for i in asked) / (5 * len(asked)) >= 0.9
 
 
+@pytest.mark.parametrize("cell, one_level", [(400, 4096), (100, 4096), (30, 4096), (30, 16)])
+def test_recall_of_five_of_every_row(spark, monkeypatch, cell, one_level):
+    """Neighbours far apart, at several numbers of cells and with two levels: the measured probes hold the recall."""
+    monkeypatch.setattr(neighbors, "CELL", cell)
+    monkeypatch.setattr(neighbors, "ONE_LEVEL", one_level)
+    monkeypatch.setattr(neighbors, "BLOCK", 150)
+    rng = np.random.default_rng(6)
+    centre = rng.normal(size=(60, 24))
+    v = (centre[rng.integers(0, 60, 3000)] + 1.2 * rng.normal(size=(3000, 24))).astype(np.float32)
+    ids = list(range(len(v)))
+    got = {}
+    for r in neighbors.neighbors(frame(spark, v, ids)).collect():
+        got.setdefault(r.id, set()).add(r.neighbor)
+    want = brute(v.astype(np.float64), ids)
+    assert all(len(got[i]) == 5 for i in ids)
+    assert sum(len(got[i] & set(want[i])) for i in ids) / (5 * len(ids)) >= 0.9
+
+
+def test_lengths_are_collections_of_their_own(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, [1.0, 0.0, 0.0]), (4, [1.0, 0.0, 0.1]), (5, [])], "id bigint, vector array<float>")
+    got = {(r.id, r.neighbor) for r in neighbors.neighbors(df).collect()}
+    assert got == {(1, 2), (2, 1), (3, 4), (4, 3)}
+    assert {(r.id, r.neighbor) for r in neighbors.search(df, df.where("id in (2, 3)")).collect()} == {(2, 1), (3, 4)}
+
+
 DOC = "doc_id bigint, text string, source string, tokens int"
 
 
