@@ -9,7 +9,9 @@ Any run of ``words`` consecutive item words contains one of the item's aligned
 blocks of ``words // 2``.  These blocks are the patterns of one Aho-Corasick
 automaton, which scans each document's stream once; every hit is extended to
 both sides against its item, and counts if the matched stretch, cut back to word
-ends on both sides, still holds ``words`` words.  Offsets map to the original.
+ends on both sides, still holds ``words`` words.  Every such stretch comes out,
+those of one item that overlap in the document as the longest of them.  Stream
+and offsets are built in one pass, so every passage has its place in the original.
 
 Items are a fixed evaluation set: at most ``MOST_ITEM_CHARS`` characters of item
 text are taken to the driver, more raise an error.  Defined results: null or
@@ -33,6 +35,10 @@ WORDS = 12
 MOST_ITEM_CHARS = 20_000_000
 _KEEP = regex.compile(r"[\p{L}\p{N}]+")
 _SPACE = regex.compile(r"\s+")
+#: Nothing composes with an ASCII character before it, so these stretches fold by themselves.
+_SEGMENT = regex.compile(r"[\x00-\x7f]?[^\x00-\x7f]+|[\x00-\x7f]")
+#: A character and what may compose with it: combining marks, and the letters of a Hangul syllable.
+_CLUSTER = regex.compile(r"\p{L}?[\u1100-\u11FF]+|(?s:.)\p{M}*(?:[\u1160-\u11FF]+)?")
 _ENTITY = regex.compile(r"&(?:#\d+|#x[0-9a-fA-F]+|[a-zA-Z]+);")
 
 
@@ -71,13 +77,23 @@ def stream(text: str) -> tuple[str, list[int], list[int]]:
 
 
 def original_offsets(text: str) -> list[int]:
-    """For every character of the stream, its place in ``text`` (code points)."""
+    """For every character of the stream, its place in ``text`` (code points).
+
+    Folding is done cluster by cluster (a character with the marks that may
+    compose with it), so folded and original characters stay together.
+    """
     seen, at = shown(text)
+    if seen.isascii():
+        return [at[m] if at else m for m, c in enumerate(seen) if c.isalnum()]
     out = []
-    for i, c in enumerate(seen):
-        for d in fold(c):
-            if _KEEP.match(d):
-                out.append(at[i] if at else i)
+    for segment in _SEGMENT.finditer(seen):
+        text, start = segment.group(), segment.start()
+        one: list[int] = []
+        for m in _CLUSTER.finditer(text):
+            place = start + m.start()
+            one += [at[place] if at else place] * sum(map(len, _KEEP.findall(fold(m.group()))))
+        whole = sum(map(len, _KEEP.findall(fold(text))))
+        out += one if len(one) == whole else [at[start] if at else start] * whole  # a composition across clusters: the run's place
     return out
 
 
@@ -102,11 +118,11 @@ class Scanner:
             self.automaton.make_automaton()
 
     def scan(self, text: str | None) -> list[tuple[int, int, int, int]]:
-        """``item_id, start, end, words`` (stream offsets) of the longest stretch per item."""
+        """``item_id, start, end, words`` (stream offsets) of every stretch; of those of one item that overlap, the longest."""
         if not text or not self.any:
             return []
         s, starts, ends = stream(text)
-        best: dict[int, tuple] = {}
+        found: dict[int, set] = {}
         for last, (length, where) in self.automaton.iter(s):
             a, b = last + 1 - length, last + 1
             for k, at in where:
@@ -125,9 +141,16 @@ class Scanner:
                 while first <= final and not self._at(ends, t_ends[final] + shift):
                     final -= 1
                 n = final - first + 1
-                if n >= self.words and n > best.get(ident, (0, 0, 0))[2]:
-                    best[ident] = (t_starts[first] + shift, t_ends[final] + shift, n)
-        return [(ident, *v) for ident, v in sorted(best.items())]
+                if n >= self.words:
+                    found.setdefault(ident, set()).add((t_starts[first] + shift, t_ends[final] + shift, n))
+        out = []
+        for ident, spans in sorted(found.items()):
+            kept: list[tuple] = []
+            for span in sorted(spans, key=lambda v: (-v[2], v[0])):
+                if all(span[1] <= a or b <= span[0] for a, b, _ in kept):
+                    kept.append(span)
+            out += [(ident, *v) for v in sorted(kept)]
+        return out
 
     @staticmethod
     def _at(array: list[int], v: int) -> bool:
@@ -136,7 +159,7 @@ class Scanner:
 
 
 def leaks(documents: DataFrame, items: DataFrame, ident: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
-    """``doc_id, item_id, start_char, end_char, words``: the longest shared passage of every leaking pair."""
+    """``doc_id, item_id, start_char, end_char, words``: every shared passage of every leaking pair."""
     size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     if size > MOST_ITEM_CHARS:
         raise ValueError(f"the evaluation set has {size} characters; at most {MOST_ITEM_CHARS} fit one automaton, scan it in parts")
@@ -151,8 +174,7 @@ def leaks(documents: DataFrame, items: DataFrame, ident: str = "doc_id", text: s
             if not found:
                 return ()
             at = original_offsets(body)
-            aligned = len(at) == len(stream(body)[0])  # compositions across characters can shift folded offsets
-            return [(i, item, at[a] if aligned else None, at[b - 1] + 1 if aligned else None, n) for item, a, b, n in found]
+            return [(i, item, at[a], at[b - 1] + 1, n) for item, a, b, n in found]
 
         return row
 

@@ -240,6 +240,21 @@ def test_leaks_against_windows(spark):
     assert leaks.leaks(df, it.limit(0)).count() == 0 and leaks.leaks(df.limit(0), it).count() == 0
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.one_of(st.characters(), st.sampled_from("aé\u0301\u0327\u1100\u1161\u11a8ﬁ½İΣß&;#x4\u200b")), max_size=40))
+def test_every_place_of_the_stream_has_an_offset(text):
+    at = leaks.original_offsets(text)
+    assert len(at) == len(leaks.stream(text)[0]) and at == sorted(at) and all(0 <= i < len(text) for i in at)
+
+
+def test_all_passages_come_out(spark):
+    """Two passages of one item, shifted offsets from folded characters before them."""
+    text = "ﬁﬁ ½ e\u0301 " + " ".join(WORDS[:13]) + " and then " + " ".join(WORDS[8:])
+    df, it = spark.createDataFrame([(1, text)], "doc_id bigint, text string"), spark.createDataFrame([(7, ITEM)], "item_id int, text string")
+    rows = sorted((r.start_char, r.end_char, r.words) for r in leaks.leaks(df, it).collect())
+    assert [text[a:b].split()[0] for a, b, _ in rows] == [WORDS[0], WORDS[8]] and [n for *_, n in rows] == [13, len(WORDS) - 8]
+
+
 # 10
 
 
