@@ -1,23 +1,28 @@
 """Mixing sources to target weights (problem 9).
 
 1. Tokens of every document are counted with a public tokenizer.
-2. A multinomial naive Bayes classifier over hashed words is fitted on a bounded
-   sample of labelled rows (about ``TRAIN_ROWS``, chosen by hash).  With the row's own label as further
-   evidence (wrong with probability ``NOISE``) it gives each document a posterior
-   over the sources.
-3. Rates of how often a document is taken, between 0 and its source's
-   ``max_repeats``, are fitted by projected gradient on the squared relative gap
-   between expected source totals and targets.  Each step is one aggregation;
-   rates are not stored but replayed from the short history of gaps.
-4. Rates become whole repeats: the integer part for every document, one more for
+2. A naive Bayes classifier over the labelled table (hashed words of the text and
+   the values of ``columns``) is fitted on a bounded sample of labelled rows (about
+   ``TRAIN_ROWS``, chosen by hash), in two halves: a row is judged by the half it
+   isn't in, so its own label never speaks for it.  How much the words count
+   against the columns is what predicts the other half best.
+3. Sources that the classifier can't tell apart form one domain; a document's
+   posterior over sources becomes one over domains.
+4. Documents of one source, most likely domain and tenth of its probability share
+   a rate, between 0 and the source's ``max_repeats``.  One distributed pass sums
+   their tokens and expected domain tokens; projected gradient on these sums fits
+   the rates by least squares, so that expected domain totals meet the targets of
+   their sources, over the rates that give every source its own.  Within a source,
+   documents that read like another domain thereby give way to those that don't.
+5. Rates become whole repeats: the integer part for every document, one more for
    the documents below a hash threshold chosen so that the source's counted
    tokens come as near to its target as whole documents allow.
 
 A source's target is its share of all tokens of the documents table (``total``
-can set another size).  A source that cannot reach it, because it has too few
-documents for ``max_repeats``, is taken in full and its shortfall reported; a
-source without documents reports 0.  Rows with null source belong to no target;
-null texts have no tokens and are not chosen.
+can set another size).  A source that cannot reach it, because even all its
+documents ``max_repeats`` times are too few, is taken in full and reported as
+short; a source without documents reports 0.  Rows with null source belong to no
+target; null texts have no tokens and are not chosen.
 """
 
 from __future__ import annotations
@@ -27,58 +32,124 @@ import math
 import re
 
 import numpy as np
-import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..operators.rowmap import map_rows
 from ..operators.sample import hashed_sample
 from ..sources.shared import cut
-from ..sources.ship import ship
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Split pattern that belongs to the byte-level vocabulary (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-TRAIN_ROWS, HASHES, NOISE, STEPS = 20_000, 1 << 13, 1e-3, 12
-MOST_SOURCES = 10_000
+TRAIN_ROWS, HASHES, STEPS = 20_000, 1 << 13, 300
+#: Columns of the table the classifier may look at, where there are such.
+COLUMNS = ("genre", "repository", "lang")
+#: Sources, and groups of documents that share a rate, that the driver holds.
+MOST_SOURCES, MOST_GROUPS = 1000, 200_000
+#: Two sources are one domain if a document of one is given at least this share of what the other's own documents are given.
+SAME = 0.5
+#: Posterior entries below this are left out.
+LEAST = 1e-3
 BUCKETS = 4096
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def _features(text: str) -> list[int]:
+def _words(text: str) -> list[int]:
     return [xxhash.xxh32_intdigest(w) % HASHES for w in set(_WORD.findall(text.lower()))]
 
 
 class Posterior:
-    """Log word probabilities per source; scores are averaged per word, so long texts do not turn certain."""
+    """Log probabilities of hashed words and of column values per source."""
 
-    def __init__(self, sources: list[str], rows: list[tuple[str, str]], smooth: float = 0.5):
-        self.sources = sources
+    def __init__(self, sources: list[str], rows: list[tuple], smooth: float = 0.05):
+        """``rows``: source, text, values of the columns."""
+        self.sources, n = sources, len(sources)
         at = {s: k for k, s in enumerate(sources)}
-        counts = np.full((len(sources), HASHES), smooth)
-        per = np.ones(len(sources))
-        for source, text in rows:
-            k = at.get(source)
-            if k is not None:
-                counts[k, _features(text or "")] += 1
-                per[k] += 1
-        self.log = np.log(counts / (per[:, None] + 2 * smooth)).astype(np.float32)
-        self.prior = np.log(per / per.sum()).astype(np.float32)
-        self.at = at
-
-    def of(self, text: str, source: str | None) -> np.ndarray:
-        f = _features(text)
-        score = self.prior + (self.log[:, f].mean(1) if f else 0)
-        k = self.at.get(source)
-        if k is not None and len(self.sources) > 1:
-            label = np.full(len(self.sources), math.log(NOISE / (len(self.sources) - 1)))
-            label[k] = math.log(1 - NOISE)
-            score = score + label
-        p = np.exp(score - score.max())
-        return p / p.sum()
+        counts, per = np.full((n, HASHES), smooth, np.float64), np.full(n, 0.5)
+        width = len(rows[0]) - 2 if rows else 0
+        seen: list[dict] = [{} for _ in range(width)]
+        for source, text, *values in rows:
+            k = at[source]
+            counts[k, _words(text or "")] += 1
+            per[k] += 1
+            for column, v in zip(seen, values):
+                column.setdefault(v, np.full(n, smooth))[k] += 1
+        self.log = np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32).T.copy()
+        self.prior = np.log(per / per.sum())
+        self.columns = [{v: np.log(c / (per + smooth * (len(column) + 1))) for v, c in column.items()} for column in seen]
+        self.other = [np.log(smooth / (per + smooth * (len(column) + 1))) for column in seen]
+        self.weight = 0.0
+
+    def parts(self, text: str, values: tuple) -> tuple[np.ndarray, np.ndarray]:
+        f = _words(text or "")
+        table = self.prior + sum((c.get(v, o) for c, o, v in zip(self.columns, self.other, values)), np.zeros(len(self.sources)))
+        return table, self.log[f].sum(0) if f else np.zeros(len(self.sources))
+
+    def of(self, text: str, values: tuple) -> np.ndarray:
+        table, words = self.parts(text, values)
+        return _normal(table + self.weight * words)
+
+
+def _normal(score: np.ndarray) -> np.ndarray:
+    p = np.exp(score - score.max())
+    return p / p.sum()
+
+
+def fold_of(ident: int) -> int:
+    """The half of the sample a document belongs to."""
+    return xxhash.xxh32_intdigest(str(ident)) & 1
+
+
+def fit_classifier(sources: list[str], rows: list[tuple]) -> tuple[list[Posterior], list[list[int]]]:
+    """Two models, each for the documents of its number's fold, and the domains as lists of source numbers.
+
+    ``rows``: doc_id, source, text, values of the columns.
+    """
+    halves = [[r[1:] for r in rows if fold_of(r[0]) == f] for f in (0, 1)]
+    models = [Posterior(sources, halves[1]), Posterior(sources, halves[0])]
+    at = {s: k for k, s in enumerate(sources)}
+    judged = [(f, at[r[0]], models[f].parts(r[1], tuple(r[2:]))) for f in (0, 1) for r in halves[f][:2000]]
+    weights = (0.0, 0.01, 0.03, 0.1, 0.3, 1.0)
+    fit = {w: sum(math.log(max(_normal(t + w * x)[k], 1e-12)) for _, k, (t, x) in judged) for w in weights}
+    best = max(weights, key=lambda w: (fit[w], -w))
+    for m in models:
+        m.weight = best
+    n = len(sources)
+    given, seen = np.zeros((n, n)), np.zeros(n)
+    for _, k, (t, x) in judged:
+        given[k] += _normal(t + best * x)
+        seen[k] += 1
+    given /= np.maximum(seen, 1)[:, None]
+    own = np.maximum(np.diag(given), 1e-12)
+    like = given / own[None, :]
+    group = list(range(n))
+
+    def top(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for i in range(n):
+        for j in range(i):
+            if seen[i] and seen[j] and like[i, j] >= SAME and like[j, i] >= SAME:
+                a, b = sorted((top(i), top(j)))
+                group[b] = a
+    domains: dict[int, list[int]] = {}
+    for i in range(n):
+        domains.setdefault(top(i), []).append(i)
+    return models, list(domains.values())
+
+
+def read_bytes(spark: SparkSession, path: str) -> bytes:
+    """A file of any file system Spark reads; a plain path is looked up on the driver's machine."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path if "://" in path else f"file://{path}")
+    f = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(at)
+    try:
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(f))
+    finally:
+        f.close()
 
 
 def token_counter(ranks: bytes):
@@ -89,74 +160,68 @@ def token_counter(ranks: bytes):
     return lambda text: len(encoding.encode_ordinary(text))
 
 
-def _scored(documents: DataFrame, classifier: Posterior, ranks: bytes) -> DataFrame:
-    shared = documents.sparkSession.sparkContext.broadcast((classifier, ranks))
+def _scored(documents: DataFrame, columns: list[str], models: list[Posterior], domains: list[list[int]], ranks: bytes) -> DataFrame:
+    """Tokens, most likely domain, tenth of its probability, and the domains' posterior (``domain, p``) of every readable document."""
+    shared = documents.sparkSession.sparkContext.broadcast((models, domains, ranks))
 
     def make():
-        model, raw = shared.value
+        models, domains, raw = shared.value
         count = token_counter(raw)
-
-        def row(i, source, text):
-            known = source in model.at
-            return [(i, source if known else None, count(text), [float(x) for x in model.of(text, source)] if known else None)]
+        known = set(models[0].sources)
+
+        def row(i, source, text, *values):
+            if source not in known:
+                return [(i, None, count(text), None, None, None)]
+            p = models[fold_of(i)].of(text, values)
+            d = [(k, float(p[m].sum())) for k, m in enumerate(domains)]
+            d = [x for x in d if x[1] >= LEAST]
+            total = sum(v for _, v in d)
+            k, v = max(d, key=lambda x: x[1])
+            return [(i, source, count(text), k, min(9, int(10 * v / total)), [{"domain": a, "p": b / total} for a, b in d])]
 
         return row
 
-    src = documents.where(F.col("text").isNotNull()).select("doc_id", "source", "text")
-    return map_rows(src, make, "doc_id bigint, source string, tokens bigint, posterior array<float>")
-
-
-def _replay(p: np.ndarray, cap: np.ndarray, start: np.ndarray, history: list[np.ndarray]) -> np.ndarray:
-    """Rates after the steps of ``history`` (relative gap per source), from the same start for all."""
-    r = np.minimum(p @ start, cap)
-    for gap in history:
-        r = np.clip(r - p @ gap, 0.0, cap)
-    return r
-
-
-def fit_rates(scored: DataFrame, caps: np.ndarray, budget: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Start rates and gaps of the projected gradient; minimises sum over sources of ((expected - budget) / available)^2."""
-    n = len(caps)
-    spec = T.StructType.fromDDL("k int, tokens double, available double")
-    arrow = to_arrow_schema(spec)
-    ship(scored.sparkSession)
-    labelled = scored.where(F.col("source").isNotNull()).select("tokens", "posterior")
-
-    def totals(start, history):
-        def run(batches):
-            taken, there = np.zeros(n), np.zeros(n)
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                t = b.column(0).to_numpy().astype(np.float64)
-                p = b.column(1).flatten().to_numpy().astype(np.float64).reshape(-1, n)
-                taken += (_replay(p, p @ caps, start, history) * t) @ p
-                there += t @ p
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n, dtype=np.int32)), pa.array(taken), pa.array(there)], schema=arrow)
-
-        rows = labelled.mapInArrow(run, spec).groupBy("k").agg(F.sum("tokens").alias("t"), F.sum("available").alias("a")).collect()  # one row per source
-        taken, there = np.zeros(n), np.zeros(n)
-        for r in rows:
-            taken[r.k], there[r.k] = r.t, r.a
-        return taken, there
-
-    _, available = totals(np.zeros(n), [])
-    safe = np.maximum(available, 1e-9)
-    start = np.minimum(budget / safe, caps)
-    history: list[np.ndarray] = []
-    best = None
+    src = documents.where(F.col("text").isNotNull()).select("doc_id", "source", "text", *columns)
+    return map_rows(src, make, "doc_id bigint, source string, tokens bigint, top int, tenth int, posterior array<struct<domain: int, p: float>>")
+
+
+def fit_rates(tokens: np.ndarray, expected: np.ndarray, source: np.ndarray, caps: np.ndarray, budget: np.ndarray, domain_of: np.ndarray, steps: int = STEPS) -> np.ndarray:
+    """A rate per group of documents: projected gradient on the squared relative gaps of expected domain totals.
+
+    Every step is projected onto the rates between 0 and the source's cap that
+    give each source its budget (or all it has), so source totals hold exactly.
+    ``tokens``: of each group; ``expected``: its expected tokens per domain; ``source``:
+    its source; ``caps``, ``budget``, ``domain_of``: per source.
+    """
+    n, d = len(caps), expected.shape[1]
+    weight = np.maximum(tokens, 1e-9)
+    cap = caps[source]
+    goal = np.minimum(budget, np.bincount(source, weight, n) * caps)
+
+    def project(v):
+        """The nearest rates, by tokens, that meet the sources' budgets: all of a source move by the same amount, found by bisection."""
+        low, high = np.full(n, -1.0 - np.abs(v).max()), np.full(n, 1.0 + np.abs(v).max() + caps.max(initial=0.0))
+        for _ in range(50):
+            mid = (low + high) / 2
+            over = np.bincount(source, weight * np.clip(v + mid[source], 0.0, cap), n) > goal
+            low, high = np.where(over, low, mid), np.where(over, mid, high)
+        return np.clip(v + ((low + high) / 2)[source], 0.0, cap)
+
+    scale = np.maximum(expected.sum(0), 1.0)
+    a = (expected / scale).T
+    b = np.bincount(domain_of, goal, d) / scale
+    step = 1.0 / max(np.linalg.norm(a / np.sqrt(weight), 2) ** 2, 1e-12)
+    rate = project(np.zeros(len(tokens)))
     for _ in range(steps):
-        taken, _ = totals(start, history)
-        gap = np.where(available > 0, (taken - budget) / safe, 0.0)
-        loss = float((gap**2).sum())
-        if best is not None and best - loss < 1e-9 * max(best, 1e-12):
+        new = project(rate - step * (a.T @ (a @ rate - b)) / weight)
+        moved = float(np.abs(new - rate).max(initial=0.0))
+        rate = new
+        if moved < 1e-7:
             break
-        best = loss
-        history.append(gap)
-    return start, history
+    return rate
 
 
-def mixture(documents: DataFrame, targets: DataFrame, total: int | None = None, ranks_path: str = RANKS) -> tuple[DataFrame, DataFrame]:
+def mixture(documents: DataFrame, targets: DataFrame, total: int | None = None, ranks_path: str = RANKS, columns: tuple[str, ...] = COLUMNS) -> tuple[DataFrame, DataFrame]:
     """``doc_id, source, tokens, repeats`` of the chosen rows, and a row per target source with what it reached."""
     spark = documents.sparkSession
     wanted = targets.where(F.col("source").isNotNull()).groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats")).orderBy("source").limit(MOST_SOURCES + 1).collect()
@@ -165,32 +230,32 @@ def mixture(documents: DataFrame, targets: DataFrame, total: int | None = None,
     sources = [r.source for r in wanted]
     share = np.array([r.target_share or 0.0 for r in wanted])
     caps = np.array([float(max(r.max_repeats or 0, 0)) for r in wanted])
+    looked = [c for c in columns if c in documents.columns]
     sample = []
     if sources:
-        labelled = documents.where(F.col("source").isin(sources) & F.col("text").isNotNull())
-        sample = sorted(hashed_sample(labelled, F.col("doc_id"), TRAIN_ROWS, labelled.count()).select("doc_id", "source", "text").collect())
-    with open(ranks_path, "rb") as f:
-        ranks = f.read()
-    # counted and classified once; every step of the fit reads it back
-    scored = cut(_scored(documents, Posterior(sources, [(r.source, r.text) for r in sample]), ranks))
+        labelled = documents.where(F.col("source").isin(sources))
+        sample = sorted(hashed_sample(labelled, F.col("doc_id"), TRAIN_ROWS, labelled.count()).where(F.col("text").isNotNull()).select("doc_id", "source", "text", *looked).collect(), key=lambda r: r.doc_id)
+    ranks = read_bytes(spark, ranks_path)
+    models, domains = fit_classifier(sources, [tuple(r) for r in sample])
+    # counted and classified once; everything below reads it back
+    scored = cut(_scored(documents, looked, models, domains, ranks))
     all_tokens = total if total is not None else int(scored.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0])
-    start, history = fit_rates(scored, caps, share * all_tokens) if sources else (np.zeros(0), [])
-
-    shared = spark.sparkContext.broadcast((start, history, caps, sources))
-    rated = T.StructType.fromDDL("doc_id bigint, source string, tokens bigint, rate double")
-    arrow = to_arrow_schema(rated)
-
-    def rate(batches):
-        start, history, caps, sources = shared.value
-        for b in batches:
-            if b.num_rows:
-                p = b.column(3).flatten().to_numpy().astype(np.float64).reshape(-1, len(sources))
-                own = {s: c for s, c in zip(sources, caps)}
-                cap = np.array([own[s] for s in b.column(1).to_pylist()])
-                r = np.minimum(_replay(p, p @ caps, start, history), cap)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(r)], schema=arrow)
-
-    rates = scored.where(F.col("source").isNotNull()).select("doc_id", "source", "tokens", "posterior").mapInArrow(rate, rated)
+    known = scored.where(F.col("source").isNotNull())
+    key = ["source", "top", "tenth"]
+    sums = known.groupBy(*key).agg(F.sum("tokens").alias("tokens")).limit(MOST_GROUPS + 1).collect()
+    if len(sums) > MOST_GROUPS:
+        raise ValueError(f"more than {MOST_GROUPS} groups of source, domain and probability")
+    soft = known.select(*key, "tokens", F.explode("posterior").alias("x")).groupBy(*key, F.col("x.domain").alias("domain")).agg(F.sum(F.col("tokens") * F.col("x.p")).alias("t")).collect()
+    at, place = {s: k for k, s in enumerate(sources)}, {(r.source, r.top, r.tenth): g for g, r in enumerate(sums)}
+    expected = np.zeros((len(sums), max(1, len(domains))))
+    for r in soft:
+        expected[place[r.source, r.top, r.tenth], r.domain] = r.t
+    domain_of = np.zeros(len(sources), int)
+    for k, members in enumerate(domains):
+        domain_of[members] = k
+    rate = fit_rates(np.array([float(r.tokens) for r in sums]), expected, np.array([at[r.source] for r in sums], int), caps, share * all_tokens, domain_of) if sums else []
+    rated = spark.createDataFrame([(r.source, r.top, r.tenth, float(x)) for r, x in zip(sums, rate)], "source string, top int, tenth int, rate double")
+    rates = known.select("doc_id", "tokens", *key).join(F.broadcast(rated), key).select("doc_id", "source", "tokens", "rate")  # at most MOST_GROUPS rows
     limits = spark.createDataFrame([(s, float(x * all_tokens), int(c), float(x)) for s, x, c in zip(sources, share, caps)], "source string, budget double, max_repeats int, target_share double")
     limits = F.broadcast(limits)  # one row per source, at most MOST_SOURCES
     # whole repeats: the integer part of the rate for everyone, one more in the order of (hash / fraction), as in priority sampling
@@ -219,6 +284,6 @@ def mixture(documents: DataFrame, targets: DataFrame, total: int | None = None,
         "source", "target_share", "max_repeats", "documents", F.col("available").alias("available_tokens"), "chosen_rows", "chosen_tokens",
         (F.col("chosen_tokens") / F.lit(float(max(all_tokens, 1)))).alias("reached_share"),
         F.when(mixed > 0, F.col("chosen_tokens") / mixed).otherwise(F.lit(0.0)).alias("share_of_mixture"),
-        (F.col("chosen_tokens") < F.col("budget") * 0.999).alias("short"),
+        (F.col("available") * F.col("max_repeats") < F.col("budget")).alias("short"),
     )
     return chosen, report

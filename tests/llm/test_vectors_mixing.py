@@ -154,10 +154,24 @@ def test_mixture_of_empty_tables(spark):
     assert chosen.count() == 0 and report.count() == 0
 
 
-def test_projected_gradient_meets_caps():
-    p = np.array([[1.0, 0.0], [0.0, 1.0]])
-    assert mixing._replay(p, np.array([1.0, 2.0]), np.array([5.0, 5.0]), []).tolist() == [1.0, 2.0]
-    assert mixing._replay(p, np.array([1.0, 2.0]), np.array([0.5, 0.5]), [np.array([9.0, -0.25])]).tolist() == [0.0, 0.75]
+def test_rates_meet_sources_domains_and_caps():
+    one = np.array([1.0, 2.0])
+    got = mixing.fit_rates(np.array([10.0, 10.0]), np.eye(2) * 10, np.array([0, 1]), one, np.array([50.0, 5.0]), np.array([0, 1]))
+    assert np.allclose(got, [1.0, 0.5], atol=1e-4)
+    # the second group of source 0 reads like domain 1: it gives way where that domain has too much
+    expected = np.array([[100.0, 0.0], [0.0, 100.0], [0.0, 100.0]])
+    got = mixing.fit_rates(np.array([100.0, 100.0, 100.0]), expected, np.array([0, 0, 1]), np.array([2.0, 2.0]), np.array([100.0, 100.0]), np.array([0, 1]))
+    assert np.allclose(got, [1.0, 0.0, 1.0], atol=1e-3)
+
+
+def test_classifier_never_sees_a_rows_own_label():
+    """Sources a and b read alike and c doesn't: they form one domain, though every label is in the table."""
+    rng = np.random.default_rng(3)
+    rows = [(i, str(rng.choice(["a", "b"])), "same kind of words", "docs") for i in range(400)] + [(1000 + i, "c", "another matter altogether", "chat") for i in range(200)]
+    models, domains = mixing.fit_classifier(["a", "b", "c", "none"], rows)
+    assert sorted(map(sorted, domains)) == [[0, 1], [2], [3]]
+    p = models[mixing.fold_of(0)].of("same kind of words", ("docs",))
+    assert abs(p[0] - p[1]) < 0.2 and p[2] < 0.01
 
 
 @pytest.mark.parametrize("text,n", [("", 0), ("hello world", 2)])
