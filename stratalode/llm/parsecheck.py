@@ -3,12 +3,14 @@
 A body is cut at line ends into chunks.  Each chunk is summarised on its own as
 a lexer-state map: for every state the chunk may be entered in, the state it is
 left in, its token kinds and its bracket summary (unmatched closers, unmatched
-openers).  Summaries form a monoid (``combine``), so those of a file's chunks,
-which may sit in different partitions, are reduced in any grouping.  A file
+openers).  Summaries form a monoid (``combine``), so a file's chunks are reduced in
+any grouping, here pairwise as a tree.  A body is one value of one row, so its
+chunks are in one task and no text leaves it; only verdicts are shuffled.  A file
 whose start state maps to a resting state with an empty bracket summary is then
 parsed statement by statement with the local grammar of its language.  Equal
 statement shapes share one parse.  Python's statements are parsed by the
-interpreter's own grammar.
+interpreter's own grammar, one top-level statement at a time; only where one is
+refused does the whole file have the last word.
 
 Defined results: a null body gives a null verdict; an empty body is valid
 Python, JavaScript and TypeScript but not Go (a package clause is missing);
@@ -19,7 +21,6 @@ or with another extension are left out.
 
 from __future__ import annotations
 
-import pickle
 import re
 import warnings
 
@@ -155,6 +156,15 @@ class Grammar:
             self.memo[key] = known
         return known
 
+    def python(self, statement: str) -> bool:
+        key = xxhash.xxh3_128_intdigest("p" + statement)
+        known = self.memo.get(key)
+        if known is None:
+            if len(self.memo) >= MEMO:
+                self.memo.clear()
+            known = self.memo[key] = python_parses(statement)
+        return known
+
     def file(self, kinds: list[str], language: str) -> bool:
         if language == "go":
             parts, i = goparse.statements(kinds), 1
@@ -168,14 +178,46 @@ class Grammar:
         return all(self.once(p, language) for p in jsparse.statements(kinds)) or jsparse.parses(kinds, language == "typescript")
 
 
-def python_parses(text: str, balanced: bool) -> bool:
+_PY_LINE = re.compile(
+    r"#[^\n]*|(?P<t>'''|\"\"\")|'(?:[^'\\\n]|\\(?:\r\n|[\s\S]))*'|\"(?:[^\"\\\n]|\\(?:\r\n|[\s\S]))*\"|(?P<o>[(\[{])|(?P<c>[)\]}])|\\\r?\n|(?P<n>\n)"
+)
+#: A line that begins a top-level statement: not indented, empty, a remark, or a further clause of the statement before.
+_PY_TOP = re.compile(r"(?!(?:elif|else|except|finally)\b)[^\s#)\]}]")
+_PY_NESTED = re.compile(r"(?i)\b(?:f|rf|fr|t|rt|tr)['\"]")
+
+
+def python_statements(text: str) -> list[str]:
+    """Top-level statements with their blocks; the remarks before one belong to the one before them, decorators to what they decorate."""
+    cuts, depth, pos, decorated = [], 0, 0, text.startswith("@")
+    while True:
+        for m in _PY_LINE.finditer(text, pos):
+            kind = m.lastgroup
+            if kind == "n":
+                at = m.end()
+                if depth <= 0 and _PY_TOP.match(text, at):
+                    if not decorated:
+                        cuts.append(at)
+                    decorated = text.startswith("@", at)
+            elif kind == "o":
+                depth += 1
+            elif kind == "c":
+                depth -= 1
+            elif kind == "t":
+                pos = _PY_TAIL[m["t"]].match(text, m.end()).end()
+                break
+        else:
+            break
+    bounds = [0, *cuts, len(text)]
+    return [text[a:b] for a, b in zip(bounds, bounds[1:]) if a < b]
+
+
+def python_parses(text: str) -> bool:
+    """Whether the interpreter's grammar takes a text; raises on nesting beyond its stack."""
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
             compile(text.encode("utf-8"), "body", "exec", dont_inherit=True, optimize=0, flags=0x400)
             return True
-    except (RecursionError, MemoryError):
-        return balanced
     except (SyntaxError, ValueError):
         return False
 
@@ -188,7 +230,12 @@ def verdict(language: str, summary: dict, text: str, grammar: Grammar) -> bool |
     rest = left == "code" if language == "python" else left is not None and left[0] == "code" and (language == "go" or not left[2])
     balanced = rest and pairs == ([], [])
     if language == "python":
-        return python_parses(text, balanced)
+        if not balanced and not _PY_NESTED.search(text):  # quotes inside formatted strings may hide brackets from the states
+            return False
+        try:
+            return balanced and all(grammar.python(x) for x in python_statements(text)) or python_parses(text)
+        except (RecursionError, MemoryError):
+            return balanced
     if balanced and grammar.file(kinds, language):
         return True
     if language == "go" or not _SLASH.search(text):
@@ -198,51 +245,25 @@ def verdict(language: str, summary: dict, text: str, grammar: Grammar) -> bool |
     return left is not None and left[0] == "code" and not left[2] and brackets(kinds) == ([], []) and grammar.file(kinds, language)
 
 
+def reduced(summaries: list[dict]) -> dict:
+    """All summaries combined, as a tree of neighbours."""
+    while len(summaries) > 1:
+        summaries = [combine(*summaries[i : i + 2]) if i + 1 < len(summaries) else summaries[i] for i in range(0, len(summaries), 2)]
+    return summaries[0]
+
+
 def is_valid(language: str, text: str, grammar: Grammar | None = None, size: int = CHUNK_CHARS) -> bool:
-    """The same pipeline for one text in one process."""
+    """Cut, summarise, reduce, parse."""
     grammar = grammar or Grammar()
-    parts = chunks(text, size)
-    total = summarise(language, parts[0], True)
-    for p in parts[1:]:
-        total = combine(total, summarise(language, p, False))
+    total = reduced([summarise(language, p, k == 0) for k, p in enumerate(chunks(text, size))])
     got = verdict(language, total, text, grammar)
+    # entered a chunk in a state outside the map (deeply nested templates): one piece
     return verdict(language, summarise(language, text, True), text, grammar) if got is None else got
 
 
 def _scan():
     grammar = Grammar()
-
-    def row(path, stamp, ident, language, body):
-        if body is None:
-            return [(path, stamp, ident, 0, 1, None, None)]
-        parts = chunks(body)
-        if len(parts) == 1:
-            return [(path, stamp, ident, 0, 1, verdict(language, summarise(language, body, True), body, grammar), None)]
-        return [
-            (path, stamp, ident, k, len(parts), None, pickle.dumps((language, p, summarise(language, p, k == 0))))
-            for k, p in enumerate(parts)
-        ]
-
-    return row
-
-
-def _fold():
-    grammar = Grammar()
-
-    def row(path, stamp, ident, valid, parts):
-        got = [pickle.loads(p["summary"]) for p in sorted(parts or [], key=lambda p: p["chunk_no"]) if p["summary"] is not None]
-        if not got:
-            return [(path, stamp, ident, valid)]
-        language, total = got[0][0], got[0][2]
-        for _, _, s in got[1:]:
-            total = combine(total, s)
-        text = "".join(g[1] for g in got)
-        done = verdict(language, total, text, grammar)
-        if done is None:  # entered a chunk in a state outside the map (deeply nested templates): one piece
-            done = verdict(language, summarise(language, text, True), text, grammar)
-        return [(path, stamp, ident, done)]
-
-    return row
+    return lambda path, stamp, ident, language, body: [(path, stamp, ident, None if body is None else is_valid(language, body, grammar))]
 
 
 def parse_states(docs: DataFrame) -> DataFrame:
@@ -251,13 +272,8 @@ def parse_states(docs: DataFrame) -> DataFrame:
     src = docs.where(ext.isin(*LANGUAGES) & F.col("path").contains(".")).select(
         "path", stamp_ns("stamp").alias("stamp"), F.col("id").alias("ident"), F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])[ext].alias("language"), "body"
     )
-    parts = map_rows(src, _scan, "path string, stamp bigint, ident bigint, chunk_no int, chunks int, valid boolean, summary binary")
-    # by row: the parts of one body meet (bounded by its size); then by path on narrow rows
-    rows = parts.groupBy("path", "stamp", "ident").agg(
-        F.max("valid").alias("valid"), F.collect_list(F.when(F.col("chunks") > 1, F.struct("chunk_no", "summary"))).alias("parts")
-    )
-    folded = map_rows(rows, _fold, "path string, stamp bigint, ident bigint, valid boolean")
-    now = latest(folded, "path", ["stamp"], ["valid"])
+    folded = map_rows(src, _scan, "path string, stamp bigint, ident bigint, valid boolean")
+    now = latest(folded, "path", ["stamp", "ident"], ["valid"])
     return now.select("path", F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])[F.substring_index("path", ".", -1)].alias("language"), "valid")
 
 
