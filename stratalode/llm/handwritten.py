@@ -9,7 +9,9 @@ Three kinds of knowledge, strongest first:
 2. Evidence in the body: the tool's mark in the head comment, the mark of another
    project, imports of another project's inner modules, accessor boilerplate,
    squeezed lines, nothing but literal data, or the same text in another
-   repository (equal after the head comment, line ends and blank lines aside).
+   repository (equal after the head comment, line ends and blank lines aside).  Of
+   repositories with the same text the one with the earliest file holds the
+   original, unless 3 says that it, too, keeps it among copies.
 3. Path patterns mined from 1 and 2 over all repositories: directory names, name
    prefixes and name suffixes whose files nearly all carry evidence.  They mark
    the rest of such files in repositories that declare nothing.
@@ -28,6 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.paths import ancestors, dirname
 from ..operators.current import latest, stamp_ns
 from ..operators.rowmap import map_rows
 from ..operators.skew import salted_join
@@ -236,14 +239,40 @@ def _rules():
     return row
 
 
-def _declared():
-    def row(path, kind, key, rules):
-        said = declared(path.split("/", 1)[-1], [(r["directory"], r["line"], r["regex"], r["kind"], r["value"]) for r in rules or []]) if rules else None
-        return [(path, kind, key, said, path_patterns(path))]
+def _matching():
+    """The rules of one directory's attribute file that match a path."""
+
+    def row(path, directory, rules):
+        inner = path.split("/", 1)[-1]
+        name, depth = (inner[len(directory) + 1 :], directory.count("/") + 1) if directory else (inner, 0)
+        return [(path, r["kind"], depth, r["line"], r["value"]) for r in rules if re.fullmatch(r["regex"], name)]
 
     return row
 
 
+def _patterns():
+    return lambda path, stamp, kind, key: [(path, stamp, kind, key, path_patterns(path))]
+
+
+def declarations(paths: DataFrame, attributes: DataFrame) -> DataFrame:
+    """``path, said``: what the attribute files of its repository say of a path, where they say something.
+
+    A path meets the attribute files of its own directories only (one row each,
+    with the rules of that file); the deepest directory, then the last line, wins.
+    """
+    rules = map_rows(attributes, _rules, "repository string, directory string, line int, regex string, kind string, value boolean")
+    rules = cut(rules.groupBy("repository", "directory").agg(F.collect_list(F.struct("line", "regex", "kind", "value")).alias("rules")))  # the lines of one file
+    inner = F.when(F.col("path").contains("/"), F.expr("substring(path, instr(path, '/') + 1)")).otherwise(F.lit(""))
+    held = paths.select("path", F.substring_index("path", "/", 1).alias("repository"), inner.alias("_inner"))
+    held = salted_join(held, rules.select("repository").distinct(), ["repository"], F.col("path"), "left_semi")  # repositories without attribute files stop here
+    up = held.select("path", "repository", F.explode(ancestors(dirname("_inner"))).alias("directory"))
+    met = salted_join(up, rules, ["repository", "directory"], F.col("path")).select("path", "directory", "rules")
+    hits = map_rows(met, _matching, "path string, kind string, depth int, line int, value boolean")
+    per = hits.groupBy("path", "kind").agg(F.max_by("value", F.struct("depth", "line")).alias("value"))
+    said = F.coalesce(F.min(F.when(F.col("value"), F.col("kind"))), F.lit("handwritten"))
+    return per.groupBy("path").agg(said.alias("said"))
+
+
 def classify(docs: DataFrame) -> DataFrame:
     """``path, reason`` of every current, readable source file; reason is null for hand-written ones.
 
@@ -252,21 +281,20 @@ def classify(docs: DataFrame) -> DataFrame:
     named = docs.where(F.col("path").isNotNull() & F.col("path").contains("."))
     source = named.where(F.substring_index("path", ".", -1).isin(*EXTENSIONS)).select("path", stamp_ns("stamp").alias("stamp"), F.col("id").alias("ident"), "body")
     scanned = map_rows(source, _scan, "path string, stamp bigint, ident bigint, kind string, key string, readable boolean")
-    now = latest(scanned, "path", ["stamp", "ident"], ["kind", "key", "readable"]).where("readable").drop("readable")
+    now = latest(scanned, "path", ["stamp", "ident"], ["stamp", "kind", "key", "readable"]).where("readable").drop("readable")
+    # evidence is gathered once; the steps below read the narrow result back
+    files = cut(map_rows(now.select("path", "stamp", "kind", "key"), _patterns, "path string, stamp bigint, kind string, key string, patterns array<string>"))
 
     attributes = named.where(F.substring_index("path", "/", -1) == ".gitattributes").select("path", stamp_ns("stamp").alias("stamp"), "body")
     attributes = latest(attributes, "path", ["stamp"], ["body"]).where(F.col("body").isNotNull())
-    rules = map_rows(attributes, _rules, "repository string, directory string, line int, regex string, kind string, value boolean")
-    rules = rules.groupBy("repository").agg(F.collect_list(F.struct("directory", "line", "regex", "kind", "value")).alias("rules"))  # bounded by a repository's attribute files
-    files = salted_join(now.withColumn("repository", F.substring_index("path", "/", 1)), rules, ["repository"], F.col("path"), "left").select("path", "kind", "key", "rules")
-    # evidence is gathered once; the steps below read the narrow result back
-    files = cut(map_rows(files, _declared, "path string, kind string, key string, said string, patterns array<string>"))
+    files = files.join(declarations(files.select("path"), attributes), "path", "left")
 
-    # the same text in several repositories; distinct (text, repository) pairs are combined before they travel
+    # the same text in several repositories; one row per text and repository travels
     repository = F.substring_index("path", "/", 1)
-    copies = files.where(F.col("key").isNotNull()).select("key", repository.alias("repository")).distinct().groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.lit(True).alias("copied"))
+    per = files.where(F.col("key").isNotNull()).groupBy("key", repository.alias("repository")).agg(F.min(F.coalesce("stamp", F.lit(2**62))).alias("first"))
+    copies = per.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("first", "repository")).alias("origin")).where("n > 1").select("key", F.col("origin.repository").alias("origin"))
     files = salted_join(files, copies, ["key"], F.col("path"), "left")
-    shown = F.when(F.col("said").isin("generated", "vendored"), F.concat(F.lit("declared-"), F.col("said"))).otherwise(F.coalesce("kind", F.when(F.col("copied"), F.lit("copy"))))
+    shown = F.when(F.col("said").isin("generated", "vendored"), F.concat(F.lit("declared-"), F.col("said"))).otherwise(F.coalesce("kind", F.when(F.col("origin") != repository, F.lit("copy"))))
     files = files.select("path", "said", "patterns", shown.alias("shown"))
 
     each = files.select("path", repository.alias("repository"), F.explode("patterns").alias("pattern"), F.col("shown").isNotNull().alias("hit"))

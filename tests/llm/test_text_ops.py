@@ -55,15 +55,25 @@ def test_classify(spark):
     acc = "class A(object):\n    DESCRIPTOR = 'x'\n" + "".join(f"    def get_v{i}(self):\n        return self._slots[{i}]\n" for i in range(9))
     copy = "const longName = (a) => { return a.map((x) => x + 1).filter(Boolean).slice(0, 400); };\n" * 4
     docs = [(i, f"r{i % 3}/x/f{i}_pb2.py", "1:1", acc, "e") for i in range(6)]
-    docs += [(10, "r1/x/odd_pb2.py", "1:1", BODY, ""), (11, "r1/y/plain.py", "1:1", BODY + "#1\nx = 1\n", ""), (12, "r1/c.js", "1:1", copy, ""), (13, "r2/d.js", "1:1", "// head\n" + copy.replace("\n", "\r\n"), ""), (14, "r2/own.py", "1:1", "x = 2\n", ""), (15, "r2/.gitattributes", "1:1", "own.py linguist-generated\nd.js -linguist-vendored\n", ""), (16, "r2/null.py", "1:1", None, ""), (17, None, "1:1", acc, ""), (18, "r1/re.py", "2:1", "y = 1\n", ""), (18, "r1/re.py", "1:1", acc, "")]
+    docs += [(10, "r1/x/odd_pb2.py", "1:1", BODY, ""), (11, "r1/y/plain.py", "1:1", BODY + "#1\nx = 1\n", ""), (12, "r1/c.js", "1:1", copy, ""), (13, "r2/d.js", "1:1", "// head\n" + copy.replace("\n", "\r\n"), ""), (14, "r2/own.py", "1:1", "x = 2\n", ""), (19, "r0/first.js", "0:9", copy, ""), (20, "r0/again.js", "3:9", copy, ""), (15, "r2/.gitattributes", "1:1", "own.py linguist-generated\nd.js -linguist-vendored\n", ""), (16, "r2/null.py", "1:1", None, ""), (17, None, "1:1", acc, ""), (18, "r1/re.py", "2:1", "y = 1\n", ""), (18, "r1/re.py", "1:1", acc, "")]
     df = spark.createDataFrame(docs, "id bigint, path string, stamp string, body string, kind string")
     got = {r.path: r.reason for r in handwritten.classify(df).collect()}
     assert got.pop("r1/x/odd_pb2.py") == "pattern" and got.pop("r1/y/plain.py") is None
+    assert got.pop("r0/first.js") is None and got.pop("r0/again.js") is None  # the earliest repository holds the original
     assert got.pop("r1/c.js") == "copy" and got.pop("r2/d.js") is None and got.pop("r2/own.py") == "declared-generated" and got.pop("r1/re.py") is None
     assert set(got.values()) == {"generated"} and len(got) == 6
     assert handwritten.classify(df.limit(0)).count() == 0
 
 
+def test_declarations_meet_their_own_directories(spark):
+    """Precedence as rows: deeper attribute files win, within one the last line, a negated one takes back, other repositories say nothing."""
+    paths = spark.createDataFrame([(p,) for p in ["r/a.py", "r/src/a.py", "r/src/gen/a.py", "r/lib/x.js", "q/a.py", "r/top.js", "r/src/both.ts", "plain"]], "path string")
+    files = spark.createDataFrame([("r/.gitattributes", "*.py linguist-generated\nlib/ linguist-vendored\n*.ts linguist-vendored\n*.ts -linguist-vendored\n"), ("r/src/.gitattributes", "*.py -linguist-generated\n"), ("r/src/gen/.gitattributes", "*.py linguist-generated=true\n")], "path string, body string")
+    got = {r.path: r.said for r in handwritten.declarations(paths, files).collect()}
+    assert got == {"r/a.py": "generated", "r/src/a.py": "handwritten", "r/src/gen/a.py": "generated", "r/lib/x.js": "vendored", "r/src/both.ts": "handwritten"}
+    assert handwritten.declarations(paths, files.limit(0)).count() == 0
+
+
 # 3
 
 
