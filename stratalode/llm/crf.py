@@ -41,12 +41,25 @@ class LinearChain:
         """Best labels; where ``allowed`` is False only label 0 may stand."""
         if not features:
             return []
-        e, moves, n = self.emissions(features), self.moves, len(self.labels)
-        if allowed is not None:
-            for i, ok in enumerate(allowed):
-                if not ok:
-                    e[i][1:] = [-1e9] * (n - 1)
-        best, back = e[0], []
+        if allowed is None:
+            return self._best(self.emissions(features))
+        # a label that is certain cuts the chain: the path through each run of open tokens depends on that run alone
+        path, i, size = [0] * len(features), 0, len(features)
+        while i < size:
+            if not allowed[i]:
+                i += 1
+                continue
+            j = i
+            while j < size and allowed[j]:
+                j += 1
+            path[i:j] = self._best(self.emissions(features[i:j]), i > 0, j < size)
+            i = j
+        return path
+
+    def _best(self, e: list[list[float]], after_plain: bool = False, before_plain: bool = False) -> list[int]:
+        """Best labels of a run, which label 0 may precede or follow."""
+        moves, n = self.moves, len(self.labels)
+        best, back = [v + moves[0][y] for y, v in enumerate(e[0])] if after_plain else e[0], []
         for row in e[1:]:
             now, came = [], []
             for y in range(n):
@@ -55,6 +68,8 @@ class LinearChain:
                 now.append(best[p] + moves[p][y] + row[y])
             best = now
             back.append(came)
+        if before_plain:
+            best = [v + moves[y][0] for y, v in enumerate(best)]
         y = max(range(n), key=best.__getitem__)
         path = [y]
         for came in reversed(back):

@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_left
 from collections import Counter
 from functools import lru_cache
 from importlib import resources
@@ -67,10 +66,10 @@ _STRONG_NAME = (
 _TRIGGER = re.compile(
     r"-----BEGIN |"
     r"://[^\s/@\"'`:]*:[^\s/@\"'`]+@|"
-    rf"(?i:{_KEY})[^\n]{{0,40}}?(?:[\"'`=:]|\s)\s*[\"'`]?{_LITERAL}{{6}}|"
+    rf"(?i:{_KEY})[^\n]*?(?:[\"'`=:]|\s)\s*[\"'`]?{_LITERAL}{{6}}|"
     rf"{_STRONG_NAME}|"
     r"(?<![A-Za-z0-9])(?:[A-Z]{4}[A-Z0-9]{12,}|[A-Za-z]{2,5}[_-][A-Za-z0-9_]{16,}|eyJ[A-Za-z0-9_-]{8,})|"
-    r"(?<![\w+/=.-])(?=[A-Za-z+/]{0,60}[0-9])(?=[0-9a-z+/]{0,60}[A-Z])(?=[0-9A-Z+/]{0,60}[a-z])[A-Za-z0-9+/_-]{20,}"
+    r"(?<![\w+/=.-])(?=[A-Za-z+/]*[0-9])(?=[0-9a-z+/]*[A-Z])(?=[0-9A-Z+/]*[a-z])[A-Za-z0-9+/_-]{20,}"
 )
 
 
@@ -162,8 +161,8 @@ def tokens(line: str) -> list[tuple[str, str, int, int]]:
     return [(m.lastgroup, m.group(), m.start(), m.end()) for m in _TOKEN.finditer(line)]
 
 
-def features(toks: list[tuple[str, str, int, int]], line: str, opened: str = "none", config: bool = False, block: str = "") -> tuple[list[list[str]], list[bool]]:
-    """Features per token and which tokens may be secret.
+def features(toks: list[tuple[str, str, int, int]], line: str, opened: str = "none", config: bool = False, block: str = "", full: bool = False) -> tuple[list[list[str]], list[bool]]:
+    """Features per token and which tokens may be secret; tokens that may not be have features only if ``full``.
 
     ``opened``: key class of a line before that opened a block value; ``block``:
     ``private`` or ``public`` inside a key block.
@@ -174,6 +173,7 @@ def features(toks: list[tuple[str, str, int, int]], line: str, opened: str = "no
     out, allowed = [], []
     key, call, header, last_word, since = "none", "none", "none", "", 99
     n = len(toks)
+    words = sum(x[0] == "w" for x in toks)
     has_assign = False
     piece_open = False  # a secret-shaped piece came before on this line
     for i, (kind, t, a, b) in enumerate(toks):
@@ -199,39 +199,44 @@ def features(toks: list[tuple[str, str, int, int]], line: str, opened: str = "no
         half = before in "\"'`" and before != "^"
         userinfo = before == ":" and after == "@" and i >= 3 and toks[i - 3][0] == "scheme"
         ref = before in ("$", "{", "<") or (before == "{" and i >= 2 and toks[i - 2][1] == "$") or (after == "(" and toks[i + 1][2] == b) or (before == "[" and after == "]")
-        lone = n == 1 or all(x[0] != "w" for j, x in enumerate(toks) if j != i)
+        lone = words == 1
         assigned = before in ("=", ":") or (half and i >= 2 and toks[i - 2][1] in ("=", ":", "(", ",", "[", "+")) or header != "none"
         ctx = key if key != "none" else f"block-{opened}" if lone or not has_assign else "none"
         if block:
             ctx = f"in-{block}"
-        f = [
-            "w", k, *sh[1:], f"ctx={ctx}", f"{k}|{ctx}", f"{k}|{sh[1]}|{ctx}", f"q={'q' if quoted else 'h' if half else 'n'}|{k}",
-            f"as={assigned}|{ctx}|{k}", f"hdr={header}|{k}", f"call={call}|{ctx}", f"call={call}|{k}",
-        ]
-        if userinfo:
-            f += ["userinfo", f"userinfo|{k}"]
-        if ref:
-            f += ["ref", f"ref|{k}"]
-        if comment:
-            f += ["comment", f"comment|{k}"]
         flag = i >= 2 and toks[i - 1][0] == "w" and toks[i - 2][1] == "-" or before == "=" and i >= 3 and toks[i - 3][1] == "-"
-        if flag:
-            f += ["flag", f"flag|{ctx}|{k}"]
-        if lone:
-            f += ["lone", f"lone|{k}|{ctx}"]
-        if config:
-            f += [f"config|{k}|{ctx}"]
-        if piece_open and half:
-            f += ["piece", f"piece|{ctx}"]
-        if half and after in "\"'`" and i + 2 < n and toks[i + 2][1] in ("+", ",") and i + 3 < n and toks[i + 3][1] in "\"'`":
-            f += ["firstpiece", f"firstpiece|{ctx}|{k in ('random', 'mixed', 'prefixed', 'upperkey', 'word', 'ident', 'other')}"]
-            piece_open = True
-        out.append(f)
+        in_piece = piece_open and half
+        first_piece = half and after in "\"'`" and i + 2 < n and toks[i + 2][1] in ("+", ",") and i + 3 < n and toks[i + 3][1] in "\"'`"
+        piece_open = piece_open or first_piece
         # everyday words, names, paths and numbers only where a key name asks for a value
         everyday = k in ("word", "ident", "path", "number") and not userinfo and not (ctx == "strong" and (half or config or header != "none"))
         # in code an unquoted word is no literal, unless it has a credential's own shape
         literal = half or config or comment or userinfo or lone or shell or bool(block) or header != "none" or flag or k in ("prefixed", "upperkey", "jwt", "random")
-        allowed.append(len(t) >= 4 and not ref and not everyday and literal)
+        ok = len(t) >= 4 and not ref and not everyday and literal
+        allowed.append(ok)
+        f = []
+        if ok or full:
+            f = [
+                "w", k, *sh[1:], f"ctx={ctx}", f"{k}|{ctx}", f"{k}|{sh[1]}|{ctx}", f"q={'q' if quoted else 'h' if half else 'n'}|{k}",
+                f"as={assigned}|{ctx}|{k}", f"hdr={header}|{k}", f"call={call}|{ctx}", f"call={call}|{k}",
+            ]
+            if userinfo:
+                f += ["userinfo", f"userinfo|{k}"]
+            if ref:
+                f += ["ref", f"ref|{k}"]
+            if comment:
+                f += ["comment", f"comment|{k}"]
+            if flag:
+                f += ["flag", f"flag|{ctx}|{k}"]
+            if lone:
+                f += ["lone", f"lone|{k}|{ctx}"]
+            if config:
+                f += [f"config|{k}|{ctx}"]
+            if in_piece:
+                f += ["piece", f"piece|{ctx}"]
+            if first_piece:
+                f += ["firstpiece", f"firstpiece|{ctx}|{k in ('random', 'mixed', 'prefixed', 'upperkey', 'word', 'ident', 'other')}"]
+        out.append(f)
         lower = t.lower()
         if lower in ("bearer", "basic"):
             header = lower
@@ -279,7 +284,7 @@ class Finder:
                 hi = len(body) if hi < 0 else hi
                 if lo >= done:
                     done = self._line(body, lo, hi, config, out)
-                    if lo <= m.start() and hi - lo <= 4000 and _OPENS.search(body[lo:hi].rstrip()):
+                    if lo <= m.start() and _OPENS.search(body[lo:hi].rstrip()):
                         stop = max(stop, min(hi + 1, len(body)))  # the value stands on the next line
                 lo = hi + 1
                 if hi >= stop:
@@ -305,8 +310,6 @@ class Finder:
 
     def _line(self, body: str, lo: int, hi: int, config: bool, out: list) -> int:
         line = body[lo:hi].rstrip("\r")
-        if len(line) > 4000:
-            return self._long(body, lo, line, config, out)
         spans = self.label(line, self._opened(body, lo), config, "")
         last_end = None
         for s, e in spans:
@@ -325,32 +328,6 @@ class Finder:
                 break
         return done
 
-    def _long(self, body: str, lo: int, line: str, config: bool, out: list) -> int:
-        """A very long line: the same labelling on overlapping windows around each trigger, cut between tokens only."""
-        toks = tokens(line)
-        starts, ends = [t[2] for t in toks], [t[3] for t in toks]
-
-        def outside(at: int, side: list[int]) -> int:
-            """``at``, or where it is inside a token, that token's end on a side."""
-            i = bisect_left(starts, at) - 1
-            return side[i] if i >= 0 and ends[i] > at else at
-
-        done = covered = -1  # triggers up to done have their window; tokens before covered were whole in it
-        for m in _TRIGGER.finditer(line):
-            if m.end() <= done:
-                continue
-            a, b = max(0, m.start() - 160), outside(min(len(line), m.end() + 200), ends)
-            while a > 0 and line[a - 1] not in " \t;{":
-                a -= 1
-                if m.start() - a > 400:
-                    break
-            a = outside(a, starts)
-            for s, e in self.label(line[a:b], "none", config, ""):
-                if a + s >= covered:
-                    out.append((lo + a + s, lo + a + e, lo, True))
-            done, covered = b - 100, outside(b - 100, ends)
-        return lo + len(line) + 1
-
     def _key_block(self, body: str, start: int, end: int, out: list, line_start: int) -> None:
         """Base64 of a private key up to its end marker, labelled line by line with the block as context."""
         for m in re.finditer(r"[^\n]+", body[start:end]):

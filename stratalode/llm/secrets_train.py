@@ -203,7 +203,7 @@ class Gen:
 def example(sample):
     line, spans, opened, config, block = sample
     toks = tokens(line)
-    feats, allowed = features(toks, line, opened, config, block)
+    feats, allowed = features(toks, line, opened, config, block, True)
     gold = [1 if allowed[i] and any(s < t[3] and t[2] < e for s, e in spans) else 0 for i, t in enumerate(toks)]
     return feats, gold, allowed
 

@@ -138,6 +138,29 @@ def test_long_lines_are_cut_between_tokens(pad):
     assert len(red) == len(line) and f'token:"{"*" * len(jwt)}"' in red
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.floats(-3, 3), st.booleans()), min_size=1, max_size=9), st.lists(st.floats(-2, 2), min_size=4, max_size=4))
+def test_certain_labels_cut_the_chain(tokens, moves):
+    """The best path by runs is the best of all paths that keep to what is allowed."""
+    from itertools import product
+
+    from stratalode.llm.crf import LinearChain
+
+    m = LinearChain(["plain", "secret"], {f"f{i}": [0.0, w] for i, (w, _) in enumerate(tokens)}, [moves[:2], moves[2:]])
+    allowed = [ok for _, ok in tokens]
+    value = lambda p: sum(w for (w, _), y in zip(tokens, p) if y) + sum(m.moves[a][b] for a, b in zip(p, p[1:]))
+    got = m.viterbi([[f"f{i}"] for i in range(len(tokens))], allowed)
+    assert all(ok or not y for ok, y in zip(allowed, got))
+    assert value(got) >= max(value(p) for p in product((0, 1), repeat=len(tokens)) if all(ok or not y for ok, y in zip(allowed, p))) - 1e-9
+
+
+def test_a_literal_far_behind_its_header_word_and_in_a_long_line():
+    found = lambda t: secrets._lines(secrets.Finder().find(t))
+    long = "var " + ",".join(f"v{i}=f({i})" for i in range(3000))
+    assert found(f'{long},password="Tr4vel!ng-0wl7";\nx = 1\n') == [1]
+    assert found(long + ";\n") == []
+
+
 def test_every_strong_name_triggers():
     names = [v for w in secrets.STRONG for v in (w, w.upper(), f"db_{w}", f"db{w.title()}", f"db_{w}_for_the_reporting_service_of_the_second_region")]
     names += [v for w in secrets.KEY_BEFORE for v in (f"{w}_key", f"{w}Key", f"{w}-key", f"{w}.key".upper(), f"{w}__key")]
