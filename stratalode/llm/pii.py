@@ -1,8 +1,8 @@
 """Personal information inside free text (problem 10).
 
-A semi-Markov conditional random field: candidate segments of bounded length
-(``MOST_WORDS`` words, ``MOST_CHARS`` characters) are scored as wholes by their
-shape, the directory of people, street vocabulary and surroundings, against plain
+A semi-Markov conditional random field: candidate segments of bounded length (names
+of at most ``MOST_WORDS`` words, numbers of one run of groups, addresses that end at
+any word of their town) are scored as wholes by their shape, the directory of people, street vocabulary and surroundings, against plain
 text with score 0.  Dynamic programming over the candidates chooses boundaries
 and types jointly, so overlapping readings of the same characters compete.
 
@@ -26,10 +26,12 @@ from pyspark.sql import functions as F
 from ..operators.rowmap import map_rows
 from .crf import SemiMarkov
 
-MOST_WORDS, MOST_CHARS, MOST_PEOPLE = 6, 120, 100_000
+#: Words of a name; people of the directory.
+MOST_WORDS, MOST_PEOPLE = 4, 100_000
 
 _AT = r"(?:@|\s?[\[({]\s?at\s?[\])}]\s?)"
-_AT_SIGN = re.compile(rf"(?i){_AT}")
+#: What is left of ``_AT`` without the white space it may begin or end with.
+_AT_SIGN = re.compile(r"(?i)[\[({]\s?at\s?[\])}]")
 _DOT = r"(?:\.|\s?[\[({]\s?dot\s?[\])}]\s?)"
 _EMAIL = re.compile(rf"(?i)(?<![\w.+%-])[\w.+%-]*\w{_AT}[\w-]+(?:{_DOT}[\w-]+)+")
 _GROUPS = re.compile(r"(?<![\w.,/:=#@-])(?:\+|\(|(?=[A-Za-z0-9]))(?:[A-Za-z]{1,2} ?)?\(?\d[\d().\s /-]{4,24}\d ?[A-Za-z]?(?![\w@])|(?<![\w.,/:=#@-])[A-Za-z]?\d{7,14}[A-Za-z]?(?![\w@])")
@@ -76,17 +78,35 @@ class People:
     def __init__(self, rows: list[tuple[str | None, str | None]]):
         self.given = {fold(g) for g, _ in rows if g}
         self.family = {fold(f).replace("’", "'") for _, f in rows if f}
-        self.seen: dict[str, str] = {}
+        self.kind = _Known(self._kind).__getitem__
+        self.leads, self.follows = _Known(self._leads).__getitem__, _Known(self._follows).__getitem__
 
-    def kind(self, word: str) -> str:
-        known = self.seen.get(word)
-        if known is None:
-            w = fold(word).replace("’", "'")
-            g, f = w in self.given, w in self.family
-            if len(self.seen) > 200_000:
-                self.seen.clear()
-            known = self.seen[word] = "b" if g and f else "g" if g else "f" if f else "-"
-        return known
+    def _kind(self, word: str) -> str:
+        """Given name, family name, both or neither."""
+        w = fold(word).replace("’", "'")
+        g, f = w in self.given, w in self.family
+        return "b" if g and f else "g" if g else "f" if f else "-"
+
+    def _leads(self, w: str) -> bool:
+        """Whether a name may begin with the word."""
+        return self._kind(w) != "-" or w[0].isupper() or (len(w) > 2 and w[1] in "'’" and w[2].isupper())
+
+    def _follows(self, w: str) -> bool:
+        """Whether a name may go on with the word."""
+        return case_of(w) in "CUI" or self._kind(w) != "-" or w.lower() in PARTICLES
+
+
+class _Known(dict):
+    """Answers of a function of one word, kept."""
+
+    def __init__(self, f, most: int = 200_000):
+        self.f, self.most = f, most
+
+    def __missing__(self, word):
+        if len(self) > self.most:
+            self.clear()
+        v = self[word] = self.f(word)
+        return v
 
 
 def case_of(w: str) -> str:
@@ -151,8 +171,14 @@ def _emails(text: str) -> list[tuple]:
     return out
 
 
+#: What every run of groups holds.
+_RUN = re.compile(r"\d[\d().\s\u00a0/-]{4,24}\d")
+
+
 def _numbers(text: str) -> list[tuple]:
     out = []
+    if not _RUN.search(text):
+        return out
     for m in _GROUPS.finditer(text):
         s = m.group().rstrip(" .(-/ \n\r\t")
         a = m.start()
@@ -169,7 +195,7 @@ def _numbers(text: str) -> list[tuple]:
             for c in dict.fromkeys(cuts):
                 v = s[x:c]
                 digits = sum(map(str.isdigit, v))
-                if not 6 <= digits <= 16 or len(v) > 40 or "\n\n" in v:
+                if not 6 <= digits <= 16 or "\n\n" in v:
                     continue
                 shape = digit_shape(v)
                 ctx = _contexts(text, a + x, a + c)
@@ -184,28 +210,31 @@ def _numbers(text: str) -> list[tuple]:
     return out
 
 
-#: What every match of a street pattern holds, found faster than the pattern itself.
+#: What every match of a street pattern holds, looked for from its number where it has that first; the last two in small letters.
 _HINTS = {
-    "n-after": re.compile(rf"[^\W\d_a-z][\w'’-]*[ \t\u00a0]+(?i:{_AFTER})(?![\w-])"),
-    "n-before": re.compile(rf"(?<!\w)(?i:{_BEFORE})[ \t\u00a0]"),
-    "before-n": re.compile(rf"(?<!\w)(?i:{_BEFORE})[ \t\u00a0]"),
-    "german": re.compile(r"(?i:straße|strasse|str\.|weg|platz|allee|gasse|ring|damm|ufer|steig|chaussee)[ \t\u00a0\r\n]+\d"),
+    "n-after": re.compile(rf"\d[A-Za-z]?,?[ \t\u00a0]{_GAP}(?:{_CAP}[ \t\u00a0]+){{1,3}}(?i:{_AFTER})(?![\w-])"),
+    "n-before": re.compile(rf"\d(?:[ \t\u00a0](?:bis|ter))?,?[ \t\u00a0]{_GAP}(?i:{_BEFORE})[ \t\u00a0]"),
+    "before-n": re.compile(rf"(?<!\w){_BEFORE}[ \t\u00a0]"),
+    "german": re.compile(r"[a-zß.][ \t\u00a0\r\n]+\d"),
 }
-_FOREIGN = tuple(sorted({p.replace(r"\.?", "").replace("[ée]", e) for p in _BEFORE[3:-1].split("|") for e in "ée"}))
-_PARTS = {"n-before": _FOREIGN, "before-n": _FOREIGN, "german": ("stra\u00dfe", "strasse", "str.", "weg", "platz", "allee", "gasse", "ring", "damm", "ufer", "steig", "chaussee")}
+_ENDINGS = ("straße", "strasse", "str.", "weg", "platz", "allee", "gasse", "ring", "damm", "ufer", "steig", "chaussee")
+
 
+def _may_hold(name: str, text: str, small: str) -> bool:
+    if name == "german":
+        return any(small.endswith(_ENDINGS, 0, m.start() + 1) for m in _HINTS[name].finditer(small))
+    return bool(_HINTS[name].search(small if name == "before-n" else text))
 
-def _addresses(text: str, lower: set[str]) -> list[tuple]:
+
+def _addresses(text: str, lower: Small) -> list[tuple]:
     out = []
     small = text.lower()
     for name, rx in _STREETS:
-        if not any(p in small for p in _PARTS.get(name, ("",))) or not _HINTS[name].search(text):
+        if not _may_hold(name, text, small):
             continue
         for m in rx.finditer(text):
             a, b = m.span()
-            if b - a > MOST_CHARS:
-                continue
-            ends, words = [b], 0
+            ends = [b]
             if m["city"]:
                 ends.append(m.start("city"))
                 # the name of a town may run into the next sentence: every word of it is a possible end
@@ -227,24 +256,24 @@ def _addresses(text: str, lower: set[str]) -> list[tuple]:
     return out
 
 
-def _names(text: str, people: People, lower: set[str]) -> list[tuple]:
+def _names(text: str, people: People, lower: Small) -> list[tuple]:
     out = []
+    words_of = _PAIR.findall(text)
+    leads, follows = people.leads, people.follows
+    places = [i for i, (w, v) in enumerate(zip(words_of, words_of[1:])) if leads(w) and follows(v)]
+    if not places:
+        return out
     toks = [(m.group(), m.start(), m.end()) for m in _PAIR.finditer(text)]
-    n = len(toks)
-    kind, seen = people.kind, people.seen
-
-    for i in range(n - 1):
+    n, kind = len(toks), people.kind
+    for i in places:
         w, a, e = toks[i]
-        c = w[0]
-        k0 = seen.get(w) or kind(w)
-        if not (k0 != "-" or c.isupper() or k0 != "-" or (len(w) > 2 and w[1] in "'’" and w[2].isupper())):
-            continue
+        k0 = kind(w)
         if len(w) == 1 or (a and text[a - 1] in "_@/\\`.<&$" and text[a - 1 : a] != "<") or text[a - 1 : a].isdigit():
             continue
-        commas = initials = 0
+        commas = 0
         cases, seps, members = case_of(w), "", [k0]
         words = [w]
-        for j in range(i + 1, min(n, i + 4)):
+        for j in range(i + 1, min(n, i + MOST_WORDS)):
             gap = text[toks[j - 1][2] : toks[j][1]]
             if not gap or len(gap) > 6 or not _SEP.match(gap):
                 break
@@ -290,8 +319,20 @@ def _names(text: str, people: People, lower: set[str]) -> list[tuple]:
 _LOWER = re.compile(r"(?<![^\W_])[a-zà-öø-ÿ][^\W\d_]*")
 
 
+class Small:
+    """The words that a text also writes small; looked for only if something asks."""
+
+    def __init__(self, text: str):
+        self.text, self.words = text, None
+
+    def __contains__(self, word: str) -> bool:
+        if self.words is None:
+            self.words = set(_LOWER.findall(self.text))
+        return word in self.words
+
+
 def candidates(text: str, people: People) -> list[tuple]:
-    lower = set(_LOWER.findall(text))
+    lower = Small(text)
     return [*_emails(text), *_numbers(text), *_addresses(text, lower), *_names(text, people, lower)]
 
 
