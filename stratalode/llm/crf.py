@@ -10,6 +10,8 @@ from __future__ import annotations
 import json
 import math
 import random
+from bisect import bisect_left, bisect_right
+from functools import lru_cache
 from pathlib import Path
 
 
@@ -126,12 +128,31 @@ class LinearChain:
         return cls(d["labels"], d["weights"], d["moves"])
 
 
-class SemiMarkov:
-    """Segments ``(start, end, type, features)`` compete with plain text, whose score is 0.
+#: Characters between two segments within which the earlier one speaks for the later.
+NEAR = 40
+
+
+@lru_cache(maxsize=65536)
+def gap_class(gap: str) -> str:
+    """What stands between two segments, as a feature of the plain segment there."""
+    s = gap.strip(" \t")
+    if not s:
+        return "none" if not gap else "space"
+    if not s.strip("\r\n"):
+        return "blank" if s.count("\n") > 1 else "line"
+    kind = "".join(dict.fromkeys("w" if c.isalpha() else "d" if c.isdigit() else "n" if c == "\n" else c if c in ",;:<(/@-|&" else "o" for c in s if not c.isspace()))
+    return kind[:4]
 
-    A text's segmentation is any set of candidate segments that do not overlap;
-    its score is the sum of theirs.  Candidates are bounded in length by their
-    generator, so the sums run over candidates sorted by end.
+
+class SemiMarkov:
+    """Segments ``(start, end, type, features)`` and the plain segments between them.
+
+    A text's segmentation is any set of candidate segments that do not overlap.
+    Its score is the sum of theirs and of the plain segments of at most ``NEAR``
+    characters between two of them, each scored by what it holds (``gap``) and by the
+    types it parts; longer plain segments and those at the ends score 0.
+    Candidates are bounded in length by their generator, so the sums run over
+    candidates sorted by end, and over the few that end shortly before one begins.
     """
 
     def __init__(self, weights: dict[str, float] | None = None):
@@ -142,62 +163,71 @@ class SemiMarkov:
         return sum(w.get(f, 0.0) for f in features)
 
     @staticmethod
-    def _before(spans: list[tuple]) -> list[int]:
-        """For each span (sorted by end): number of spans that end at or before its start."""
-        from bisect import bisect_right
+    def between(a: tuple, b: tuple, text: str) -> list[str]:
+        """Features of the plain segment between two segments."""
+        gap = gap_class(text[a[1] : b[0]])
+        return [f"gap={gap}", f"{a[2]}>{b[2]}", f"{a[2]}>{b[2]}|{gap}"]
 
+    @staticmethod
+    def _before(spans: list[tuple]) -> list[tuple[int, int]]:
+        """For each span (sorted by end): how many end more than ``NEAR`` before its start, and how many end before it."""
         ends = [s[1] for s in spans]
-        return [bisect_right(ends, s[0]) for s in spans]
+        return [(bisect_left(ends, s[0] - NEAR), bisect_right(ends, s[0])) for s in spans]
 
-    def decode(self, spans: list[tuple]) -> list[tuple]:
+    def decode(self, spans: list[tuple], text: str) -> list[tuple]:
+        if not spans:
+            return []
         spans = sorted(spans, key=lambda s: (s[1], s[0], s[2]))
-        before, best = self._before(spans), [0.0]
-        take = []
-        for k, s in enumerate(spans):
-            v = best[before[k]] + self.score(s[3])
-            take.append(v > best[-1])
-            best.append(max(v, best[-1]))
-        out, k = [], len(spans)
-        while k > 0:
-            if take[k - 1]:
-                out.append(spans[k - 1])
-                k = before[k - 1]
-            else:
-                k -= 1
+        best: list[float] = []  # of a segmentation that ends with this span
+        upto = [(0.0, -1)]  # best of the first k spans, and which it ends with
+        came = []
+        for k, (s, (far, near)) in enumerate(zip(spans, self._before(spans))):
+            v, p = upto[far]
+            for j in range(far, near):
+                x = best[j] + self.score(self.between(spans[j], s, text))
+                if x > v:
+                    v, p = x, j
+            v += self.score(s[3])
+            best.append(v)
+            came.append(p)
+            upto.append((v, k) if v > upto[-1][0] else upto[-1])
+        out, k = [], upto[-1][1]
+        while k >= 0:
+            out.append(spans[k])
+            k = came[k]
         return out[::-1]
 
-    def train(self, data: list[tuple[list[tuple], set[tuple[int, int, str]]]], rounds: int = 6, rate: float = 0.3, l2: float = 1e-5, seed: int = 1) -> None:
-        """``data``: candidate spans of a text and the true ones."""
-        from bisect import bisect_left
-
+    def train(self, data: list[tuple[list[tuple], set[tuple[int, int, str]], str]], rounds: int = 6, rate: float = 0.3, l2: float = 1e-5, seed: int = 1) -> None:
+        """``data``: candidate spans of a text, the true ones, and the text."""
         rng = random.Random(seed)
         seen: dict[str, float] = {}
-        data = list(data)
+        data = [(sorted(spans, key=lambda s: (s[1], s[0], s[2])), gold, text) for spans, gold, text in data if spans]
         for _ in range(rounds):
             rng.shuffle(data)
-            for spans, gold in data:
-                if not spans:
-                    continue
-                spans = sorted(spans, key=lambda s: (s[1], s[0], s[2]))
-                scores = [self.score(s[3]) for s in spans]
-                before = self._before(spans)
-                left = [0.0]
-                for k in range(len(spans)):
-                    left.append(logsumexp([left[-1], left[before[k]] + scores[k]]))
-                # right: the same from the other side, over spans sorted by start
-                order = sorted(range(len(spans)), key=lambda k: spans[k][0])
-                starts = [spans[k][0] for k in order]
-                right = [0.0] * (len(spans) + 1)
-                for j in range(len(order) - 1, -1, -1):
-                    k = order[j]
-                    right[j] = logsumexp([right[j + 1], right[bisect_left(starts, spans[k][1])] + scores[k]])
-                z = left[-1]
-                for k, s in enumerate(spans):
-                    p = math.exp(min(0.0, left[before[k]] + scores[k] + right[bisect_left(starts, s[1])] - z))
-                    g = (1.0 if (s[0], s[1], s[2]) in gold else 0.0) - p
+            for spans, gold, text in data:
+                n, before = len(spans), self._before(spans)
+                own = [self.score(s[3]) for s in spans]
+                pairs = {(j, k): self.between(spans[j], spans[k], text) for k in range(n) for j in range(*before[k])}
+                move = {jk: self.score(f) for jk, f in pairs.items()}
+                alpha, upto = [], [0.0]
+                for k in range(n):
+                    far, near = before[k]
+                    alpha.append(own[k] + logsumexp([upto[far], *(alpha[j] + move[j, k] for j in range(far, near))]))
+                    upto.append(logsumexp([upto[-1], alpha[k]]))
+                z = upto[-1]
+                beta = [0.0] * n  # of all that may follow this span
+                for j in range(n - 1, -1, -1):
+                    after = [k for k in range(j + 1, n) if spans[k][0] >= spans[j][1]]
+                    beta[j] = logsumexp([0.0, *(own[k] + beta[k] + move.get((j, k), 0.0) for k in after)])
+                real = [(s[0], s[1], s[2]) in gold for s in spans]
+                true = sorted((k for k in range(n) if real[k]), key=lambda k: spans[k][0])
+                follows = set(zip(true, true[1:]))
+                changes = [(s[3], real[k] - math.exp(min(0.0, alpha[k] + beta[k] - z))) for k, s in enumerate(spans)]
+                changes += [(f, ((j, k) in follows) - math.exp(min(0.0, alpha[j] + move[j, k] + own[k] + beta[k] - z))) for (j, k), f in pairs.items()]
+                for features, g in changes:
                     if abs(g) < 1e-4:
                         continue
-                    for f in s[3]:
+                    for f in features:
                         w = self.weights.get(f, 0.0)
                         d = g - l2 * w
                         seen[f] = seen.get(f, 1e-6) + d * d

@@ -2,8 +2,9 @@
 
 A semi-Markov conditional random field: candidate segments of bounded length (names
 of at most ``MOST_WORDS`` words, numbers of one run of groups, addresses that end at
-any word of their town) are scored as wholes by their shape, the directory of people, street vocabulary and surroundings, against plain
-text with score 0.  Dynamic programming over the candidates chooses boundaries
+any word of their town) are scored as wholes by their shape, the directory of people, street vocabulary and surroundings, and so are
+the short plain segments between two of them, by what they hold and the types
+they part; other plain text scores 0.  Dynamic programming over the candidates chooses boundaries
 and types jointly, so overlapping readings of the same characters compete.
 
 Places without a candidate of any type are plain whatever the weights, so only
@@ -342,7 +343,7 @@ class Finder:
 
     def find(self, text: str) -> list[tuple[int, int, str]]:
         """``start, end, kind`` of the items of a text, in order."""
-        return [(a, b, k) for a, b, k, _ in self.model.decode(candidates(text, self.people))]
+        return [(a, b, k) for a, b, k, _ in self.model.decode(candidates(text, self.people), text)]
 
 
 def load_model() -> SemiMarkov:

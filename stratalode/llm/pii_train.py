@@ -167,7 +167,7 @@ class Gen:
 
 
 def example(text, spans, people):
-    return candidates(text, people), spans
+    return candidates(text, people), spans, text
 
 
 def train(samples: int = SAMPLES, seed: int = SEED) -> SemiMarkov:
@@ -185,7 +185,7 @@ def accuracy(model: SemiMarkov, samples: int = 1500, seed: int = 1234) -> dict[s
     counts: dict[str, list[int]] = {}
     for _ in range(samples):
         text, spans = g.text()
-        got = {(a, k) for a, _, k, _ in model.decode(candidates(text, g.people))}
+        got = {(a, k) for a, _, k, _ in model.decode(candidates(text, g.people), text)}
         want = {(a, k) for a, _, k in spans}
         for k in {k for _, k in got | want}:
             c = counts.setdefault(k, [0, 0, 0])
