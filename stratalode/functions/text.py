@@ -16,6 +16,10 @@ PRIVATE_KEY = "PRIVATE KEY-----"
 LINE_CHARS, SYNOPSIS_CHARS, MOST_TERMS = 180, 1400, 32
 
 
+#: Where an identifier is split, and what parts words.
+HUMP, BETWEEN = r"(?<=[a-z0-9])(?=[A-Z])", r"[^\p{L}\p{N}]+"
+
+
 def words(text: Column | str) -> Column:
     """Identifiers split at case changes and underscores; runs of anything but letters, digits and ``_`` become one space."""
     t = F.regexp_replace(col(text), "([a-z0-9])([A-Z])", "$1 $2")
@@ -28,11 +32,11 @@ def terms(text: Column | str) -> Column:
 
 
 def query_terms(query: str) -> list[str]:
-    """Terms of a query: stop words dropped, the first 32 kept, each once."""
-    import re
+    """Terms of a query, split where ``terms`` splits: stop words dropped, the first 32 kept, each once."""
+    import regex
 
-    t = re.sub(r"[^\w]+", " ", re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", query)).replace("_", " ").lower().split()
-    return list(dict.fromkeys([x for x in t if x not in STOPWORDS][:MOST_TERMS]))
+    split = [t.lower() for part in regex.split(BETWEEN, query) for t in regex.split(HUMP, part) if t]
+    return list(dict.fromkeys([t for t in split if t not in STOPWORDS][:MOST_TERMS]))
 
 
 def redact(text: Column | str) -> Column:
@@ -63,14 +67,18 @@ def synopsis(path: Column | str, body: Column | str) -> Column:
     return F.when(b.contains(PRIVATE_KEY), F.lit("")).otherwise(F.concat(title, F.when(cut == "", F.lit("\n")).otherwise(cut)))
 
 
+# What a spreadsheet reads as a formula, and what a flowchart label may hold.
+FORMULA, NOT_LABEL = r"^[\s]*[=+\-@]", r"[^A-Za-z0-9_./ -]"
+
+
 def csv_guard(value: Column | str) -> Column:
     """A cell that a spreadsheet would read as a formula gets a leading quote."""
     v = col(value)
-    return F.when(v.rlike(r"^[\s]*[=+\-@]"), F.concat(F.lit("'"), v)).otherwise(v)
+    return F.when(v.rlike(FORMULA), F.concat(F.lit("'"), v)).otherwise(v)
 
 
 def mermaid_label(value: Column | str) -> Column:
-    return F.substring(F.regexp_replace(col(value), r"[^A-Za-z0-9_./ -]", "_"), 1, 60)
+    return F.substring(F.regexp_replace(col(value), NOT_LABEL, "_"), 1, 60)
 
 
 def clipped(value: Column | str, n: int = 256) -> tuple[Column, Column]:

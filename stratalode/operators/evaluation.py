@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Value ranges that a group is cut into for ranks.
+BLOCKS = 1024
+
+
 def retrieval_quality(ranked: DataFrame) -> DataFrame:
     """One row: queries, hit@5 and MRR@10 of ``query, rank, relevant``; a query without a relevant row counts 0."""
     first = ranked.groupBy("query").agg(F.min(F.when(F.col("relevant"), F.col("rank"))).alias("r"))
@@ -14,14 +20,39 @@ def retrieval_quality(ranked: DataFrame) -> DataFrame:
     return first.agg(F.count("*").alias("queries"), F.round(hit, 6).alias("hit_at_5"), F.round(mrr, 6).alias("mrr_at_10"))
 
 
-def p95_floor(x: str) -> Column:
-    """Element at floor(.95 (n - 1)) of the sorted values: the lower neighbour of the interpolated percentile."""
-    return F.expr(f"element_at(array_sort(collect_list({x})), cast(floor(0.95 * (count({x}) - 1)) as int) + 1)")
+def ranked_values(df: DataFrame, group: list[str], value: str, **ranks: Callable[[Column], Column]) -> DataFrame:
+    """The values at given 0-based ranks of each group's sorted values, as a function of their number.
+
+    Equal values are counted per task first; ranks are sums over the distinct values
+    of a group, of which only one of ``BLOCKS`` value ranges at a time is ordered,
+    so a group of any size is never gathered or sorted in one task.
+    """
+    v = df.where(F.col(value).isNotNull())
+    per = v.groupBy(*group, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    span = per.groupBy(*group).agg(F.min("_v").cast("double").alias("_lo"), F.max("_v").cast("double").alias("_hi"), F.sum("_n").alias("_total"))
+    at = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col("_v").cast("double") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * BLOCKS)).otherwise(F.lit(0))
+    per = per.join(span, group).withColumn("_block", at)
+    blocks = per.groupBy(*group, "_block").agg(F.sum("_n").alias("_m"))
+    before = F.coalesce(F.sum("_m").over(Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # at most BLOCKS + 1 rows per group
+    placed = per.join(blocks.select(*group, "_block", before.alias("_before")), [*group, "_block"])
+    high = F.col("_before") + F.sum("_n").over(Window.partitionBy(*group, "_block").orderBy("_v"))
+    placed = placed.withColumn("_high", high)
+    pick = lambda r: F.max(F.when((F.col("_high") - F.col("_n") <= r) & (r < F.col("_high")), F.col("_v")))
+    return placed.groupBy(*group).agg(*[pick(f(F.col("_total"))).alias(name) for name, f in ranks.items()])
+
+
+def p95_floor(n: Column) -> Column:
+    """The rank floor(.95 (n - 1)): the lower neighbour of the interpolated percentile."""
+    return F.floor(0.95 * (n - 1))
+
+
+def p95_ceil(n: Column) -> Column:
+    """The rank ceil(.95 n) - 1."""
+    return F.ceil(0.95 * n) - 1
 
 
-def p95_ceil(x: str) -> Column:
-    """Element at ceil(.95 n) - 1."""
-    return F.expr(f"percentile_disc(0.95) within group (order by {x})")
+def median_low(n: Column) -> Column:
+    return F.floor((n - 1) / 2)
 
 
 def grade(gold: DataFrame, actual: DataFrame, keys: list[str]) -> DataFrame:

@@ -70,7 +70,7 @@ def walk(edges: DataFrame, seeds: DataFrame, depth: int, reverse: bool = False,
     if not 1 <= depth <= MOST_DEPTH:
         raise ValueError(f"depth must be 1 to {MOST_DEPTH}")
     a, b = ("target_id", "caller_id") if reverse else ("caller_id", "target_id")
-    e = edges.where(follow) if follow is not None else edges
+    e = cut(edges.where(follow) if follow is not None else edges)  # what the edges come from is computed once, not once a level
     frontier = visited = cut(seeds.select(F.col(seeds.columns[0]).alias("node")).where("node is not null and node <> ''").distinct())
     out = None
     for level in range(depth):

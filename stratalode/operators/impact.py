@@ -42,6 +42,7 @@ def impact(edges: DataFrame, files: DataFrame, areas: list[str], depth: int, rel
     """
     if not 1 <= depth <= 32:
         raise ValueError("depth must be 1 to 32")
+    edges = cut(edges)
     pick: Column = F.lit(False)
     for area in areas:
         pick = pick | selected("path", area)

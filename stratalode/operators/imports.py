@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 from ..functions.paths import CODE_EXTENSIONS, basename, dirname, extension
 from .rollup import inventory
 
+# How import statements are recognised.
 JS_IMPORT = r"""(?:\bfrom\s*|\bimport\s*\(|\brequire\s*\()\s*['"]([^'"]+)['"]"""
 PY_IMPORT = r"^\s*(?:from\s+([.\w]+)\s+import|import\s+([\w.]+))"
 
 
+QUOTED = '"([^"\n]+)"'
+
+
 def _go(body: Column) -> Column:
     """Quoted paths of single imports and import blocks; the state inside a block is folded over the lines."""
     lines = F.transform(F.split(body, "\n"), lambda x: F.trim(F.translate(x, "\t\r", "  ")))
@@ -21,7 +25,7 @@ def _go(body: Column) -> Column:
         opens = s.startswith("import (")
         closes = acc["block"] & (s == ")")
         takes = ~opens & ~closes & (acc["block"] | s.startswith("import "))
-        q = F.regexp_extract(F.substring_index(s, "//", 1), '"([^"\n]+)"', 1)
+        q = F.regexp_extract(F.substring_index(s, "//", 1), QUOTED, 1)
         found = F.when(takes & (q != ""), F.concat(acc["found"], F.array(q))).otherwise(acc["found"])
         return F.struct(F.when(opens, F.lit(True)).when(closes, F.lit(False)).otherwise(acc["block"]).alias("block"), found.alias("found"))
 
@@ -61,11 +65,11 @@ def target_path(path: Column, module: Column, go_module: Column) -> Column:
     """
     ext, parent = extension(path), dirname(path)
     dots = F.length(F.regexp_extract(module, r"^(\.*)", 1))
-    rest = F.translate(F.substring(module, dots + 1, F.lit(4096)), ".", "/")
-    up = F.array_join(F.filter(F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.when(i < dots, F.lit(".."))), lambda x: x.isNotNull()), "/")
+    rest = F.translate(F.substring(module, dots + 1, F.length(module)), ".", "/")
+    up = F.array_join(F.array_repeat(F.lit(".."), F.greatest(dots - 1, F.lit(0)).cast("int")), "/")
     relative = normal_path(F.concat_ws("/", parent, F.when(dots > 1, up), rest))
     return (
-        F.when((ext == "go") & module.startswith(F.concat(go_module, F.lit("/"))), F.substring(module, F.length(go_module) + 2, F.lit(4096)))
+        F.when((ext == "go") & module.startswith(F.concat(go_module, F.lit("/"))), F.substring(module, F.length(go_module) + 2, F.length(module)))
         .when((ext == "py") & (dots > 0), relative)
         .when(ext == "py", F.translate(module, ".", "/"))
         .when(ext.isin("js", "jsx", "ts", "tsx") & module.startswith("."), normal_path(F.concat_ws("/", F.nullif(parent, F.lit("")), module)))

@@ -10,6 +10,10 @@ from ..sources.shared import cut
 from .skew import salted_join
 
 
+#: Deeper than any parser nests; only a cycle of parents goes beyond.
+MOST_NESTING = 1000
+
+
 def unique_match(left: DataFrame, right: DataFrame, keys: list[str], value: str) -> DataFrame:
     """``value`` of the only right row with the same keys, or ``reason``: missing or duplicate.
 
@@ -25,16 +29,19 @@ def nearest_binding(sites: DataFrame, scopes: DataFrame, bindings: DataFrame) ->
 
     ``sites``: site_id, path, scope, name; ``scopes``: path, ordinal, parent;
     ``bindings``: path, scope, name, value.  Adds ``value`` and ``reason`` (unbound,
-    ambiguous).  Scopes nest at most 32 deep here; deeper names stay unbound.
+    ambiguous).  One step per level of nesting, until no scope has a parent; scopes
+    that name each other as parents end the walk with an error.
     """
     up = cut(sites.select("site_id", "path", "name", F.col("scope").alias("at"), F.lit(0).alias("distance")))
     chain, level = up, up
     parents = scopes.select("path", F.col("ordinal").alias("at"), F.col("parent").alias("_p"))
-    for d in range(1, 33):
+    for d in range(1, MOST_NESTING + 1):
         level = cut(level.join(parents, ["path", "at"]).where("_p is not null and _p >= 0").select("site_id", "path", "name", F.col("_p").alias("at"), F.lit(d).alias("distance")))
         if level.isEmpty():
             break
         chain = chain.union(level)
+    else:
+        raise ValueError(f"scopes nest more than {MOST_NESTING} deep")
     per = bindings.groupBy("path", F.col("scope").alias("at"), "name").agg(F.count("*").alias("n"), F.min("value").alias("value"))
     hits = chain.join(per, ["path", "at", "name"])
     best = hits.groupBy("site_id").agg(F.min_by(F.struct("n", "value"), "distance").alias("b"))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import query_terms, terms
 from ..functions.vectors import dot, norm
+from ..sources.generations import Store
+from ..sources.postings import bm25
 
-K1, B, RRF_K, SHORTLIST = 1.2, 0.75, 60, 32
+RRF_K, SHORTLIST = 60, 32
 
 
 def depth_for(limit: int) -> int:
@@ -16,32 +17,6 @@ def depth_for(limit: int) -> int:
     return max(50, 5 * limit)
 
 
-def _equals(q: str):
-    return lambda x: x == F.lit(q)
-
-
-def bm25(docs: DataFrame, query: str, ident: str = "id", text: str = "text") -> DataFrame:
-    """``id, score`` of every document that holds a query term; ln, k1 = 1.2, b = 0.75, idf at least 1e-6.
-
-    Query terms are constants in the plan: each document is tokenized once in the
-    scan stage and yields its length and the counts of the few query terms, so
-    only matching documents and one row of corpus totals are moved.  Terms are
-    unstemmed and keep their accents.
-    """
-    asked = query_terms(query)
-    src = docs.where(F.col(text).isNotNull()).select(F.col(ident).alias("id"), F.col(text).alias("_text")).select("id", terms("_text").alias("t")).select("id", F.size("t").alias("dl"), F.filter("t", lambda x: x.isin(*asked) if asked else F.lit(False)).alias("hit"))
-    df = [F.sum(F.array_contains("hit", q).cast("bigint")).alias(f"df{i}") for i, q in enumerate(asked)]
-    stats = src.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *df)
-    n = F.col("n").cast("double")
-    total = F.lit(0.0)
-    for i, q in enumerate(asked):
-        d = F.col(f"df{i}")
-        idf = F.greatest(F.ln((n - d + 0.5) / (d + 0.5)), F.lit(1e-6))
-        tf = F.size(F.filter("hit", _equals(q))).cast("double")
-        total = total + F.when(tf > 0, idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))).otherwise(F.lit(0.0))
-    return src.where(F.size("hit") > 0).crossJoin(F.broadcast(stats)).select("id", F.round(total, 6).alias("score"))  # stats: one row
-
-
 def cosine_scores(docs: DataFrame, query: list[float], ident: str = "id", vector: str = "vector") -> DataFrame:
     """``id, score`` against a constant vector; null and zero vectors are left out."""
     q = F.array(*[F.lit(float(x)) for x in query])
@@ -66,10 +41,11 @@ def fuse(*lists: DataFrame, limit: int) -> DataFrame:
     return both.groupBy("id").agg(F.round(F.sum("s"), 6).alias("score")).orderBy(F.desc("score"), "id").limit(limit)
 
 
-def hybrid(docs: DataFrame, query: str, vector: list[float], limit: int, ident: str = "id", text: str = "terms", column: str = "vector") -> DataFrame:
+def hybrid(docs: DataFrame, index: Store, query: str, vector: list[float], limit: int, ident: str = "id", column: str = "vector") -> DataFrame:
+    """``id, score, similarity``: the keyword list of an index and the vector list of its documents, fused."""
     n = depth_for(limit)
     cos = top(cosine_scores(docs, vector, ident, column), n, True)
-    fused = fuse(top(bm25(docs, query, ident, text), n), cos, limit=limit)
+    fused = fuse(top(bm25(index, query), n), cos, limit=limit)
     return fused.join(cos.select("id", F.round("score", 4).alias("similarity")), "id", "left")
 
 

@@ -35,17 +35,32 @@ def tree_counts(paths: DataFrame) -> DataFrame:
     return own.select(F.explode(ancestors("d")).alias("directory"), "n").groupBy("directory").agg(F.sum("n").alias("files"))
 
 
+def child_directories(counts: DataFrame) -> DataFrame:
+    """``directory, child`` of a tree's counts, one row per child: a root may have any number."""
+    return counts.where("directory <> ''").select(dirname("directory").alias("directory"), F.col("directory").alias("child"))
+
+
+def samples(paths: DataFrame) -> DataFrame:
+    """``directory, sample``: the first eight files anywhere below each directory, in order of their paths.
+
+    The first eight below a directory are among the first eight of each directory
+    below it, so no more than those climb the tree; ranks are cut per task before
+    rows are shuffled.
+    """
+    own = Window.partitionBy("_d").orderBy("path")
+    first = paths.select(dirname("path").alias("_d"), "path").withColumn("_r", F.row_number().over(own)).where(F.col("_r") <= SAMPLE)
+    up = first.select(F.explode(ancestors("_d")).alias("directory"), "path")
+    best = up.withColumn("_r", F.row_number().over(Window.partitionBy("directory").orderBy("path"))).where(F.col("_r") <= SAMPLE)
+    return best.groupBy("directory").agg(F.array_sort(F.collect_list("path")).alias("sample"))
+
+
 def tree_nodes(paths: DataFrame) -> DataFrame:
-    """``directory, files, direct, children, sample``: counts below and directly in it, sorted child directories, the first eight direct files."""
+    """``directory, files, direct, children, sample``: counts of files below and directly in it and of child directories, and the first eight files below."""
     direct = paths.groupBy(dirname("path").alias("directory")).agg(F.count("*").alias("direct"))
     counts = tree_counts(paths)
-    children = counts.where("directory <> ''").groupBy(dirname("directory").alias("directory")).agg(F.array_sort(F.collect_set("directory")).alias("children"))
-    rank = F.row_number().over(Window.partitionBy("directory").orderBy("path"))
-    first = paths.select(dirname("path").alias("directory"), "path").withColumn("r", rank).where(F.col("r") <= SAMPLE)
-    sample = first.groupBy("directory").agg(F.array_sort(F.collect_list("path")).alias("sample"))
-    out = counts.join(direct, "directory", "left").join(children, "directory", "left").join(sample, "directory", "left")
-    none = F.array().cast("array<string>")
-    return out.select("directory", "files", F.coalesce("direct", F.lit(0)).alias("direct"), F.coalesce("children", none).alias("children"), F.coalesce("sample", none).alias("sample"))
+    children = child_directories(counts).groupBy("directory").agg(F.count("*").alias("children"))
+    out = counts.join(direct, "directory", "left").join(children, "directory", "left").join(samples(paths), "directory", "left")
+    return out.select("directory", "files", F.coalesce("direct", F.lit(0)).alias("direct"), F.coalesce("children", F.lit(0)).alias("children"), "sample")
 
 
 def edge_counts(edges: DataFrame) -> DataFrame:
@@ -97,14 +112,17 @@ def system_partition(paths: DataFrame, roles: DataFrame | None = None) -> tuple[
     (the most specific listed directory owns a file).  ``roles``: ``directory, role``
     of top-level directories that no category names.
     """
-    nodes = tree_nodes(paths)
+    counts = tree_counts(paths)
+    direct = paths.groupBy(dirname("path").alias("directory")).agg(F.count("*").alias("direct"))
+    parents = child_directories(counts).select("directory").distinct().withColumn("_parent", F.lit(True))
+    nodes = counts.join(direct, "directory", "left").join(parents, "directory", "left").select("directory", "files", F.coalesce("direct", F.lit(0)).alias("direct"), F.coalesce("_parent", F.lit(False)).alias("parent"))
     base = F.lower(F.substring_index("directory", "/", -1))
     cat = F.create_map(*[F.lit(x) for k, v in CATEGORY.items() for x in (k, v[0])])
     cat_role = F.create_map(*[F.lit(x) for k, v in CATEGORY.items() for x in (k, v[1])])
     rank = F.create_map(*[F.lit(x) for kv in PRIORITY.items() for x in kv])
     root = nodes.where("directory = ''").select(F.lit("Root files").alias("name"), F.lit("entry").alias("role"), F.lit("").alias("directory"), F.col("direct").alias("files"))
     top = nodes.where((F.col("directory") != "") & ~F.col("directory").contains("/"))
-    opened = F.lower("directory").isin(*EXPANDED) & (F.size("children") > 0)
+    opened = F.lower("directory").isin(*EXPANDED) & F.col("parent")
     plain = top.where(~opened)
     if roles is not None:
         plain = plain.join(roles.select("directory", F.col("role").alias("_given")), "directory", "left")
@@ -112,7 +130,7 @@ def system_partition(paths: DataFrame, roles: DataFrame | None = None) -> tuple[
         plain = plain.withColumn("_given", F.lit(None).cast("string"))
     plain = plain.select(F.coalesce(cat[F.lower("directory")], F.col("directory")).alias("name"), F.coalesce(cat_role[F.lower("directory")], "_given", F.lit("other")).alias("role"), "directory", "files")
     src = top.where(opened)
-    kids = src.select(F.col("directory").alias("parent"), F.explode("children").alias("directory")).join(nodes.select("directory", "files"), "directory")
+    kids = child_directories(counts).withColumnsRenamed({"directory": "parent", "child": "directory"}).join(F.broadcast(src.select(F.col("directory").alias("parent"))), "parent").join(counts, "directory")  # at most ten opened directories
     known = kids.where(cat[base].isNotNull()).select(cat[base].alias("name"), cat_role[base].alias("role"), "directory", "files")
     order = Window.partitionBy("parent").orderBy(F.coalesce(rank[base], F.lit(4)), F.desc("files"), "directory")
     ranked = kids.where(cat[base].isNull()).withColumn("r", F.row_number().over(order))

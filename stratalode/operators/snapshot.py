@@ -28,6 +28,15 @@ def catalog(old: DataFrame, new: DataFrame, key: str, digest: str, keep: list[st
     return j.select(key, digest, action.alias("action"), *[F.when(same, F.col(f"_{k}")).alias(k) for k in keep])
 
 
+def counters(old: DataFrame, new: DataFrame, key: str, digest: str) -> DataFrame:
+    """``action, files``: how many files a refresh finds new, changed, reused and deleted."""
+    a = old.select(key, F.col(digest).alias("_a"), F.lit(True).alias("_old"))
+    b = new.select(key, F.col(digest).alias("_b"), F.lit(True).alias("_new"))
+    j = a.join(b, key, "full_outer")
+    action = F.when(F.col("_new").isNull(), "deleted").when(F.col("_old").isNull(), "new").when(F.col("_a").eqNullSafe(F.col("_b")), "reused").otherwise("changed")
+    return j.groupBy(action.alias("action")).agg(F.count("*").alias("files"))
+
+
 def dirty(records: DataFrame, dependencies: DataFrame, current: DataFrame) -> DataFrame:
     """``path, cause`` of what must be derived again.
 

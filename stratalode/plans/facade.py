@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import selected, under
 from ..operators import facts, graph, retrieval, rollup, snapshot
+from ..sources import postings
 from ..sources.generations import Store, lifecycle
 
 OPERATIONS = ("symbol", "call", "callees", "callers", "reachable", "impact")
@@ -28,7 +29,7 @@ class Index:
 
         def build():
             f = facts.collect(files)
-            return {"files": files.select("path").distinct(), "symbols": facts.symbols(f), "sites": facts.resolve(f), "docs": files}
+            return {"files": files.select("path").distinct(), "symbols": facts.symbols(f), "sites": facts.resolve(f), "docs": files, "postings": postings.postings(files, "path", "body"), "totals": postings.totals(files, "body")}
 
         return lifecycle(self.store, attempt, build)
 
@@ -47,7 +48,7 @@ class Index:
         n = retrieval.depth_for(limit)
         lists = []
         if mode != "semantic":
-            lists.append(retrieval.top(retrieval.bm25(docs, query, "path", "body"), n))
+            lists.append(retrieval.top(postings.bm25(self.store, query).where(under("id", prefix)), n))
         if mode != "keyword":
             if docs.where(F.col("vector").isNull()).limit(1).count():
                 raise ValueError("the vector index is stale")

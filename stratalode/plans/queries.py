@@ -14,6 +14,8 @@ from ..functions import text as X
 from ..functions import vectors as V
 from ..operators import coverage, evaluation, facts, graph, imports, incremental, resolution, retrieval, rollup, snapshot
 from ..operators.current import latest, stamp_ns
+from ..sources import postings
+from ..sources.shared import cut
 from ..sources.tables import table
 from ..streaming import refresh
 
@@ -57,7 +59,7 @@ _IMPORTS = "imp AS (SELECT DISTINCT path, ordinal, name, module, symbol, start_b
 _EDGES = f"""{_TREE}, {_IMPORTS},
 named AS (SELECT path, ordinal, {_DIR} AS source, CASE
     WHEN path LIKE '%.py' THEN replace(split_part(module, '.', 1), '_', '-') || substr(replace(module, '.', '/'), length(split_part(module, '.', 1)) + 1)
-    WHEN path LIKE '%.go' THEN module END AS t FROM imp),
+    WHEN path LIKE '%.go' THEN module WHEN module LIKE './%' THEN split_part(path, '/', 1) || substr(module, 2) END AS t FROM imp),
 climb AS (SELECT t, unnest({_UP.format(d='t')}) AS a FROM (SELECT DISTINCT t FROM named WHERE t IS NOT NULL)),
 owned AS (SELECT t, arg_max(a, len(string_split(a, '/'))) AS target FROM climb JOIN tree ON a = directory WHERE a <> '' GROUP BY t),
 linked AS (SELECT path, ordinal, source, target FROM named LEFT JOIN owned USING (t)),
@@ -76,11 +78,16 @@ def _statements(spark, d) -> DataFrame:
 
 
 def _linked(spark, d) -> DataFrame:
-    """``path, ordinal, source, target``: each import with the deepest directory of the inventory on its module's path."""
+    """``path, ordinal, source, target``: each import with the deepest directory of the inventory on its module's path.
+
+    The names of these tables begin at the repository: Python's with its root
+    package, Go's with its module, ``./`` of JavaScript and TypeScript at its root.
+    """
     ext = P.extension("path")
     first = F.substring_index("module", ".", 1)
-    slashed = F.concat(F.translate(first, "_", "-"), F.substring(F.translate("module", ".", "/"), F.length(first) + 1, F.lit(4096)))
-    named = _statements(spark, d).select("path", "ordinal", P.dirname("path").alias("source"), F.when(ext == "py", slashed).when(ext == "go", F.col("module")).alias("t"))
+    slashed = F.concat(F.translate(first, "_", "-"), F.substring(F.translate("module", ".", "/"), F.length(first) + 1, F.length("module")))
+    rooted = F.concat(F.substring_index("path", "/", 1), F.expr("substring(module, 2)"))
+    named = _statements(spark, d).select("path", "ordinal", P.dirname("path").alias("source"), F.when(ext == "py", slashed).when(ext == "go", F.col("module")).when(F.col("module").startswith("./"), rooted).alias("t"))
     dirs = rollup.tree_counts(_paths(spark, d)).where("directory <> ''").select("directory", F.col("directory").alias("target"))
     return rollup.nearest_ancestor(named, "t", dirs, "directory", "target").select("path", "ordinal", "source", "target")
 
@@ -98,15 +105,56 @@ def rollup_tree(spark, d):
 
 
 @query(f"""WITH {_TREE},
-child AS (SELECT {_DIR.replace('path', 'directory')} AS parent, directory FROM tree WHERE directory <> ''),
-kids AS (SELECT parent, string_agg(directory, ',' ORDER BY directory) AS children FROM child GROUP BY parent),
-sampled AS (SELECT d, string_agg(path, ',' ORDER BY path) AS sample FROM (SELECT d, path, row_number() OVER (PARTITION BY d ORDER BY path) AS r FROM files) WHERE r <= 8 GROUP BY d),
+kids AS (SELECT {_DIR.replace('path', 'directory')} AS parent, count(*) AS children FROM tree WHERE directory <> '' GROUP BY 1),
+sampled AS (SELECT directory AS d, string_agg(path, ',' ORDER BY path) AS sample FROM (SELECT directory, path, row_number() OVER (PARTITION BY directory ORDER BY path) AS r FROM up) WHERE r <= 8 GROUP BY 1),
 own AS (SELECT d, count(*) AS n FROM files GROUP BY d)
-SELECT t.directory, t.files, coalesce(n, 0) AS direct, coalesce(children, '') AS children, coalesce(sample, '') AS sample
+SELECT t.directory, t.files, coalesce(n, 0) AS direct, coalesce(children, 0) AS children, sample
 FROM tree t LEFT JOIN kids ON parent = t.directory LEFT JOIN sampled s ON s.d = t.directory LEFT JOIN own o ON o.d = t.directory""")
 def rollup_children_sample(spark, d):
-    n = rollup.tree_nodes(_paths(spark, d))
-    return n.select("directory", "files", "direct", F.array_join("children", ",").alias("children"), F.array_join("sample", ",").alias("sample"))
+    return rollup.tree_nodes(_paths(spark, d)).withColumn("sample", F.array_join("sample", ","))
+
+
+@query(f"WITH {_TREE} SELECT {_DIR.replace('path', 'directory')} AS directory, directory AS child FROM tree WHERE directory <> ''")
+def child_directories(spark, d):
+    return rollup.child_directories(rollup.tree_counts(_paths(spark, d)))
+
+
+# imports whose names are written out of real files, by language: relative with dots, from the root, below a Go module
+_WRITTEN = f"""{_TREE}, ranked AS (SELECT path, d, row_number() OVER (PARTITION BY split_part(path, '/', 1), list_last(string_split(path, '.')) ORDER BY path) - 1 AS r, count(*) OVER (PARTITION BY split_part(path, '/', 1), list_last(string_split(path, '.'))) AS n FROM files WHERE regexp_matches(path, '\\.(py|go|js|ts)$')),
+pairs AS (SELECT a.path, a.d, a.r, b.path AS goal, b.d AS goal_dir, regexp_replace(b.path, '\\.[^.]*$', '') AS stem FROM ranked a JOIN ranked b ON split_part(a.path, '/', 1) = split_part(b.path, '/', 1) AND list_last(string_split(a.path, '.')) = list_last(string_split(b.path, '.')) AND b.r = (a.r + 7) % a.n),
+written AS (SELECT path, d, goal, goal_dir, CASE WHEN path LIKE '%.go' THEN CASE r % 3 WHEN 0 THEN 'example.test/all/' || goal_dir WHEN 1 THEN 'example.test/other/' || goal_dir ELSE 'fmt' END
+  WHEN path LIKE '%.py' THEN CASE r % 4 WHEN 0 THEN replace(stem, '/', '.') WHEN 1 THEN repeat('.', len(string_split(d, '/')) + 1) || replace(stem, '/', '.') WHEN 2 THEN replace(goal_dir, '/', '.') ELSE 'os.path' END
+  ELSE CASE r % 4 WHEN 0 THEN './' || repeat('../', len(string_split(d, '/'))) || stem WHEN 1 THEN '.' || repeat('/..', len(string_split(d, '/'))) || '/' || goal WHEN 2 THEN './../' || list_last(string_split(d, '/')) || '/nowhere' ELSE 'react' END END AS imported, r FROM pairs)"""
+
+
+def _written(spark, d) -> DataFrame:
+    files = _paths(spark, d)
+    ext = P.extension("path")
+    w = Window.partitionBy(F.substring_index("path", "/", 1), ext)
+    ranked = files.where(ext.isin("py", "go", "js", "ts")).select("path", F.substring_index("path", "/", 1).alias("repo"), ext.alias("ext"), (F.row_number().over(w.orderBy("path")) - 1).alias("r"), F.count("*").over(w).alias("n"))
+    goals = ranked.select("repo", "ext", F.col("r").alias("g"), F.col("path").alias("goal"))
+    p = ranked.withColumn("g", (F.col("r") + 7) % F.col("n")).join(goals, ["repo", "ext", "g"])
+    stem, own, goal_dir = F.regexp_replace("goal", r"\.[^.]*$", ""), P.dirname("path"), P.dirname("goal")
+    up, at = F.size(F.split(own, "/")), lambda n, *v: F.element_at(F.array(*v), (F.col("r") % n + 1).cast("int"))
+    go = at(3, F.concat(F.lit("example.test/all/"), goal_dir), F.concat(F.lit("example.test/other/"), goal_dir), F.lit("fmt"))
+    py = at(4, F.translate(stem, "/", "."), F.concat(F.repeat(F.lit("."), up + 1), F.translate(stem, "/", ".")), F.translate(goal_dir, "/", "."), F.lit("os.path"))
+    js = at(4, F.concat(F.lit("./"), F.repeat(F.lit("../"), up), stem), F.concat(F.lit("."), F.repeat(F.lit("/.."), up), F.lit("/"), "goal"), F.concat(F.lit("./../"), P.basename(own), F.lit("/nowhere")), F.lit("react"))
+    return p.select("path", F.when(F.col("ext") == "go", go).when(F.col("ext") == "py", py).otherwise(js).alias("imported"))
+
+
+@query(f"""WITH {_WRITTEN},
+aimed AS (SELECT path, imported, d, CASE WHEN path LIKE '%.go' THEN CASE WHEN starts_with(imported, 'example.test/all/') THEN substr(imported, 18) END
+  WHEN path LIKE '%.py' THEN CASE WHEN starts_with(imported, '.') THEN replace(ltrim(imported, '.'), '.', '/') ELSE replace(imported, '.', '/') END
+  WHEN starts_with(imported, '.') THEN CASE r % 4 WHEN 2 THEN d || '/nowhere' ELSE regexp_replace(imported, '^[./]*', '') END END AS t FROM written),
+by_dir AS (SELECT a.*, tr.directory AS whole FROM aimed a LEFT JOIN tree tr ON tr.directory = a.t),
+tries AS (SELECT DISTINCT t, t || e AS f FROM aimed, (SELECT unnest(['', '.go', '.py', '.js', '.jsx', '.ts', '.tsx']) AS e) WHERE t IS NOT NULL),
+by_file AS (SELECT DISTINCT t, regexp_replace(f, '/[^/]*$', '') AS part FROM tries JOIN files ON files.path = f)
+SELECT path, imported, coalesce(whole, part) AS target_dir FROM by_dir LEFT JOIN by_file USING (t)""")
+def local_targets(spark, d):
+    """The directory that each import names: itself, or that of the file it names with or without an extension; null where neither exists."""
+    w = _written(spark, d)
+    w = w.withColumn("target", F.nullif(imports.target_path(F.col("path"), F.col("imported"), F.lit("example.test/all")), F.lit("")))
+    return imports.resolve(w, table(spark, d, "structural_files")).select("path", "imported", "target_dir")
 
 
 @query(f"""WITH {_FILES} SELECT path, lower(regexp_extract(path, '[^./]\\.([^./]+)$', 1)) AS extension,
@@ -171,6 +219,21 @@ def _within(df, column, repo):
     return df.where(F.col(column).startswith(repo + "/")).withColumn(column, F.expr(f"substring({column}, {len(repo) + 2})"))
 
 
+_PRIORITY = "CASE lower(list_last(string_split(dir, '/'))) " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in rollup.PRIORITY.items()) + " ELSE 4 END"
+
+
+@query(f"""WITH {_TREE}, kids AS (SELECT split_part(path, '/', 1) AS repo, len(string_split(path, '/')) AS n FROM files),
+inner_dirs AS (SELECT 'src/' || repo AS dir, count(*) AS n FROM kids WHERE n > 1 GROUP BY 1),
+ranked AS (SELECT dir, n, row_number() OVER (ORDER BY {_PRIORITY}, n DESC, dir) AS r FROM inner_dirs),
+groups AS (SELECT CASE WHEN r <= 4 THEN dir ELSE 'Shared src components' END AS name, n, dir FROM ranked
+  UNION ALL SELECT 'Shared src components', count(*), 'src' FROM kids WHERE n = 1 HAVING count(*) > 0)
+SELECT name, 'runtime' AS role, 1 AS layer, CAST(sum(n) AS BIGINT) AS files, string_agg(dir, ',' ORDER BY dir) AS paths FROM groups GROUP BY name""")
+def system_opened(spark, d):
+    """All repositories below one source directory: its first four children stand alone, the rest share a group."""
+    groups, _ = rollup.system_partition(_paths(spark, d).select(F.concat(F.lit("src/"), "path").alias("path")))
+    return groups.withColumn("paths", F.array_join("paths", ","))
+
+
 @query(f"WITH {_SYSTEM} SELECT name, role, CASE role WHEN 'documentation' THEN 3 WHEN 'examples' THEN 3 ELSE 2 END AS layer, files, array_to_string(dirs, ',') AS paths FROM final")
 def system_partition(spark, d):
     groups, _ = rollup.system_partition(_within(_paths(spark, d), "path", _largest(spark, d)))
@@ -288,7 +351,7 @@ score AS (SELECT id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) *
 
 @query(f"WITH {_bm25_sql('documents', 'doc_id', 'text', 'text IS NOT NULL')} SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM score ORDER BY score DESC, id LIMIT 50")
 def bm25_topk(spark, d):
-    return retrieval.top(retrieval.bm25(table(spark, d, "documents"), _QUESTION, "doc_id"), 50).withColumn("rank", F.col("rank").cast("bigint"))
+    return retrieval.top(postings.bm25(postings.index_of(spark, d, "documents", "doc_id", "text"), _QUESTION), 50).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 _PROBE = [((7 * i) % 13 - 6) / 10.0 for i in range(64)]
@@ -307,7 +370,7 @@ vec AS (SELECT id, {_COS} AS c, row_number() OVER (ORDER BY {_COS} DESC, id DESC
 fused AS (SELECT id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM (SELECT id, rank FROM kw UNION ALL SELECT id, rank FROM vec) GROUP BY id ORDER BY score DESC, id LIMIT 20)
 SELECT fused.id, fused.score, round(vec.c, 4) AS similarity FROM fused LEFT JOIN vec USING (id)""")
 def hybrid_rrf(spark, d):
-    return retrieval.hybrid(table(spark, d, "docs"), _QUESTION, _PROBE, 20)
+    return retrieval.hybrid(table(spark, d, "docs"), postings.index_of(spark, d, "docs", "id", "terms"), _QUESTION, _PROBE, 20)
 
 
 @query(f"""WITH {_bm25_sql('docs', 'id', 'terms', 'terms IS NOT NULL')},
@@ -316,7 +379,7 @@ j AS (SELECT kw.id, rank, c FROM kw LEFT JOIN (SELECT id, {_COS} AS c FROM docs
 SELECT id, rank, row_number() OVER (ORDER BY rank > 32, CASE WHEN rank <= 32 THEN -coalesce(c, -1e300) END, rank) AS position FROM j""")
 def rerank_merge(spark, d):
     docs = table(spark, d, "docs")
-    ranked = retrieval.top(retrieval.bm25(docs, _QUESTION, "id", "terms"), 60)
+    ranked = retrieval.top(postings.bm25(postings.index_of(spark, d, "docs", "id", "terms"), _QUESTION), 60)
     out = retrieval.rerank(ranked, retrieval.cosine_scores(docs, _PROBE))
     return out.select("id", F.col("rank").cast("bigint").alias("rank"), F.col("position").cast("bigint").alias("position"))
 
@@ -358,9 +421,12 @@ def occurrences(spark, d):
 _SEED = "lantern-loom/api"
 
 
-@query(f"WITH {_OCC} SELECT site_id, target_id FROM occ WHERE starts_with(caller_id, '{_SEED}')")
+@query(f"WITH {_OCC}, most AS (SELECT caller_id FROM occ GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) SELECT site_id, caller_id, target_id FROM occ JOIN most USING (caller_id)")
 def callees(spark, d):
-    return _occurrences(spark, d).where(F.col("caller_id").startswith(_SEED)).select("site_id", "target_id")
+    """All that the directory with the most imports names."""
+    occ = cut(_occurrences(spark, d))
+    seed = occ.groupBy("caller_id").count().orderBy(F.desc("count"), "caller_id").first().caller_id
+    return graph.outgoing(occ, seed).select("site_id", "caller_id", "target_id")
 
 
 @query(f"WITH {_OCC} SELECT site_id, caller_id FROM occ WHERE target_id = '{_SEED}'")
@@ -461,12 +527,12 @@ def longest_prefix_owner(spark, d):
     return resolution.longest_prefix_owner(paths, "path", owners, "directory", "owner")
 
 
-@query("""WITH RECURSIVE n AS (SELECT s_suppkey AS name, s_nationkey::BIGINT AS target FROM supplier WHERE s_suppkey <= 25),
+@query("""WITH RECURSIVE n AS (SELECT s_suppkey AS name, s_nationkey::BIGINT AS target FROM supplier),
 w(name, pos, hops) AS (SELECT name, target, 1 FROM n UNION ALL SELECT w.name, n.target, hops + 1 FROM w JOIN n ON n.name = w.pos WHERE hops < 64),
 e AS (SELECT name, arg_max(pos, hops) AS final, max(hops) AS hops FROM w GROUP BY name)
 SELECT name, CASE WHEN hops < 64 THEN final END AS final, CASE WHEN hops < 64 THEN hops END AS hops, CASE WHEN hops >= 64 THEN 'cycle' END AS reason FROM e""")
 def alias_chain(spark, d):
-    s = table(spark, d, "supplier").where("s_suppkey <= 25").select(F.col("s_suppkey").alias("name"), F.col("s_nationkey").cast("bigint").alias("target"))
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("name"), F.col("s_nationkey").cast("bigint").alias("target"))
     return resolution.follow_aliases(s)
 
 
@@ -484,12 +550,14 @@ def _now(spark, d) -> DataFrame:
 
 
 def _before(spark, d) -> DataFrame:
-    """What the runs up to the second ready one knew of each path."""
-    log = table(spark, d, "catalog_log").where("run_no <= 2").select("path", "run_no", "log_id", "digest")
+    """What all ready runs but the last knew of each path."""
+    ready = table(spark, d, "catalog_runs").where("state = 'ready'").select("run_no").distinct()
+    old = ready.join(ready.agg(F.max("run_no").alias("last")), F.col("run_no") < F.col("last")).select("run_no")  # one row per run
+    log = table(spark, d, "catalog_log").join(F.broadcast(old), "run_no").select("path", "run_no", "log_id", "digest")
     return latest(log, "path", ["run_no", "log_id"], ["digest"]).select("path", incremental.plain_digest(F.col("digest")).alias("digest"))
 
 
-_BEFORE = f"""{_CURRENT}, old AS (SELECT path, lower(regexp_replace(trim(arg_max(digest, run_no * 1000000000 + log_id)), '^(?i)sha-?256[:=\\s]+', '')) AS digest FROM catalog_log WHERE run_no <= 2 AND path IS NOT NULL GROUP BY path),
+_BEFORE = f"""{_CURRENT}, old AS (SELECT path, lower(regexp_replace(trim(arg_max(digest, run_no::BIGINT * 1000000000 + log_id)), '^(?i)sha-?256[:=\\s]+', '')) AS digest FROM catalog_log WHERE run_no IN (SELECT run_no FROM catalog_runs WHERE state = 'ready' AND run_no < (SELECT max(run_no) FROM catalog_runs WHERE state = 'ready')) AND path IS NOT NULL GROUP BY path),
 new AS (SELECT path, digest FROM cur)"""
 
 
@@ -500,10 +568,20 @@ def git_changes(spark, d):
     return snapshot.changes(_before(spark, d), now, "path", "digest")
 
 
-@query(f"""WITH {_BEFORE} SELECT n.path, n.digest, CASE WHEN o.path IS NULL THEN 'new' WHEN o.digest IS NOT DISTINCT FROM n.digest THEN 'reused' ELSE 'changed' END AS action FROM new n LEFT JOIN old o USING (path)""")
+@query(f"""WITH {_BEFORE} SELECT n.path, n.digest, CASE WHEN o.path IS NULL THEN 'new' WHEN o.digest IS NOT DISTINCT FROM n.digest THEN 'reused' ELSE 'changed' END AS action,
+CASE WHEN o.path IS NOT NULL AND o.digest IS NOT DISTINCT FROM n.digest THEN 'v' || length(n.path) END AS vector FROM new n LEFT JOIN old o USING (path)""")
 def catalog_diff(spark, d):
+    """The next catalogue: what was derived of a file stays where its digest does."""
+    now = latest(table(spark, d, "docs").select("path", "id", "digest", stamp_ns("stamp").alias("stamp")), "path", ["stamp", "id"], ["digest"])
+    old = _before(spark, d).withColumn("vector", F.concat(F.lit("v"), F.length("path").cast("string")))
+    return snapshot.catalog(old, now, "path", "digest", ["vector"]).select("path", "digest", "action", "vector")
+
+
+@query(f"""WITH {_BEFORE}, a AS (SELECT CASE WHEN n.path IS NULL THEN 'deleted' WHEN o.path IS NULL THEN 'new' WHEN o.digest IS NOT DISTINCT FROM n.digest THEN 'reused' ELSE 'changed' END AS action FROM new n FULL JOIN old o ON o.path = n.path)
+SELECT action, count(*) AS files FROM a GROUP BY action""")
+def catalog_counters(spark, d):
     now = latest(table(spark, d, "docs").select("path", "id", "digest", stamp_ns("stamp").alias("stamp")), "path", ["stamp", "id"], ["digest"])
-    return snapshot.catalog(_before(spark, d), now, "path", "digest", []).select("path", "digest", "action")
+    return snapshot.counters(_before(spark, d), now, "path", "digest")
 
 
 @query(f"""WITH {_EDGES}, {_BEFORE},
@@ -543,10 +621,13 @@ def coverage_by_language(spark, d):
     return coverage.by_language(table(spark, d, "structural_files"))
 
 
-@query("SELECT rule, CAST(expected AS BIGINT) AS expected, CAST(actual AS BIGINT) AS actual FROM (SELECT 'none' AS rule, 0 AS expected, 0 AS actual) WHERE expected <> actual")
+@query("""WITH n AS (SELECT count(DISTINCT path) AS n, count(*) AS rows FROM structural_files)
+SELECT rule, n AS expected, actual FROM n, (SELECT 'languages' AS rule, rows AS actual FROM n UNION ALL SELECT 'kinds', rows FROM n UNION ALL SELECT 'paths', n FROM n) WHERE n <> actual""")
 def coverage_violations(spark, d):
+    """Rows counted by language and by kind against the number of paths: repeated and stale rows make them differ, distinct paths don't."""
     files = table(spark, d, "structural_files")
-    return coverage.violations(files.agg(F.count("*").alias("n")), ("languages", coverage.by_language(files), "files"), ("kinds", coverage.cross_counts(files, "kind", "status"), "count")).select("rule", "expected", "actual")
+    paths = _paths(spark, d).agg(F.count("*").alias("k"))
+    return coverage.violations(files.agg(F.count_distinct("path").alias("n")), ("languages", coverage.by_language(files), "files"), ("kinds", coverage.cross_counts(files, "kind", "status"), "count"), ("paths", paths, "k")).select("rule", "expected", "actual")
 
 
 @query("SELECT kind, status, count(*) AS count FROM structural_files GROUP BY kind, status")
@@ -562,16 +643,7 @@ def index_state(spark, d):
 @query("""WITH s AS (SELECT l_returnflag, list_sort(list(l_extendedprice)) AS xs, count(l_extendedprice) AS n, percentile_disc(0.95) WITHIN GROUP (ORDER BY l_extendedprice) AS b FROM lineitem GROUP BY 1)
 SELECT l_returnflag, xs[CAST(floor(0.95 * (n - 1)) AS INT) + 1] AS p95_floor, b AS p95_ceil FROM s""")
 def percentiles(spark, d):
-    x = "l_extendedprice"
-    # the exact rank without gathering a group: ranks are counted over distinct values, then picked
-    li = table(spark, d, "lineitem").where(F.col(x).isNotNull())
-    per = li.groupBy("l_returnflag", x).agg(F.count("*").alias("n"))
-    w = Window.partitionBy("l_returnflag").orderBy(x)
-    cum = per.withColumn("hi", F.sum("n").over(w)).withColumn("total", F.sum("n").over(Window.partitionBy("l_returnflag")))
-    lo = F.col("hi") - F.col("n")
-    at_floor, at_ceil = F.floor(0.95 * (F.col("total") - 1)), F.ceil(0.95 * F.col("total")) - 1
-    pick = lambda at: F.max(F.when((lo <= at) & (at < F.col("hi")), F.col(x)))
-    return cum.groupBy("l_returnflag").agg(pick(at_floor).alias("p95_floor"), pick(at_ceil).alias("p95_ceil"))
+    return evaluation.ranked_values(table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", p95_floor=evaluation.p95_floor, p95_ceil=evaluation.p95_ceil)
 
 
 @query(f"""WITH {_IMPORTS}, {_CURRENT}, gold AS (SELECT path, module, count(*) AS g FROM imp WHERE path LIKE '%.py' GROUP BY ALL),
@@ -588,24 +660,32 @@ def exact_grade(spark, d):
     return evaluation.grade(gold, actual, ["path", "module"])
 
 
-@query(f"""WITH q AS (SELECT item_id, list_distinct(list_filter(string_split(lower(replace({_WORDS.format(t='text')}, '_', ' ')), ' '), lambda x: x <> '')) AS t FROM eval_items),
-doc AS (SELECT doc_id, list_distinct(list_filter(string_split(lower(replace({_WORDS.format(t='text')}, '_', ' ')), ' '), lambda x: x <> '')) AS t, text FROM documents WHERE text IS NOT NULL),
-pw AS (SELECT item_id, unnest(t) AS w FROM q), dw AS (SELECT doc_id, unnest(t) AS w FROM doc),
+_TERMS = "list_filter(string_split(lower(replace(%s, '_', ' ')), ' '), lambda x: x <> '')"
+_FIVE = "list_distinct(list_transform(range(1, len(t) - 3), lambda i: array_to_string(t[i:i + 4], ' ')))"
+
+
+def _five(column: str):
+    """Runs of five words, each once."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(column) - 4, F.lit(0))), lambda i: F.when(i > 0, F.array_join(F.slice(column, i, F.lit(5)), " "))))
+
+
+@query(f"""WITH qt AS (SELECT item_id, {_TERMS % _WORDS.format(t='text')} AS t FROM eval_items), dt AS (SELECT doc_id, {_TERMS % _WORDS.format(t='text')} AS t FROM documents WHERE text IS NOT NULL),
+pw AS (SELECT item_id, unnest({_FIVE}) AS w FROM qt), dw AS (SELECT doc_id, unnest({_FIVE}) AS w FROM dt),
 s AS (SELECT item_id, doc_id, count(*) AS score FROM pw JOIN dw USING (w) GROUP BY ALL),
 r AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 10),
-j AS (SELECT r.item_id, rank, contains(doc.text, substr(e.text, 1, 40)) AS relevant FROM r JOIN doc USING (doc_id) JOIN eval_items e USING (item_id)),
+j AS (SELECT r.item_id, rank, contains(d.text, substr(e.text, 1, 40)) AS relevant FROM r JOIN documents d USING (doc_id) JOIN eval_items e USING (item_id)),
 f AS (SELECT item_id, min(rank) FILTER (relevant) AS m FROM j GROUP BY 1)
 SELECT count(*) AS queries, round(avg(CASE WHEN m <= 5 THEN 1.0::DOUBLE ELSE 0 END), 6) AS hit_at_5, round(avg(CASE WHEN m <= 10 THEN 1.0::DOUBLE / m ELSE 0 END), 6) AS mrr_at_10 FROM f""")
 def hit_mrr(spark, d):
-    """Ten documents with the most shared words per evaluation item; relevant is a document that holds the item's opening."""
+    """Ten documents with the most shared runs of five words per evaluation item; relevant is a document that holds the item's opening."""
     items = table(spark, d, "eval_items")
     docs = table(spark, d, "documents").where("text is not null")
-    pw = F.broadcast(items.select("item_id", F.explode(F.array_distinct(X.terms("text"))).alias("w")).groupBy("w").agg(F.collect_list("item_id").alias("items")))  # fixed evaluation set
-    dw = docs.select("doc_id", F.explode(F.array_distinct(X.terms("text"))).alias("w"))
-    s = dw.join(pw, "w").select("doc_id", F.explode("items").alias("item_id")).groupBy("item_id", "doc_id").agg(F.count("*").alias("score"))
+    pw = F.broadcast(items.select("item_id", X.terms("text").alias("t")).select("item_id", F.explode(_five("t")).alias("w")).where("w is not null"))  # fixed evaluation set
+    dw = docs.select("doc_id", X.terms("text").alias("t")).select("doc_id", F.explode(_five("t")).alias("w")).where("w is not null")
+    s = dw.join(pw, "w").groupBy("item_id", "doc_id").agg(F.count("*").alias("score"))
     r = s.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id"))).where("rank <= 10")
     heads = F.broadcast(items.select("item_id", F.substring("text", 1, 40).alias("opening")))
-    j = r.join(docs.select("doc_id", "text"), "doc_id").join(heads, "item_id").select(F.col("item_id").alias("query"), "rank", F.col("text").contains(F.col("opening")).alias("relevant"))
+    j = docs.select("doc_id", "text").join(F.broadcast(r), "doc_id").join(heads, "item_id").select(F.col("item_id").alias("query"), "rank", F.col("text").contains(F.col("opening")).alias("relevant"))  # ten rows per item
     return evaluation.retrieval_quality(j)
 
 
@@ -614,11 +694,11 @@ def allocation(spark, d):
     return evaluation.allocation(spark, 7, 12)
 
 
-@query("""SELECT i AS id, round(list_inner_product(v, v) / nullif(list_inner_product(v, v), 0), 6) AS one, CAST(v[1] AS BIGINT) AS first FROM
-(SELECT i, list_transform(range(0, 16), lambda j: ((i * 31 + j * 17) % 101 - 50)::DOUBLE) AS v FROM range(2000) t(i))""")
+@query("""WITH g AS (SELECT i, list_transform(range(0, 16), lambda j: ((i * 31 + j * 17) % 101 - 50)::DOUBLE) AS v FROM range(2000) t(i)), u AS (SELECT i, unnest(range(1, 17)) AS p, v FROM g)
+SELECT i AS id, p - 1 AS place, round(v[p] / sqrt(list_inner_product(v, v)), 6) AS value FROM u WHERE list_inner_product(v, v) > 0""")
 def synthetic_scale(spark, d):
     v = evaluation.synthetic_vectors(spark, 2000, 16)
-    return v.select("id", F.round(V.dot("vector", "vector"), 6).alias("one"), ((F.col("id") * 31) % 101 - 50).cast("bigint").alias("first"))
+    return v.select("id", F.posexplode("vector").alias("place", "value")).select("id", F.col("place").cast("bigint").alias("place"), F.round("value", 6).alias("value"))
 
 
 # Code facts, bytes, streams

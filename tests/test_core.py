@@ -11,6 +11,8 @@ from stratalode.functions import vectors as V
 from stratalode.operators import coverage, evaluation, graph, imports, resolution, retrieval, rollup, snapshot
 from stratalode.operators.current import latest, stamp_ns
 from stratalode.operators.skew import salted_join
+from stratalode.sources import postings
+from stratalode.sources.generations import Store
 
 
 def one(spark, value, kind, f):
@@ -81,9 +83,12 @@ def test_tree(spark, rows):
     paths = rollup.inventory(spark.createDataFrame([(p,) for p in ["r.md", "a/1.py", "a/2.py", "a/b/3.py", "a/b/3.py", None]], "path string"))
     assert rows(rollup.tree_counts(paths)) == [("", 4), ("a", 3), ("a/b", 1)]
     nodes = {r.directory: r for r in rollup.tree_nodes(paths).collect()}
-    assert nodes[""].children == ["a"] and nodes[""].direct == 1 and nodes["a"].sample == ["a/1.py", "a/2.py"] and nodes["a/b"].children == []
+    assert nodes[""].children == 1 and nodes[""].direct == 1 and nodes["a"].sample == ["a/1.py", "a/2.py", "a/b/3.py"] and nodes["a/b"].children == 0
+    assert rows(rollup.child_directories(rollup.tree_counts(paths))) == [("", "a"), ("a", "a/b")]
     many = rollup.inventory(spark.createDataFrame([(f"d/{i:03}",) for i in range(230)], "path string"))
     assert rollup.tree_nodes(many).where("directory = 'd'").first().sample == [f"d/{i:03}" for i in range(8)]
+    deep = rollup.inventory(spark.createDataFrame([(f"z/{k:02}/{i}",) for k in range(9) for i in range(3)] + [("z/zz",)], "path string"))
+    assert rollup.tree_nodes(deep).where("directory = ''").first().sample == ["z/00/0", "z/00/1", "z/00/2", "z/01/0", "z/01/1", "z/01/2", "z/02/0", "z/02/1"]
 
 
 def test_scope_edges(spark, rows):
@@ -137,11 +142,13 @@ def test_go_requirements(spark):
     assert got == [("go.mod", "ex.org/a", "replace", "x/y", "./y"), ("go.mod", "ex.org/a", "require", "x/y", "v1.2.3"), ("go.mod", "ex.org/a", "require", "z/w", "v0.1.0")]
 
 
-def test_bm25_against_python(spark):
+def test_bm25_against_python(spark, tmp_path):
     r = random.Random(3)
     vocab = ["alpha", "beta", "gamma", "delta", "omega"]
     docs = [(i, " ".join(r.choice(vocab) for _ in range(r.randrange(1, 30)))) for i in range(40)] + [(40, None), (41, "")]
-    got = {x.id: x.score for x in retrieval.bm25(spark.createDataFrame(docs, "id bigint, text string"), "Alpha and the omega").collect()}
+    store = Store(spark, f"file://{tmp_path}/k")
+    assert postings.build(spark.createDataFrame(docs, "id bigint, text string"), store) == 1
+    got = {x.id: x.score for x in postings.bm25(store, "Alpha and the omega").collect()}
     texts = {i: t.split() for i, t in docs if t is not None}
     n, avg = len(texts), sum(map(len, texts.values())) / len(texts)
     want = {}
@@ -154,7 +161,9 @@ def test_bm25_against_python(spark):
         if "alpha" in t or "omega" in t:
             want[i] = round(s, 6)
     assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 2e-6 for i in want)
-    assert retrieval.bm25(spark.createDataFrame(docs, "id bigint, text string"), "the of").count() == 0
+    assert postings.bm25(store, "the of").count() == 0 and postings.bm25(store, "unknown").count() == 0
+    plan = postings.bm25(store, "Alpha and the omega")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(term" in plan or "PushedFilters: [IsNotNull(term), In(term" in plan
 
 
 def test_vector_ties_take_the_larger_id(spark):
@@ -301,8 +310,13 @@ def test_coverage(spark):
 def test_quality_measures(spark):
     df = spark.createDataFrame([("q", 1, False), ("q", 3, True), ("r", 7, True), ("s", 1, False)], "query string, rank int, relevant boolean")
     assert tuple(evaluation.retrieval_quality(df).first()) == (3, round(1 / 3, 6), round((1 / 3 + 1 / 7) / 3, 6))
-    x = spark.createDataFrame([(float(i),) for i in range(1, 21)], "x double")
-    assert tuple(x.agg(evaluation.p95_floor("x"), evaluation.p95_ceil("x")).first()) == (19.0, 19.0)
+    r = random.Random(5)
+    for n in (1, 2, 19, 20, 21, 400):
+        values = [r.choice([r.random() * 100, 7.0, -3.5]) for _ in range(n)]
+        x = spark.createDataFrame([("g", v) for v in values] + [("g", None), ("h", 4.0)], "g string, x double")
+        got = {q.g: tuple(q)[1:] for q in evaluation.ranked_values(x, ["g"], "x", a=evaluation.p95_floor, b=evaluation.p95_ceil, c=evaluation.median_low).collect()}
+        values.sort()
+        assert got == {"g": (values[int(0.95 * (n - 1))], values[math.ceil(0.95 * n) - 1], values[(n - 1) // 2]), "h": (4.0, 4.0, 4.0)}
     g, a = spark.createDataFrame([(1,), (2,), (2,), (3,)], "k int"), spark.createDataFrame([(1,), (2,), (4,)], "k int")
     assert {r.verdict: r.rows for r in evaluation.grade(g, a, ["k"]).collect()} == {"matched": 1, "repeated": 1, "missing": 1, "unexpected": 1}
     assert evaluation.same_rows(g, g).count() == 0 and evaluation.same_rows(g, a).count() == 3
