@@ -89,7 +89,7 @@ def byte_windows(df: DataFrame, ident: str, text: str, size: int = WINDOW) -> Da
         return row
 
     src = df.where(F.col(text).isNotNull() & ~F.col(text).contains("PRIVATE KEY-----")).select(F.col(ident).alias("id"), F.col(text).alias("t"))
-    return map_rows(src, make, "id bigint, window int, start_byte bigint, end_byte bigint, start_line int, end_line int, body string, redacted boolean")
+    return map_rows(src, make, f"id {dict(src.dtypes)['id']}, window int, start_byte bigint, end_byte bigint, start_line int, end_line int, body string, redacted boolean")
 
 
 def excerpts(df: DataFrame, ident: str, text: str, most: int) -> DataFrame:
@@ -104,4 +104,4 @@ def excerpts(df: DataFrame, ident: str, text: str, most: int) -> DataFrame:
         return row
 
     src = df.where(F.col(text).isNotNull()).select(F.col(ident).alias("id"), F.col(text).alias("t"))
-    return map_rows(src, make, "id bigint, excerpt string, taken_bytes bigint, truncated boolean")
+    return map_rows(src, make, f"id {dict(src.dtypes)['id']}, excerpt string, taken_bytes bigint, truncated boolean")

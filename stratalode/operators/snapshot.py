@@ -58,3 +58,29 @@ def index_state(docs: DataFrame, vector: str = "vector") -> DataFrame:
     """One row: documents, vectors and whether a vector index is ready, stale or not_indexed."""
     n, v = F.count("*"), F.count(vector)
     return docs.agg(n.alias("documents"), v.alias("vectors"), F.when(v == 0, "not_indexed").when(v == n, "ready").otherwise("stale").alias("state"))
+
+
+def reusable(old: DataFrame, new: DataFrame, key: str, digest: str, analyzer: str) -> DataFrame:
+    """Rows of ``old`` that stay as they are: same digest, and made by the same analyzer and limits; nothing stays when that changed.
+
+    ``old`` has ``analyzer``, what its rows were made by.
+    """
+    same = new.select(key, F.col(digest).alias("_d"))
+    return old.where(F.col("analyzer") == analyzer).join(same, key).where(F.col(digest).eqNullSafe(F.col("_d"))).drop("_d")
+
+
+def open_consumers(sites: DataFrame, dependencies: DataFrame) -> DataFrame:
+    """Dependencies with one more per file that has a site of unknown closure: on the whole inventory, so any new file makes it dirty.
+
+    ``sites``: path, reason; ``dependencies``: path, kind, key, fingerprint, present.
+    """
+    unknown = sites.where(F.col("reason").isin("unbound", "import_missing", "member_of_unknown")).select("path").distinct()
+    whole = unknown.select("path", F.lit("inventory").alias("kind"), F.lit("*").alias("key"), F.lit(None).cast("string").alias("fingerprint"), F.lit(True).alias("present"))
+    return dependencies.unionByName(whole)
+
+
+def moved_since(read: DataFrame, now: DataFrame, key: str, digest: str) -> DataFrame:
+    """``key, cause`` of sources that are no longer what a build read: changed or gone.  Before publishing, this must be empty."""
+    j = read.select(key, F.col(digest).alias("_a")).join(now.select(key, F.col(digest).alias("_b"), F.lit(True).alias("_there")), key, "left")
+    cause = F.when(F.col("_there").isNull(), "gone").when(~F.col("_a").eqNullSafe(F.col("_b")), "changed")
+    return j.select(key, cause.alias("cause")).where("cause is not null")

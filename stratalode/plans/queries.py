@@ -549,6 +549,12 @@ def _now(spark, d) -> DataFrame:
     return latest(table(spark, d, "docs").select("path", "id", "content_digest", stamp_ns("stamp").alias("stamp")), "path", ["stamp", "id"], ["content_digest"])
 
 
+def _now_digest(spark, d) -> DataFrame:
+    """``path, digest`` of the current rows."""
+    docs = table(spark, d, "docs").select("path", "id", "digest", stamp_ns("stamp").alias("stamp"))
+    return latest(docs, "path", ["stamp", "id"], ["digest"])
+
+
 def _before(spark, d) -> DataFrame:
     """What all ready runs but the last knew of each path."""
     ready = table(spark, d, "catalog_runs").where("state = 'ready'").select("run_no").distinct()

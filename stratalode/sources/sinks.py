@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import html
+import json
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import csv_guard, mermaid_label
+from .pointers import Folder
 
 MOST_NODES, MOST_ELEMENTS = 24, 40
 
@@ -39,3 +43,44 @@ def system_overview(groups: DataFrame, edges: DataFrame) -> DataFrame:
     g = groups.agg(F.count("*").alias("groups"), F.coalesce(F.sum("files"), F.lit(0)).alias("files"))
     e = edges.agg(F.count("*").alias("relations"), F.coalesce(F.sum("count"), F.lit(0)).alias("imports"))
     return g.crossJoin(e).withColumn("omitted", F.greatest(F.col("relations") - 40, F.lit(0)))  # one row each
+
+
+PAGE = """<!doctype html><html><head><meta charset="utf-8"><title>%s</title></head><body><script type="application/json" id="data">%s</script></body></html>"""
+
+
+def escaped(payload) -> str:
+    """JSON that a page can hold: ``<``, ``>`` and ``&`` are written as escapes."""
+    text = json.dumps(payload, ensure_ascii=False, separators=(",", ":"))
+    return text.replace("&", "\\u0026").replace("<", "\\u003c").replace(">", "\\u003e")
+
+
+def page(spark: SparkSession, at: str, title: str, payload) -> None:
+    """One HTML page with a bounded payload, put in place as a whole."""
+    folder, _, name = at.rpartition("/")
+    Folder(spark, folder).replace(name, PAGE % (html.escape(title), escaped(payload)))
+
+
+def scan_cache(imports: DataFrame, folder: str) -> None:
+    """``path, digest, imports`` of scanned files, for the next scan."""
+    imports.select("path", "digest", "imports").write.mode("overwrite").parquet(folder)
+
+
+def cached_scan(spark: SparkSession, folder: str, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What a cache knows of files as they are (``path, digest``), and the files it doesn't know so."""
+    if not Folder(spark, folder).exists(""):
+        return files.select("path", "digest").withColumn("imports", F.lit(None).cast("array<string>")).limit(0), files
+    known = spark.read.parquet(folder).dropDuplicates(["path", "digest"])
+    return files.select("path", "digest").join(known, ["path", "digest"]), files.join(known.select("path", "digest"), ["path", "digest"], "left_anti")
+
+
+def collection_receipt(facts: DataFrame) -> DataFrame:
+    """``path, facts, errors``: one line per collected file."""
+    return facts.groupBy("path").agg(F.count("*").alias("facts"), F.count(F.when(F.col("fact") == "error", 1)).alias("errors"))
+
+
+def requests(lines: DataFrame, schema: str, most: int = 8192) -> DataFrame:
+    """Requests of JSON lines (``value``) with ``fault``: too long, no JSON object of these fields, or null."""
+    v = F.from_json("value", schema, {"mode": "PERMISSIVE"})
+    long = F.octet_length(F.col("value").cast("binary")) > most
+    fault = F.when(long, "too_long").when(F.col("value").isNull() | F.get_json_object("value", "$").isNull() | ~F.trim("value").startswith("{"), "not_an_object")
+    return lines.withColumn("_v", F.when(fault.isNull(), v)).withColumn("fault", fault).select("value", "_v.*", "fault")

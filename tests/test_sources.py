@@ -1,10 +1,13 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from stratalode.functions import bytes as B
-from stratalode.operators import contracts, facts
+from stratalode.operators import answers, contracts, coverage, evidence, facts
+from stratalode.operators.answers import Budget
 from stratalode.plans.facade import Index
-from stratalode.sources import generations, inventory, xmlconfig
+from stratalode.sources import generations, inventory, sinks, xmlconfig
 from stratalode.sources.shared import cut, shared_folder
 from stratalode.streaming import refresh
 
@@ -175,21 +178,98 @@ def test_facade(spark, tmp_path):
             ix.search(**bad)
 
 
-B_SCHEMA = "id string, service_id string, role string, contract_id string, protocol string, namespace string, operation string, schema string, route string, topic string, affinity boolean"
-C_SCHEMA = "id string, service_id string, protocol string, namespace string, operation string, schema string, artifact_ok boolean, affinity boolean"
+IDENTITY = ", ".join(f"{f} string" for f in contracts.FIELDS)
+B_SCHEMA = f"id string, service_id string, role string, contract_id string, {IDENTITY}, endpoint_reason string, claimed_generated boolean, expected_sha256 string"
+C_SCHEMA = f"id string, {IDENTITY}, artifact_sha256 string, contract_reason string"
+HTTP = dict(protocol="http", contract_service_id="api", namespace="n", method="GET", path="/x", operation="op", operation_ref="o", request_schema="s", response_schema="r")
+RPC = dict(protocol="rpc", contract_service_id="api", namespace="n", rpc_service="S", operation="Get", request_schema="s", response_schema="r")
+QUEUE = dict(protocol="queue", contract_service_id="bus", namespace="n", topic="t", schema="s")
+
+
+def frame(spark, rows, schema):
+    names = [c.split(" ")[0] for c in schema.split(", ")]
+    return spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], schema)
 
 
 def test_contract_cascade(spark):
-    c = [("h", "api", "http", "n", "op", "s", True, True), ("r", "api", "rpc", "n", "Get", "s", True, True), ("q", "bus", "queue", "n", None, "s", True, True), ("st", "api", "http", "n", "op", "s", False, True), ("dup", "api", "http", "n", "op", "s", True, True)]
-    b = [("srv", "api", "server", "h", "http", "n", "op", "s", "/x", None, True), ("con", "any", "consumer", "q", "queue", "n", None, "s", None, "t", True), ("d1", "api", "server", "dup", "http", "n", "op", "s", "/x", None, True), ("d2", "api", "server", "dup", "http", "n", "op", "s", "/x", None, True)]
-    base = ("web", "client", "h", "http", "n", "op", "s", "/x", None, True)
-    make = lambda i, **k: (i, *[k.get(n, v) for n, v in zip(["service", "role", "contract", "protocol", "namespace", "operation", "schema", "route", "topic", "affinity"], base)])
-    cases = {"ok": {}, "origin_affinity": {"affinity": False}, "computed_service": {"service": None}, "missing_service": {"service": ""}, "computed_route": {"route": None}, "missing_route": {"route": ""}, "missing_contract": {"contract": "zz"}, "stale_artifact": {"contract": "st"}, "schema_mismatch": {"schema": "t"}, "identity_mismatch": {"operation": "zz"}, "endpoint_duplicate": {"contract": "dup"}, "operation_missing": {"protocol": "rpc", "contract": "r", "operation": "None"}, "endpoint_missing": {"protocol": "rpc", "contract": "r", "operation": "Get"}, "queue_ok": {"role": "producer", "protocol": "queue", "contract": "q", "operation": None, "topic": "t"}, "computed_topic": {"role": "producer", "protocol": "queue", "contract": "q", "operation": None, "topic": None}, "namespace_mismatch": {"role": "producer", "protocol": "queue", "contract": "q", "operation": None, "topic": "t", "namespace": "o"}}
-    df = spark.createDataFrame(b + [make(i, **k) for i, k in cases.items()], B_SCHEMA)
-    got = {r.binding_id: r for r in contracts.matches(df, spark.createDataFrame(c, C_SCHEMA)).collect()}
+    c = [dict(HTTP, id="h", artifact_sha256="a"), dict(RPC, id="r", artifact_sha256="a"), dict(QUEUE, id="q", artifact_sha256="a"), dict(HTTP, id="gone"), dict(HTTP, id="dup", artifact_sha256="a"), dict(HTTP, id="old", artifact_sha256="a", contract_reason="stale_artifact_digest"), dict(HTTP, id="bad", artifact_sha256="a")]
+    b = [dict(HTTP, id="srv", service_id="api", role="server", contract_id="h"), dict(QUEUE, id="con", service_id="any", role="consumer", contract_id="q"), *[dict(HTTP, id=f"d{k}", service_id="api", role="server", contract_id="dup") for k in (1, 2)], dict(HTTP, id="foreign", service_id="other", role="server", contract_id="h"), dict(HTTP, id="sb", service_id="api", role="server", contract_id="bad", endpoint_reason="missing_binding_source")]
+    web, sender = dict(HTTP, role="client", contract_id="h", service_id="web"), dict(QUEUE, role="producer", contract_id="q", service_id="web")
+    caller = dict(RPC, role="client", contract_id="r", service_id="web")
+    cases = {
+        "ok": web, "origin_source_affinity_unqualified": dict(web, endpoint_reason="x"), "computed_service": dict(web, contract_service_id=None), "missing_service": dict(web, contract_service_id=""), "computed_route": dict(web, path=None), "missing_route": dict(web, path=""),
+        "missing_contract": dict(web, contract_id="zz"), "missing_artifact_source": dict(web, contract_id="gone"), "unqualified_generated_claim": dict(web, claimed_generated=True), "stale_artifact": dict(web, expected_sha256="b"), "schema_mismatch": dict(web, request_schema="t"), "binding_contract_identity_mismatch": dict(web, method="PUT"),
+        "stale_artifact_digest": dict(web, contract_id="old"), "duplicate_endpoint_bindings": dict(web, contract_id="dup"), "missing_operation": dict(caller, operation="None"), "rpc_service_and_operation_not_matched": dict(caller, operation="op"), "missing_server_binding": caller, "missing_binding_source": dict(web, contract_id="bad"),
+        "queue_ok": sender, "computed_topic": dict(sender, topic=None), "namespace_mismatch": dict(sender, namespace="o"),
+    }
+    df = frame(spark, b + [dict(v, id=k) for k, v in cases.items()], B_SCHEMA)
+    got = {r.binding_id: r for r in contracts.matches(df, frame(spark, c, C_SCHEMA)).collect()}
     assert got.keys() == cases.keys()
     assert {i: r.reason for i, r in got.items() if i not in ("ok", "queue_ok")} == {i: i for i in cases if i not in ("ok", "queue_ok")}
     assert got["ok"].target_binding_id == "srv" and got["queue_ok"].target_binding_id == "con"
+    assert {r for r in got if got[r].reason} <= {*contracts.REASONS, "missing_binding_source"}
+    assert contracts.matches(df.limit(0), frame(spark, c, C_SCHEMA)).count() == 0 and contracts.matches(df, frame(spark, [], C_SCHEMA)).where("certainty = 'resolved'").count() == 0
+    wrong = [dict(HTTP, id="a"), dict(HTTP, id="b", topic="t"), dict(QUEUE, id="c", topic=""), dict(RPC, id="d", operation="x" * 2000), dict(HTTP, id="e", protocol="mail")]
+    assert {r.id: r.reason for r in contracts.invalid(frame(spark, wrong, C_SCHEMA)).collect()} == {"b": "foreign_field", "c": "incomplete_identity", "d": "field_too_long", "e": "unknown_protocol"}
+
+
+def test_function_evidence(spark, tmp_path):
+    body = "def alpha(x):\n    return 'AKIA" + "Q" * 16 + "' + beta(x)  # gamma ray\n"
+    s = [("m.py:0:1", "m.py", "alpha", "function", True, 0, 1, body), ("m.py:9:1", "m.py", "Box.beta", "method", True, 900, 40, "def beta(self):\n    return 'gamma'\n" * 3), ("m.py:5:5", "m.py", "C", "class", False, 300, 20, "class C: pass"), ("k.py:0:1", "k.py", "key", "function", True, 0, 1, "def key():\n    # -----BEGIN PRIVATE KEY-----"), ("m.py:7:7", "m.py", "nul", "function", True, 0, 1, None)]
+    symbols = spark.createDataFrame(s, "id string, path string, name string, kind string, callable boolean, start_byte bigint, start_line int, text string")
+    files = spark.createDataFrame([("m.py", "python", "parsed", "S", 5000), ("k.py", "python", "partial_parse", "K", 400)], "path string, language string, status string, sha256 string, bytes bigint")
+    chunks = evidence.function_chunks(symbols, files, 40).persist()
+    rows = chunks.orderBy("path", "start_byte").collect()
+    assert {r.name for r in rows} == {"alpha", "Box.beta"} and "AKIA" not in "".join(r.body for r in rows) and any(r.redacted for r in rows)
+    alpha = [r for r in rows if r.name == "alpha"]
+    assert [(r.start_byte, r.end_byte) for r in alpha] == [(k, min(k + 40, len(body))) for k in range(0, len(body), 40)] and alpha[0].start_line == 1 and len({r.chunk_key for r in rows}) == len(rows)
+    c = evidence.projection_counters(symbols, files, chunks).first()
+    assert (c.symbols, c.partial_symbols, c.excluded_private_keys, c.excluded_kinds, c.chunks) == (4, 1, 1, 1, len(rows))
+    assert evidence.broken_chunks(chunks, files).count() == 0
+    bad = chunks.withColumn("body", F.when(F.col("name") == "alpha", F.lit("x")).otherwise(F.col("body")))
+    assert {r.reason for r in evidence.broken_chunks(bad, files).collect()} == {"body_differs"}
+    assert {r.reason for r in evidence.broken_chunks(chunks, files.withColumn("sha256", F.lit("T"))).collect()} == {"stale_source"}
+    store = generations.Store(spark, f"file://{tmp_path}/e")
+    evidence.index(chunks, store)
+    hits = evidence.function_search(store, "alpha").collect()
+    assert hits[0].start_byte == 0 and hits[0].members == ["m.py:0:1"] and [r.score for r in hits] == sorted((r.score for r in hits), reverse=True)
+    gamma = evidence.function_search(store, "gamma").collect()
+    assert {m for r in gamma for m in r.members} == {"m.py:0:1", "m.py:9:1"}
+    cut = evidence.function_search(store, "gamma", budget=Budget(work=None, edges=None, excerpt_bytes=60)).collect()
+    assert cut[-1].stop == "excerpt_budget_exceeded" and evidence.function_search(store, "unknown words").count() == 0
+    handle = {"id": "m.py:0:1", "path": "m.py", "start_byte": 0, "end_byte": 99, "sha256": "S"}
+    known = symbols.withColumn("end_byte", F.lit(99).cast("bigint"))
+    assert "[redacted]" in evidence.excerpt_at(known, files, handle).first().text and evidence.excerpt_at(known, files, handle | {"sha256": "T"}).count() == 0
+    with pytest.raises(ValueError):
+        evidence.excerpt_at(known, files, {"id": "x"})
+
+
+def test_bounded_answers(spark):
+    rows = spark.createDataFrame([(i, f"e{i // 3}", "x" * 10) for i in range(20)], "k int, e string, t string")
+    stop = lambda **b: answers.bounded(rows, ["k"], Budget(**({"work": None, "edges": None, "entities": None, "response_bytes": None} | b)), ["e"], "t").collect()
+    assert len(stop()) == 20 and stop()[-1].stop is None
+    assert [r.stop for r in stop(edges=4)] == [None] * 4 + ["edge_budget_exceeded"]
+    assert [r.stop for r in stop(entities=2)] == [None] * 6 + ["entity_budget_exceeded"] and len(stop(excerpt_bytes=35)) == 4
+    assert stop(work=5)[-1].stop == "work_budget_exceeded" and stop(response_bytes=70)[-1].stop == "response_byte_budget_exceeded"
+    for bad in (0, -1, True, 1.5):
+        with pytest.raises(ValueError):
+            Budget(edges=bad)
+    assert answers.bounded(rows.limit(0), ["k"], Budget()).count() == 0
+    one, two = rows.where("k < 3").select("k", "e"), rows.where("k between 2 and 5").select("k", "e")
+    assert answers.merged_scene(one, two, "k", ["k"], 4).count() == 4
+    with pytest.raises(ValueError):
+        answers.merged_scene(one, two.withColumn("e", F.lit("other")), "k", ["k"])
+    assert coverage.receipt_faults({"a": 3, "b": 1, "c": 2}, {"a": int, "b": int, "c": int}, {"a": ["b", "c"]}) == []
+    assert coverage.receipt_faults({"a": 4, "b": 1, "c": 2}, {"a": int, "b": int, "c": int}, {"a": ["b", "c"]}) == ["total:a"]
+    assert coverage.receipt_faults({"a": "x", "d": 1, "c": -1}, {"a": int, "b": int, "c": int}) == ["missing:b", "negative:c", "type:a", "unknown:d"]
+
+
+def test_page_holds_no_markup(spark, tmp_path):
+    sinks.page(spark, f"file://{tmp_path}/map.html", "a <b>", {"x": "</script><b>&"})
+    text = (tmp_path / "map.html").read_text()
+    assert "</script><b>" not in text and "a &lt;b&gt;" in text and json.loads(text.split('id="data">')[1].split("</script>")[0]) == {"x": "</script><b>&"}
+    sinks.page(spark, f"file://{tmp_path}/map.html", "again", [])
+    assert "again" in (tmp_path / "map.html").read_text()
 
 
 def test_stream_counts_each_record_once(spark, tmp_path):
