@@ -71,7 +71,7 @@ class Index:
             keys = ["path", "start_byte", "end_byte", "id"]
             df = df.select(*keys, "name", "kind")
         else:
-            rel = self.store.read("sites", g).where(F.col("path").startswith(scope)).select("path", "site_id", F.coalesce("caller", F.lit("")).alias("caller_id"), F.coalesce("target_id", F.lit("")).alias("target_id"), "certainty", F.coalesce("reason", F.lit("")).alias("reason"))
+            rel = self.store.read("sites", g).where((F.col("role") == "call") & F.col("path").startswith(scope)).select("path", "site_id", F.coalesce("caller", F.lit("")).alias("caller_id"), F.coalesce("target_id", F.lit("")).alias("target_id"), "certainty", F.coalesce("reason", F.lit("")).alias("reason"))
             ident = self.store.read("symbols", g).where("callable").select("path", F.substring_index("name", ".", -1).alias("caller_id"), F.col("id").alias("_id"))
             rel = rel.join(ident.groupBy("path", "caller_id").agg(F.min("_id").alias("_id")), ["path", "caller_id"], "left").withColumn("caller_id", F.coalesce("_id", F.lit(""))).drop("_id")
             keys = ["path", "site_id", "target_id"]
@@ -93,7 +93,7 @@ class Index:
 
     def impact(self, area: str, depth: int = 2) -> DataFrame:
         """``node, level`` of everything that reaches a symbol of the selected files."""
-        rel = self.store.read("sites")
+        rel = self.store.read("sites").where("role = 'call'")
         syms = self.store.read("symbols")
         ident = syms.where("callable").groupBy("path", F.substring_index("name", ".", -1).alias("caller")).agg(F.min("id").alias("caller_id"))
         edges = rel.join(ident, ["path", "caller"]).where("target_id is not null").select("caller_id", "target_id").distinct()

@@ -728,7 +728,7 @@ def fact_symbols(spark, d):
 @query()
 def fact_sites(spark, d):
     r = facts.resolve(facts.collect(_current_files(spark, d)))
-    return r.groupBy(P.extension("path").alias("extension"), "certainty", "reason").agg(F.count("*").alias("n"))
+    return r.groupBy(P.extension("path").alias("extension"), "role", "certainty", "reason").agg(F.count("*").alias("n"))
 
 
 @query()

@@ -141,7 +141,8 @@ def test_facts_and_resolution(spark):
     f = facts.collect(spark.createDataFrame(FILES, "path string, body string"))
     names = {(r.path, r.name, r.kind) for r in facts.symbols(f).collect()}
     assert {("main.py", "leaf", "function"), ("main.py", "outer.inner", "function"), ("main.py", "A", "class"), ("main.py", "A.leaf", "method"), ("s/a.go", "T.Do", "method"), ("s/a.go", "Help", "function"), ("w/a.ts", "K.run", "method"), ("w/a.ts", "stop", "function_value")} <= names
-    got = {(r.path, r.name): (r.certainty, r.target_id and r.target_id.split("#")[0] + "#" + r.target_id.split("#")[1].split("@")[0], r.reason) for r in facts.resolve(f).collect()}
+    calls = facts.resolve(f).where("role = 'call'")
+    got = {(r.path, r.name): (r.certainty, r.target_id and r.target_id.split("#")[0] + "#" + r.target_id.split("#")[1].split("@")[0], r.reason) for r in calls.collect()}
     assert got[("main.py", "leaf")] == ("resolved", "main.py#leaf", None) and got[("main.py", "inner")] == ("resolved", "main.py#outer.inner", None)
     assert got[("main.py", "t")] == ("candidate", "pkg/util.py#tool", None) and got[("main.py", "helper.run")] == ("candidate", "helper.py#run", None)
     assert got[("main.py", "cb")] == ("unresolved", None, "not_callable") and got[("main.py", None)][2] == "computed"
@@ -153,6 +154,31 @@ def test_facts_and_resolution(spark):
     assert facts.resolve(facts.collect(spark.createDataFrame([], "path string, body string"))).count() == 0
 
 
+MORE = [
+    ("p/a.py", "import os\nfrom p.b import make as build\nfrom p import b\n\ndef top(x):\n    late()\n    def late():\n        return 1\n    again = build\n    once = again\n    once(1)\n    loop1 = loop2\n    loop2 = loop1\n    loop1()\n    b.make(2)\n    keep = [top, build]\n    return os.getcwd\n\nif x:\n    from p.b import other\nother()\n\n@build\nclass C(b.Base, metaclass=M):\n    pass\n"),
+    ("p/b.py", "def make(v):\n    return v\n\ndef _own():\n    return make\n\nclass Base:\n    pass\n\nhelper, (second, *rest) = 1, (2, 3)\n"),
+    ("g/one/a.go", 'package one\n\nimport (\n\t"g/two"\n\tt "g/two" // again\n\t"fmt"\n)\n\nfunc Run() {\n\ttwo.Make()\n\tt.Lost()\n\tfmt.Println()\n\tshared()\n}\n'), ("g/one/b.go", "package one\n\nfunc shared() int { return 1 }\n"), ("g/two/c.go", "package two\n\nfunc Make() {}\n"),
+    ("w/x.ts", "import dflt, { one as uno } from './lib/y';\nimport * as all from './lib/y';\nconst { two } = require('./lib/y');\n// import { no } from './no';\nconst same = uno;\nexport function go() {\n  dflt();\n  uno();\n  all.two();\n  two();\n  same();\n  missing();\n}\n"), ("w/lib/y.ts", "export function one() {}\nexport function two() {}\nexport default function main() {}\nfunction hidden() {}\n"),
+]
+
+
+def test_names_across_files(spark):
+    f = facts.collect(spark.createDataFrame(MORE, "path string, body string"))
+    short = lambda t: t and t.split("#")[0].rsplit("/", 1)[-1] + "#" + t.split("#")[1].split("@")[0]
+    rows = facts.resolve(f).collect()
+    got = {(r.path.rsplit("/", 1)[-1], r.name): (short(r.target_id) or r.reason, r.certainty) for r in rows if r.role == "call"}
+    assert got[("a.py", "late")] == ("use_before_declaration", "unresolved") and got[("a.py", "once")] == ("b.py#make", "candidate") and got[("a.py", "b.make")] == ("b.py#make", "candidate")
+    assert got[("a.py", "loop1")][0] in ("alias_cycle", "use_before_declaration") and got[("a.py", "other")] == ("not_callable", "unresolved")
+    assert got[("a.go", "two.Make")] == ("c.go#Make", "candidate") and got[("a.go", "t.Lost")][0] == "member_missing" and got[("a.go", "fmt.Println")][0] == "import_missing" and got[("a.go", "shared")] == ("b.go#shared", "candidate")
+    assert {n: got[("x.ts", n)][0] for n in ("dflt", "uno", "all.two", "two", "same", "missing")} == {"dflt": "y.ts#main", "uno": "y.ts#one", "all.two": "y.ts#two", "two": "y.ts#two", "same": "y.ts#one", "missing": "unbound"}
+    refs = {(r.path.rsplit("/", 1)[-1], r.name): short(r.target_id) or r.reason for r in rows if r.role == "reference"}
+    assert refs[("a.py", "top")] == "a.py#top" and refs[("b.py", "make")] == "b.py#make" and refs[("a.py", "os.getcwd")] == "import_missing"
+    assert {(r.kind, r.value) for r in f.where("fact = 'syntax'").collect()} == {("decorator", "build"), ("base", "b.Base")}
+    assert {r.name for r in f.where("path = 'p/b.py' and fact = 'binding' and kind = 'unknown' and value = 'assignment'").collect()} == {"helper", "second", "rest"}
+    e = {r.path: r.exports for r in facts.exports(f).collect()}
+    assert e["p/b.py"] == 2 and e["g/two/c.go"] == 1 and e["w/lib/y.ts"] == 3 and "g/one/b.go" not in e
+
+
 def test_facade(spark, tmp_path):
     ix = Index(spark, f"file://{tmp_path}/ix")
     assert ix.status()["state"] == "not_indexed"
