@@ -23,7 +23,7 @@ candidates per query afterwards would move many times as much.
 
 Defined results: null, zero, non-finite or empty vectors take no part; vectors of
 different lengths are not compared, each length is a collection of its own; ties
-are broken by the smaller id; a row is not its own neighbour, its copies are.
+(to ``PLACES`` decimals) are broken by the smaller id; a row is not its own neighbour, its copies are.
 """
 
 from __future__ import annotations
@@ -55,6 +55,8 @@ ASKED, RECALL, RECALL_NEAR = 512, 0.96, 0.999
 LEAST_PROBES, RERANK = 2, 64
 #: More than products of unit vectors in float32 and the rounding of scores are off by.
 SLACK = 1e-5
+#: Decimals of a cosine that float32 vectors carry; scores that agree in them are equal.
+PLACES = 7
 #: Targets, and queries, of one cell that one task scans; a larger cell is split on both sides.
 BLOCK, ASK_BLOCK = 8192, 32_768
 SUBSPACES, CODES, THRESHOLD = 32, 16, 0.2
@@ -447,7 +449,7 @@ def class_neighbors(classes: DataFrame, index: Index, probes: int, rerank: int =
             for r in range(len(at)):
                 got, rank, last = [], 0, None
                 for j in range(starts[r], ends[r]):
-                    v = round(float(score[r, cols[j]]), 9)
+                    v = round(float(score[r, cols[j]]), PLACES)
                     if rank > k and v != last:
                         break
                     members = ids[at[r, cols[j]]]
@@ -557,7 +559,7 @@ def _scan_all(units: DataFrame, asked: DataFrame, k: int, rerank: int) -> DataFr
                     for a in range(0, len(q), 1024):
                         at, score = best_of(ix, q[a : a + 1024], t, codes, rerank, k + 1, best[a : a + 1024, -1])
                         other = mine[at]
-                        score = np.where(other == ids[a : a + 1024, None], -9.0, np.round(score, 9))
+                        score = np.where(other == ids[a : a + 1024, None], -9.0, np.round(score, PLACES))
                         both, names = np.concatenate([best[a : a + 1024], score], 1), np.concatenate([who[a : a + 1024], other], 1)
                         order = np.lexsort((names, -both), axis=1)[:, :k]
                         best[a : a + 1024] = np.take_along_axis(both, order, 1)

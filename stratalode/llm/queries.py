@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
@@ -52,6 +52,20 @@ def p6_pieces(spark, d):
     return split.split_oversized(table(spark, d, "docs"))
 
 
+def p6_reassembled(spark, d):
+    """Pieces put together again: the body's digest, and whether every piece keeps the limit and begins with the end of the one before."""
+    docs = table(spark, d, "docs")
+    p = split.split_oversized(docs)
+    raw = F.col("piece").cast("binary")
+    w = Window.partitionBy("id").orderBy("piece_no")  # the pieces of one body
+    p = p.select("id", "piece_no", raw.alias("raw"), F.octet_length(raw).alias("n"), "start_byte", "end_byte").withColumn("shared", F.coalesce(F.lag("end_byte").over(w) - F.col("start_byte"), F.lit(0)))
+    fresh = F.expr("substring(raw, cast(shared as int) + 1, n)")
+    p = p.withColumn("ok", (F.col("n") <= 8192) & (F.col("n") == F.col("end_byte") - F.col("start_byte")) & (F.col("piece_no") == 0) | (F.col("n") <= 8192) & F.col("shared").between(253, 256))
+    whole = F.array_sort(F.collect_list(F.struct("piece_no", fresh.alias("part"))))
+    out = p.groupBy("id").agg(whole.alias("parts"), F.min("ok").alias("kept"))
+    return out.select("id", F.sha2(F.aggregate("parts", F.lit("").cast("binary"), lambda a, x: F.concat(a, x["part"])), 256).alias("digest"), "kept")
+
+
 def p7_found(spark, d):
     return neighbors.similar_pairs(table(spark, d, "docs"))
 
@@ -64,7 +78,7 @@ def p7_neighbors(spark, d):
 def p7_search(spark, d):
     """Every row whose id is divisible by 50, against all rows."""
     docs = table(spark, d, "docs")
-    return neighbors.search(docs, docs.where("id % 50 = 0"))
+    return neighbors.search(docs, docs.where("id % 50 = 0")).select("id", "rank", "neighbor")
 
 
 def p8_found(spark, d):
@@ -94,7 +108,7 @@ def p10_anonymised(spark, d):
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_reasons, p3_found, p3_scores, p4_found, p4_redacted, p6_found, p6_pieces, p7_found, p7_neighbors, p7_search, p8_found, p8_passages, p9_mix, p9_shares, p10_found, p10_anonymised)
+    f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_reasons, p3_found, p3_scores, p4_found, p4_redacted, p6_found, p6_pieces, p6_reassembled, p7_found, p7_neighbors, p7_search, p8_found, p8_passages, p9_mix, p9_shares, p10_found, p10_anonymised)
 }
 
 _COUNTS = """
@@ -103,7 +117,18 @@ counts AS (SELECT id, term, count(*) AS tf FROM words WHERE term <> '' GROUP BY
 stats AS (SELECT term, sum(tf)::BIGINT AS cf, count(*) AS df FROM counts GROUP BY term)
 """
 
+# brute force over all pairs of rows with a vector
+_PAIRS = """
+v AS (SELECT id, vector::DOUBLE[] AS v, sqrt(list_inner_product(vector::DOUBLE[], vector::DOUBLE[])) AS n FROM docs WHERE vector IS NOT NULL),
+s AS (SELECT a.id, b.id AS neighbor, round(list_inner_product(a.v, b.v) / (a.n * b.n), 7) AS cosine FROM v a JOIN v b ON a.id <> b.id WHERE a.n > 0 AND b.n > 0 {where}),
+r AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY cosine DESC, neighbor) AS rank, neighbor, cosine FROM s QUALIFY rank <= 5)
+"""
+
 SQL: dict[str, str] = {
+    "p6_reassembled": "SELECT id, sha256(body) AS digest, true AS kept FROM docs WHERE octet_length(encode(body)) > 8192",
+    "p7_found": f"WITH {_PAIRS.format(where='')} SELECT DISTINCT least(id, neighbor) AS id_a, greatest(id, neighbor) AS id_b FROM r WHERE cosine >= 0.9",
+    "p7_neighbors": f"WITH {_PAIRS.format(where='')} SELECT id, rank, neighbor FROM r",
+    "p7_search": f"WITH {_PAIRS.format(where='AND a.id % 50 = 0')} SELECT id, rank, neighbor FROM r",
     "p3_found": f"WITH {_COUNTS} SELECT id, term FROM counts JOIN stats USING (term) WHERE tf >= 5 AND df <= 3",
     "p3_scores": f"""WITH {_COUNTS},
 rows AS (SELECT id, sum(tf)::DOUBLE AS n FROM counts GROUP BY id),

@@ -6,7 +6,7 @@ from stratalode.llm import mixing, neighbors
 
 def brute(v, ids, k=5, least=-2.0):
     u = v / np.linalg.norm(v, axis=1)[:, None]
-    s = np.round(u @ u.T, 9)
+    s = np.round(u @ u.T, neighbors.PLACES)
     out = {}
     for i in range(len(v)):
         c = sorted((-s[i, j], ids[j]) for j in range(len(v)) if j != i and s[i, j] >= least)
