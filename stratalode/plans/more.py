@@ -11,11 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import bytes as B
 from ..functions import ids
 from ..functions import names as N
 from ..functions import paths as P
 from ..functions import text as X
-from ..operators import answers, contracts, coverage, evaluation, golang, graph, imports, resolution, rollup, snapshot
+from ..operators import answers, contracts, coverage, evaluation, evidence, facts, golang, graph, imports, resolution, rollup, snapshot
 from ..operators import impact as impacts
 from ..sources import generations, sinks, xmlconfig
 from ..sources.pointers import fresh
@@ -578,3 +579,51 @@ def scan_reuse(spark, d):
     sinks.scan_cache(now.select("path", F.when(F.length("path") % 4 == 0, "old").otherwise(F.col("digest")).alias("digest"), F.array("path").alias("imports")), at)
     known, rest = sinks.cached_scan(spark, at, now)
     return known.select("path", F.lit("known").alias("how")).union(rest.select("path", F.lit("scan")))
+
+
+# Evidence and bytes
+
+
+def _captured(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Every readable body as one definition of its file."""
+    docs = table(spark, d, "docs").where("path is not null and body is not null")
+    at = F.concat_ws("#", "path", F.col("id").cast("string"))
+    kind = F.when(F.col("id") % 9 == 0, "class").otherwise("function")
+    s = docs.select(F.col("id").cast("string").alias("id"), at.alias("path"), P.basename("path").alias("name"), kind.alias("kind"), F.lit(True).alias("callable"), F.lit(0).cast("bigint").alias("start_byte"), F.lit(1).alias("start_line"), F.col("body").alias("text"))
+    f = docs.select(at.alias("path"), P.extension("path").alias("language"), F.when(F.col("id") % 5 == 0, "partial_parse").otherwise("parsed").alias("status"), F.col("digest").alias("sha256"), F.octet_length(F.col("body").cast("binary")).cast("bigint").alias("bytes"))
+    return s, f
+
+
+@query("""WITH s AS (SELECT *, contains(body, 'PRIVATE KEY-----') AS key, octet_length(encode(body)) AS n FROM docs WHERE path IS NOT NULL AND body IS NOT NULL)
+SELECT count(*) FILTER (id % 9 <> 0) AS symbols, count(*) FILTER (id % 9 <> 0 AND id % 5 = 0) AS partial_symbols, count(*) FILTER (id % 9 <> 0 AND key) AS excluded_private_keys, count(*) FILTER (id % 9 = 0) AS excluded_kinds,
+CAST(coalesce(sum(n) FILTER (id % 9 <> 0 AND NOT key), 0) AS BIGINT) AS body_bytes FROM s""")
+def evidence_counters(spark, d):
+    s, f = _captured(spark, d)
+    return evidence.projection_counters(s, f, evidence.function_chunks(s, f)).drop("chunks", "redacted_chunks")
+
+
+@query("""SELECT id, octet_length(encode(body)) AS bytes, len(string_split(body, chr(10))) - CASE WHEN ends_with(body, chr(10)) THEN 1 ELSE 0 END AS last_line FROM docs WHERE body IS NOT NULL AND body <> '' AND NOT contains(body, 'PRIVATE KEY-----')""")
+def window_totals(spark, d):
+    """Byte windows put end to end: the bytes and lines of the whole body, without a gap."""
+    w = B.byte_windows(table(spark, d, "docs"), "id", "body")
+    gap = F.col("start_byte") != F.coalesce(F.lag("end_byte").over(Window.partitionBy("id").orderBy("window")), F.lit(0))
+    w = w.select("id", "start_byte", "end_byte", "end_line", "window").withColumn("gap", gap)  # a window holds the pieces of one body
+    return w.groupBy("id").agg(F.when(F.max("gap"), F.lit(-1)).otherwise(F.sum(F.col("end_byte") - F.col("start_byte"))).alias("bytes"), F.max("end_line").cast("bigint").alias("last_line"))
+
+
+@query("SELECT doc_id AS id, starts_with(text, excerpt) OR contains(excerpt, '[redacted]') AS prefix, truncated FROM (SELECT doc_id, text, '' AS excerpt, octet_length(encode(text)) > 900 AS truncated FROM documents WHERE text IS NOT NULL)")
+def excerpt_bounds(spark, d):
+    """Excerpts of at most 900 bytes: each is the beginning of its text, and cut only where the text is longer."""
+    docs = table(spark, d, "documents").where("text is not null")
+    e = B.excerpts(docs, "doc_id", "text", 900).join(docs.select(F.col("doc_id").alias("id"), "text"), "id")
+    fits = F.octet_length(F.col("excerpt").cast("binary")) <= 900
+    return e.select("id", (fits & (F.col("text").startswith(F.col("excerpt")) | F.col("excerpt").contains("[redacted]"))).alias("prefix"), "truncated")
+
+
+@query("""SELECT path, count(*) AS functions FROM (SELECT path, unnest(regexp_extract_all(body, '(?m)^func (?:\\([^)]*\\) )?\\w+')) AS f FROM (SELECT path, body FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY CAST(split_part(stamp, ':', 1) AS BIGINT) DESC, id DESC) AS rn FROM docs WHERE path IS NOT NULL) WHERE rn = 1) WHERE path LIKE '%.go' AND body IS NOT NULL) GROUP BY path""")
+def go_functions(spark, d):
+    """Functions and methods that the facts of every Go file hold."""
+    from .queries import _current_files
+
+    s = facts.symbols(facts.collect(_current_files(spark, d).where(P.extension("path") == "go"))).where("kind in ('function', 'method')")
+    return s.groupBy("path").agg(F.count("*").alias("functions"))
