@@ -32,6 +32,8 @@ from .resolution import follow_aliases, nearest_binding, unique_match
 from .rowmap import map_rows
 
 SCHEMA = "fact string, path string, ordinal int, scope int, parent int, name string, kind string, value string, callable boolean, exported boolean, start_byte bigint, end_byte bigint, start_line int, end_line int"
+#: Changes whenever these rules collect something else: facts collected by other rules are not kept.
+RULES = "2"
 LANGUAGES = {"py": "python", "go": "go", "js": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript"}
 
 

@@ -13,6 +13,7 @@ from collections.abc import Callable
 from zlib import crc32
 
 import pyarrow as pa
+from pyspark.errors import PythonException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -71,6 +72,24 @@ def embed(docs: DataFrame, ident: str, text: str, make: Callable[[], object], ve
     return src.where("vector is not null or text is null").select("id", "vector").unionByName(todo)
 
 
+class ModelError(Exception):
+    """A model that is away, too slow or answers nonsense; anything else that goes wrong is an error of the program."""
+
+
+#: What a model's own code may raise when it is away.
+AWAY = (OSError, TimeoutError, RuntimeError)
+
+
+def _ranked(model, query: str, texts: list[str]) -> list[float]:
+    try:
+        scores = [float(x) for x in model.rank(query, texts)]
+    except AWAY as e:
+        raise ModelError(type(e).__name__) from e
+    if len(scores) != len(texts) or not all(map(math.isfinite, scores)):
+        raise ModelError("a finite score for every text")
+    return scores
+
+
 def rerank_scores(hits: DataFrame, query: str, make: Callable[[], object], text: str = "evidence") -> DataFrame:
     """``id, score`` of the first ``SHORTLIST`` hits (``id, rank`` and a text) by another model; texts are cut to ``EVIDENCE_BYTES`` bytes at a character."""
     spec = T.StructType.fromDDL("id string, score double")
@@ -82,7 +101,7 @@ def rerank_scores(hits: DataFrame, query: str, make: Callable[[], object], text:
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             cut = [(t or "").encode()[:EVIDENCE_BYTES].decode("utf-8", "ignore") for t in texts]
             if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array([float(x) for x in model.rank(query, cut)])], schema=arrow)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(_ranked(model, query, cut))], schema=arrow)
 
     ship(hits.sparkSession)
     short = hits.where(F.col("rank") <= SHORTLIST).select(F.col("id").cast("string").alias("id"), F.col(text).alias("t"))
@@ -90,12 +109,15 @@ def rerank_scores(hits: DataFrame, query: str, make: Callable[[], object], text:
 
 
 def rerank_or_keep(ranked: DataFrame, hits: DataFrame, query: str, make: Callable[[], object], text: str = "evidence") -> tuple[DataFrame, str]:
-    """Reranked order and ``ranked``; if the model fails, the order as it was and ``fallback``.  A result list, so it is evaluated here."""
+    """Reranked order and ``ranked``; if the model fails (``ModelError``), the order as it was and ``fallback``.  A result list, so it is evaluated here."""
     from .retrieval import rerank
 
     try:
         scores = rerank_scores(hits, query, make, text).collect()
         df = ranked.sparkSession.createDataFrame(scores, "id string, score double")
         return rerank(ranked.withColumn("id", F.col("id").cast("string")), df), "ranked"
-    except Exception:
+    except PythonException as e:
+        raised = f"{ModelError.__module__}.{ModelError.__qualname__}"
+        if not any(line.startswith(raised) for line in str(e).splitlines()):
+            raise
         return ranked.withColumn("position", F.col("rank")), "fallback"

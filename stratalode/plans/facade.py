@@ -14,6 +14,7 @@ from ..functions.paths import selected, under
 from ..operators import facts, graph, retrieval, rollup, snapshot
 from ..sources import postings
 from ..sources.generations import Store, lifecycle
+from ..sources.shared import cut
 
 OPERATIONS = ("symbol", "call", "callees", "callers", "reachable", "impact")
 MOST_QUERY, MOST_LIMIT, PAGE = 1000, 50, 25
@@ -25,11 +26,22 @@ class Index:
         self.secret = secret or hashlib.sha256(folder.encode()).digest()
 
     def analyze(self, files: DataFrame, attempt: str) -> int:
-        """Collects and resolves the facts of ``path, body`` and publishes them as a generation."""
+        """Collects and resolves the facts of ``path, body`` and publishes them as a generation.
+
+        Files whose digest the generation before holds, collected by the same rules,
+        are not read again; all facts are resolved anew, as any of them may have
+        changed what others mean.
+        """
 
         def build():
-            f = facts.collect(files)
-            return {"files": files.select("path").distinct(), "symbols": facts.symbols(f), "sites": facts.resolve(f), "docs": files, "postings": postings.postings(files, "path", "body"), "totals": postings.totals(files, "body")}
+            now = files.where("path is not null and body is not null").select("path", F.sha2("body", 256).alias("digest"))
+            if not self.store.current():
+                f = facts.collect(files)
+            else:
+                same = snapshot.reusable(self.store.read("collected"), now, "path", "digest", facts.RULES).select("path")
+                kept = self.store.read("facts").join(same, "path", "left_semi")
+                f = cut(facts.collect(files.join(same, "path", "left_anti")).unionByName(kept))
+            return {"facts": f, "collected": now.withColumn("analyzer", F.lit(facts.RULES)), "files": files.select("path").distinct(), "symbols": facts.symbols(f), "sites": facts.resolve(f), "docs": files, "postings": postings.postings(files, "path", "body"), "totals": postings.totals(files, "body")}
 
         return lifecycle(self.store, attempt, build)
 

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
 from stratalode.operators import facts, frameworks, golang, impact, models, retrieval
@@ -80,12 +81,18 @@ def test_models(spark):
         def rank(self, query, texts):
             raise RuntimeError
 
+    class Wrong:
+        def rank(self, query, texts):
+            return [undefined_name for _ in texts]  # noqa: F821
+
     df = spark.createDataFrame([(1, "alpha beta", None), (2, "alpha beta", [3.0, 4.0]), (3, None, None), (4, "", None)], "id bigint, text string, vector array<float>")
     got = {r.id: r.vector for r in models.embed(df, "id", "text", lambda: models.HashedTerms(64)).collect()}
     assert abs(sum(x * x for x in got[1]) - 1) < 1e-6 and got[2] == [3.0, 4.0] and got[3] is None and got[4] is None
     hits = spark.createDataFrame([(i, i, "漢" * i) for i in range(1, 41)], "id bigint, rank int, evidence string")
     out, how = models.rerank_or_keep(hits.select("id", "rank"), hits, "q", Length)
     assert how == "ranked" and [int(r.id) for r in out.orderBy("position").limit(2).collect()] == [32, 31] and out.count() == 40
+    with pytest.raises(PythonException):
+        models.rerank_or_keep(hits.select("id", "rank"), hits, "q", Wrong)
     out, how = models.rerank_or_keep(hits.select("id", "rank"), hits, "q", Broken)
     assert how == "fallback" and [r.id for r in out.orderBy("position").limit(2).collect()] == [1, 2]
     assert retrieval.depth_for(3) == 50 and retrieval.depth_for(40) == 200

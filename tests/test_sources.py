@@ -179,7 +179,7 @@ def test_names_across_files(spark):
     assert e["p/b.py"] == 2 and e["g/two/c.go"] == 1 and e["w/lib/y.ts"] == 3 and "g/one/b.go" not in e
 
 
-def test_facade(spark, tmp_path):
+def test_facade(spark, tmp_path, monkeypatch):
     ix = Index(spark, f"file://{tmp_path}/ix")
     assert ix.status()["state"] == "not_indexed"
     ix.analyze(spark.createDataFrame([f for f in FILES if f[1] is not None], "path string, body string"), "first")
@@ -199,6 +199,21 @@ def test_facade(spark, tmp_path):
     assert len(callers) == 2
     reach, _ = ix.query("impact", seed=leaf, depth=3)
     assert len(reach) >= 2 and ix.impact("main.py").count() > 3
+    # the second analysis collects what changed only, and knows the same as a clean one
+    later = [f if f[0] != "helper.py" else ("helper.py", "def run():\n    return other()\n") for f in FILES if f[1] is not None and f[0] != "e.py"]
+    read = []
+    real = facts.collect
+
+    def collect(files):
+        read.extend(r.path for r in files.select("path").collect())
+        return real(files)
+
+    monkeypatch.setattr(facts, "collect", collect)
+    ix.analyze(spark.createDataFrame(later, "path string, body string"), "second")
+    assert read == ["helper.py"]
+    clean = facts.resolve(real(spark.createDataFrame(later, "path string, body string")))
+    key = lambda df: sorted(map(str, df.select("site_id", "target_id", "reason").collect()))
+    assert key(ix.store.read("sites")) == key(clean)
     for bad in ({"query": ""}, {"query": "x", "limit": 51}, {"query": "x", "mode": "other"}, {"query": "x", "mode": "semantic"}):
         with pytest.raises(ValueError):
             ix.search(**bad)
