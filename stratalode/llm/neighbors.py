@@ -418,6 +418,9 @@ def class_neighbors(classes: DataFrame, index: Index, probes: int, rerank: int =
         placed = placed.withColumn("block", F.explode(mine))
     else:
         placed = placed.withColumn("block", F.lit(0))
+    # one group a task: what a task reads doesn't grow with the collection
+    groups = len(index.centroids) - len(blocks) + sum(t * q for t, q in blocks.values())
+    placed = placed.repartition(max(groups, int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "cell", "block")
     out = T.StructType.fromDDL("key binary, score double, id bigint")
     arrow = to_arrow_schema(out)
 
