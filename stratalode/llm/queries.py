@@ -27,6 +27,19 @@ def p2_reasons(spark, d):
     return handwritten.classify(table(spark, d, "docs"))
 
 
+#: Attribute files planted in every repository, by directory: generic ones at its root, one below that takes some back.
+PLANTED = {"": "*_test.go linguist-generated\ncore/** linguist-vendored\napi/*/*.py linguist-generated=true\n/core/*/*.md -linguist-vendored\n", "core": "*.js -linguist-vendored\n*.ts linguist-generated\n"}
+
+
+def p2_declared(spark, d):
+    """What planted attribute files say of every path: the deepest directory, then the last line, wins."""
+    paths = table(spark, d, "docs").where("path is not null").select("path").distinct()
+    repositories = paths.select(F.substring_index("path", "/", 1).alias("repository")).distinct()
+    rows = [(f"/{directory}/.gitattributes".replace("//", "/"), text) for directory, text in PLANTED.items()]
+    planted = repositories.crossJoin(F.broadcast(spark.createDataFrame(rows, "at string, body string"))).select(F.concat("repository", "at").alias("path"), "body")  # two files per repository
+    return handwritten.declarations(paths, planted)
+
+
 def p3_found(spark, d):
     """Terms that mark their row more than the rest of the collection; the counts of the case are checked by the operator."""
     return distinctive.score_terms(table(spark, d, "docs"), least_tf=5, most_df=3).where("z > 0").select("id", "term")
@@ -108,7 +121,7 @@ def p10_anonymised(spark, d):
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_reasons, p3_found, p3_scores, p4_found, p4_redacted, p6_found, p6_pieces, p6_reassembled, p7_found, p7_neighbors, p7_search, p8_found, p8_passages, p9_mix, p9_shares, p10_found, p10_anonymised)
+    f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_reasons, p2_declared, p3_found, p3_scores, p4_found, p4_redacted, p6_found, p6_pieces, p6_reassembled, p7_found, p7_neighbors, p7_search, p8_found, p8_passages, p9_mix, p9_shares, p10_found, p10_anonymised)
 }
 
 _COUNTS = """
@@ -125,6 +138,11 @@ r AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY cosine DESC, neighb
 """
 
 SQL: dict[str, str] = {
+    "p2_declared": """WITH p AS (SELECT DISTINCT path FROM docs WHERE path IS NOT NULL), i AS (SELECT path, substr(path, instr(path, '/') + 1) AS q FROM p WHERE contains(path, '/')),
+m AS (SELECT path, starts_with(q, 'core/') AS core, len(string_split(q, '/')) AS n, q FROM i),
+s AS (SELECT path, CASE WHEN core AND q LIKE '%.ts' THEN true WHEN q LIKE '%\\_test.go' ESCAPE '\\' THEN true WHEN q LIKE 'api/%.py' AND n = 3 THEN true END AS generated,
+  CASE WHEN core AND q LIKE '%.js' THEN false WHEN core AND q LIKE '%.md' AND n = 3 THEN false WHEN core THEN true END AS vendored FROM m)
+SELECT path, CASE WHEN generated THEN 'generated' WHEN vendored THEN 'vendored' ELSE 'handwritten' END AS said FROM s WHERE generated IS NOT NULL OR vendored IS NOT NULL""",
     "p6_reassembled": "SELECT id, sha256(body) AS digest, true AS kept FROM docs WHERE octet_length(encode(body)) > 8192",
     "p7_found": f"WITH {_PAIRS.format(where='')} SELECT DISTINCT least(id, neighbor) AS id_a, greatest(id, neighbor) AS id_b FROM r WHERE cosine >= 0.9",
     "p7_neighbors": f"WITH {_PAIRS.format(where='')} SELECT id, rank, neighbor FROM r",
