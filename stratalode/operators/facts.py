@@ -440,3 +440,15 @@ def resolve(facts: DataFrame) -> DataFrame:
     target = F.when(reason.isNull(), F.when(F.col("bk") == "import", F.col("_imported")).otherwise(F.coalesce(F.nullif("_shared", F.lit("")), F.col("bv"))))
     certainty = F.when(target.isNull(), "unresolved").when((F.col("bk") == "import") | F.col("_shared").isNotNull(), "candidate").otherwise("resolved")
     return j.select("site_id", "path", "role", "caller", "name", "kind", target.alias("target_id"), certainty.alias("certainty"), F.when(target.isNull(), reason).alias("reason"))
+
+
+def faults(facts: DataFrame) -> DataFrame:
+    """``path, fault, rows`` of facts that don't hang together: a scope, parent or range that isn't there.  Empty for what ``collect`` made; for facts that were stored or sent."""
+    scopes = facts.where("fact = 'scope'").select("path", F.col("ordinal").alias("scope"), F.lit(True).alias("_there")).distinct()
+    size = facts.where("fact = 'scope' and parent = -1").groupBy("path").agg(F.max("end_byte").alias("_n"))
+    inside = facts.where("fact not in ('scope', 'error')").join(scopes, ["path", "scope"], "left").join(size, "path", "left")
+    fault = F.when(F.col("_there").isNull(), "unknown_scope").when((F.col("start_byte") < 0) | (F.col("end_byte") < F.col("start_byte")) | (F.col("end_byte") > F.col("_n")), "range_outside_source")
+    a = inside.select("path", fault.alias("fault"))
+    parents = facts.where("fact = 'scope' and parent >= 0").select("path", F.col("parent").alias("scope")).join(scopes, ["path", "scope"], "left_anti").select("path", F.lit("unknown_parent").alias("fault"))
+    twice = facts.where("fact = 'scope'").groupBy("path", "ordinal").count().where("count > 1").select("path", F.lit("repeated_scope").alias("fault"))
+    return a.where("fault is not null").unionByName(parents).unionByName(twice).groupBy("path", "fault").agg(F.count("*").alias("rows"))

@@ -1,7 +1,8 @@
 """Framework registrations: routes, commands and jobs that call code by configuration.
 
 Python files are read through the syntax tree.  A registration becomes a
-``framework`` row if everything it names is literal, else a ``framework_boundary``
+``framework`` row if everything it names is literal and what registers is the
+framework's by the file's own imports (a look-alike is not), else a ``framework_boundary``
 row with the reason, so that what is not known stays visible.  Callbacks are
 resolved to definitions by the module-level bindings of their file and the files
 these import from.
@@ -22,6 +23,10 @@ from .rowmap import map_rows
 
 SCHEMA = "path string, family string, kind string, pattern string, callback string, reason string, start_line int, end_line int"
 ROUTE_CALLS = ("path", "re_path", "url")
+# Where the frameworks define what registers, as full names.
+DJANGO_ROUTES = frozenset(f"{m}.{f}" for m, fs in (("django.urls", ("path", "re_path", "include")), ("django.urls.conf", ("path", "re_path", "include")), ("django.conf.urls", ("url", "include"))) for f in fs)
+DJANGO_COMMANDS = frozenset(f"{m}.{c}" for m in ("django.core.management", "django.core.management.base") for c in ("BaseCommand", "AppCommand", "LabelCommand"))
+ODOO_ROUTES = frozenset(("odoo.http.route", "openerp.http.route"))
 
 
 def _name(node) -> str | None:
@@ -32,12 +37,52 @@ def _name(node) -> str | None:
     return None
 
 
+def bound_names(tree: ast.Module) -> dict[str, str | None]:
+    """Full names of what a module's own names are imported as; None for a name that is bound otherwise, twice or under a condition."""
+    out: dict[str, str | None] = {}
+
+    def bind(name, full):
+        out[name] = None if name in out else full
+
+    for n in tree.body:
+        if isinstance(n, ast.Import):
+            for a in n.names:
+                if a.asname or a.name.split(".")[0] not in out or out[a.name.split(".")[0]] != a.name.split(".")[0]:
+                    bind(a.asname or a.name.split(".")[0], a.name if a.asname else a.name.split(".")[0])
+        elif isinstance(n, ast.ImportFrom) and not n.level:
+            for a in n.names:
+                bind(a.asname or a.name, f"{n.module}.{a.name}")
+        else:
+            for x in ast.walk(n):
+                if isinstance(x, (ast.Import, ast.ImportFrom)) and not isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+                    for a in x.names:
+                        out[a.asname or a.name.split(".")[0]] = None
+            targets = n.targets if isinstance(n, ast.Assign) else [n.target] if isinstance(n, (ast.AnnAssign, ast.AugAssign)) else []
+            for t in targets:
+                if isinstance(t, ast.Name):
+                    out[t.id] = None
+            if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+                out[n.name] = None
+    return out
+
+
+def full_name(node, names: dict[str, str | None]) -> str | None:
+    """What an expression names, whatever it is called here; None if the file's imports don't say."""
+    first, _, rest = (_name(node) or "").partition(".")
+    full = names.get(first)
+    return full and (f"{full}.{rest}" if rest else full)
+
+
+def proven(node, names: dict[str, str | None], wanted: frozenset[str]) -> bool:
+    return full_name(node, names) in wanted
+
+
 def _text(node) -> str | None:
     return node.value if isinstance(node, ast.Constant) and isinstance(node.value, str) else None
 
 
 def _django(path: str, tree: ast.Module) -> list[tuple]:
-    out = []
+    out, names = [], bound_names(tree)
     targets = [n for n in tree.body if isinstance(n, (ast.Assign, ast.AugAssign)) and any(isinstance(t, ast.Name) and t.id == "urlpatterns" for t in (n.targets if isinstance(n, ast.Assign) else [n.target]))]
     mutated = len(targets) > 1 or any(isinstance(n, ast.Call) and (_name(n.func) or "").startswith("urlpatterns.") for n in ast.walk(tree))
     for t in targets:
@@ -45,7 +90,8 @@ def _django(path: str, tree: ast.Module) -> list[tuple]:
             out.append((path, "django", "route", None, None, "computed_list", t.lineno, t.end_lineno))
             continue
         for e in t.value.elts:
-            call = (_name(e.func) or "").rsplit(".", 1)[-1] if isinstance(e, ast.Call) else ""
+            known = isinstance(e, ast.Call) and proven(e.func, names, DJANGO_ROUTES)
+            call = ((full_name(e.func, names) if known else _name(e.func)) or "").rsplit(".", 1)[-1] if isinstance(e, ast.Call) else ""
             if call not in ROUTE_CALLS:
                 out.append((path, "django", "route", None, None, "computed_entry", e.lineno, e.end_lineno))
                 continue
@@ -64,17 +110,17 @@ def _django(path: str, tree: ast.Module) -> list[tuple]:
             else:
                 callback = _name(view) if view is not None else None
                 reason = None if callback else "missing_view" if view is None else "computed_view"
-            out.append((path, "django", kind, literal, callback, "mutated" if mutated else reason or (None if literal is not None else "computed_pattern"), e.lineno, e.end_lineno))
+            out.append((path, "django", kind, literal, callback, "mutated" if mutated else "api_identity_unproven" if not known else reason or (None if literal is not None else "computed_pattern"), e.lineno, e.end_lineno))
     if "/management/commands/" in f"/{path}" and not path.rsplit("/", 1)[-1].startswith("_"):
         for n in tree.body:
             if isinstance(n, ast.ClassDef) and n.name == "Command":
                 handles = any(isinstance(m, ast.FunctionDef) and m.name == "handle" for m in n.body)
-                out.append((path, "django", "command", path.rsplit("/", 1)[-1][:-3], "Command.handle" if handles else None, None if handles else "no_handle", n.lineno, n.end_lineno))
+                out.append((path, "django", "command", path.rsplit("/", 1)[-1][:-3], "Command.handle" if handles else None, "api_identity_unproven" if not any(proven(b, names, DJANGO_COMMANDS) for b in n.bases) else None if handles else "no_handle", n.lineno, n.end_lineno))
     return out
 
 
 def _odoo(path: str, tree: ast.Module) -> list[tuple]:
-    out = []
+    out, names = [], bound_names(tree)
     for c in (n for n in tree.body if isinstance(n, ast.ClassDef)):
         model = next((_text(s.value) for s in c.body if isinstance(s, ast.Assign) and any(isinstance(t, ast.Name) and t.id in ("_name", "_inherit") for t in s.targets)), None)
         for m in (n for n in c.body if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef))):
@@ -86,7 +132,7 @@ def _odoo(path: str, tree: ast.Module) -> list[tuple]:
                     parts = first.elts if isinstance(first, (ast.List, ast.Tuple)) else [first]
                     for x in parts:
                         p = _text(x) if x is not None else None
-                        out.append((path, "odoo", "route", p, f"{c.name}.{m.name}", None if p is not None else "inherited_pattern" if x is None else "computed_pattern", m.lineno, m.end_lineno))
+                        out.append((path, "odoo", "route", p, f"{c.name}.{m.name}", "api_identity_unproven" if not proven(d.func, names, ODOO_ROUTES) else None if p is not None else "inherited_pattern" if x is None else "computed_pattern", m.lineno, m.end_lineno))
     return out
 
 

@@ -122,3 +122,32 @@ def closure_layers(edges: DataFrame, nodes: DataFrame, most: int = 12) -> DataFr
         for s, t in links:
             layer[t] = max(layer[t], layer[s] + 1)
     return nodes.sparkSession.createDataFrame([(n, comp[n], layer[comp[n]]) for n in sorted(names)], "node string, component string, layer int")
+
+
+def local_walk(edges: list[tuple[str, str]], seeds: list[str], depth: int, reverse: bool = False) -> list[tuple[int, str, str]]:
+    """``level, from, to`` of the same walk over a list in memory: for small snapshots, and to check the other by."""
+    if not 1 <= depth <= MOST_DEPTH:
+        raise ValueError(f"depth must be 1 to {MOST_DEPTH}")
+    out, seen = [], {s for s in seeds if s}
+    frontier = set(seen)
+    for level in range(depth):
+        hops = [(level, b, a) if reverse else (level, a, b) for a, b in edges if (b if reverse else a) in frontier]
+        out += hops
+        frontier = {t for _, _, t in hops if t} - seen
+        seen |= frontier
+        if not frontier:
+            break
+    return out
+
+
+def handles(rows: DataFrame, symbols: DataFrame, files: DataFrame, ident: str = "target_id") -> DataFrame:
+    """Rows with ``handle``: id, path, range and digest of the declaration they name, and ``fault`` where it can't be shown as it was captured.
+
+    ``symbols``: id, path, start_byte, end_byte; ``files``: path, sha256, bytes.
+    """
+    f = files.select("path", "sha256", F.col("bytes").alias("_n")).dropDuplicates(["path"])
+    s = symbols.select("id", "path", "start_byte", "end_byte").dropDuplicates(["id"]).join(f, "path", "left")
+    s = s.select(F.col("id").alias(ident), F.struct("id", "path", "start_byte", "end_byte", "sha256").alias("handle"), (F.col("sha256").isNull() | (F.col("start_byte") < 0) | (F.col("end_byte") <= F.col("start_byte")) | (F.col("end_byte") > F.col("_n"))).alias("_bad"))
+    j = rows.join(s, ident, "left")
+    fault = F.when(F.coalesce(F.col(ident), F.lit("")) == "", F.lit(None).cast("string")).when(F.col("handle").isNull(), "missing_declaration").when(F.col("_bad"), "range_outside_source")
+    return j.withColumn("fault", fault).withColumn("handle", F.when(F.col("fault").isNull(), F.col("handle"))).drop("_bad")

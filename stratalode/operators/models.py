@@ -7,6 +7,8 @@ They are made once per task by a factory, so a model is loaded where it runs.
 
 from __future__ import annotations
 
+import hashlib
+import json
 import math
 import re
 from collections.abc import Callable
@@ -19,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..sources.pointers import Folder
 from ..sources.ship import ship
 
 BATCH, SHORTLIST, EVIDENCE_BYTES = 256, 32, 900
@@ -121,3 +124,35 @@ def rerank_or_keep(ranked: DataFrame, hits: DataFrame, query: str, make: Callabl
         if not any(line.startswith(raised) for line in str(e).splitlines()):
             raise
         return ranked.withColumn("position", F.col("rank")), "fallback"
+
+
+class ResponseCache:
+    """Answers of a remote model under the hash of what was asked, the newest ``most`` kept."""
+
+    def __init__(self, spark, folder: str, most: int = 512):
+        self.files, self.most = Folder(spark, folder), most
+
+    @staticmethod
+    def key(request: dict) -> str:
+        return hashlib.sha256(json.dumps(request, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+
+    def get(self, request: dict) -> object | None:
+        found = [n for n in self.files.names() if n.endswith(self.key(request))]
+        return json.loads(self.files.read(found[-1])) if found else None
+
+    def put(self, request: dict, answer: object) -> None:
+        known = [n for n in self.files.names() if n[:1].isdigit()]
+        self.files.replace(f"{int(known[-1].split('-')[0]) + 1 if known else 0:012d}-{self.key(request)}", json.dumps(answer))
+        known = [n for n in self.files.names() if n[:1].isdigit()]
+        for n in known[: max(0, len(known) - self.most)]:
+            self.files.remove(n)
+
+
+#: Roles that a classifier may give a directory, and how sure it must be (fixed values).
+ROLES, SURE = ("runtime", "application", "library", "tooling", "infrastructure", "tests", "documentation", "examples"), (0.6, 1.0)
+
+
+def sure_roles(answers: DataFrame) -> DataFrame:
+    """``directory, role`` of answers (``directory, role, confidence``) that name a known role surely enough; of several the surest."""
+    ok = answers.where(F.col("role").isin(*ROLES) & F.col("confidence").between(*SURE))
+    return ok.groupBy("directory").agg(F.max_by("role", F.struct("confidence", "role")).alias("role"))

@@ -17,6 +17,11 @@ def depth_for(limit: int) -> int:
     return max(50, 5 * limit)
 
 
+def shortlist_for(limit: int) -> int:
+    """How many hits another model is shown."""
+    return max(limit, SHORTLIST)
+
+
 def cosine_scores(docs: DataFrame, query: list[float], ident: str = "id", vector: str = "vector") -> DataFrame:
     """``id, score`` against a constant vector; null and zero vectors are left out."""
     q = F.array(*[F.lit(float(x)) for x in query])

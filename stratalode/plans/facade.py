@@ -6,6 +6,7 @@ import base64
 import hashlib
 import hmac
 import json
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ from ..sources.shared import cut
 
 OPERATIONS = ("symbol", "call", "callees", "callers", "reachable", "impact")
 MOST_QUERY, MOST_LIMIT, PAGE = 1000, 50, 25
+#: Seconds a cursor is good for.
+LIFETIME = 60
 
 
 class Index:
@@ -72,6 +75,10 @@ class Index:
         """One page of rows and the cursor of the next; a cursor is bound to the generation and to every filter."""
         if operation not in OPERATIONS:
             raise ValueError(f"operation is one of {', '.join(OPERATIONS)}")
+        if type(depth) is not int or not 1 <= depth <= graph.MOST_DEPTH or type(limit) is not int or not 1 <= limit <= 500:
+            raise ValueError(f"depth is 1 to {graph.MOST_DEPTH}, a page has 1 to 500 rows")
+        if any(len(x or "") > MOST_QUERY for x in (seed, scope, prefix)):
+            raise ValueError(f"seed, scope and prefix have at most {MOST_QUERY} characters")
         if operation not in ("symbol", "call") and not seed:
             raise ValueError("this operation needs a seed")
         g = self.store.current()
@@ -111,19 +118,23 @@ class Index:
         edges = rel.join(ident, ["path", "caller"]).where("target_id is not null").select("caller_id", "target_id").distinct()
         return graph.reached(edges, syms.where(selected("path", area)).select("id"), depth, reverse=True)
 
-    def status(self) -> dict:
-        """Generation, tables and readiness."""
+    def status(self, files: DataFrame | None = None) -> dict:
+        """Generation, tables, readiness and, against ``path, body`` as they are now, freshness: current or stale, unknown without them."""
         g = self.store.current()
         if not g:
             return {"generation": 0, "state": "not_indexed"}
         docs = self.store.read("docs")
         out = {"generation": g, "tables": self.store.tables(g), "files": self.store.read("files").count(), "state": "ready"}
+        out["freshness"] = "unknown"
+        if files is not None:
+            now = files.where("path is not null and body is not null").select("path", F.sha2("body", 256).alias("digest"))
+            out["freshness"] = "current" if snapshot.changes(self.store.read("collected"), now, "path", "digest").isEmpty() else "stale"
         if "vector" in docs.columns:
             out["vectors"] = snapshot.index_state(docs).first().state
         return out
 
     def _seal(self, values: list, bound: list) -> str:
-        body = json.dumps(values).encode()
+        body = json.dumps([time.time(), values]).encode()
         mark = hmac.new(self.secret, body + json.dumps(bound).encode(), "sha256").digest()[:16]
         return base64.urlsafe_b64encode(mark + body).decode()
 
@@ -132,4 +143,7 @@ class Index:
         mark, body = raw[:16], raw[16:]
         if not hmac.compare_digest(mark, hmac.new(self.secret, body + json.dumps(bound).encode(), "sha256").digest()[:16]):
             raise ValueError("the cursor belongs to another query or generation")
-        return json.loads(body)
+        issued, values = json.loads(body)
+        if time.time() - issued > LIFETIME:
+            raise ValueError("the cursor has expired")
+        return values

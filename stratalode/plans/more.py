@@ -22,7 +22,7 @@ from ..sources import generations, sinks, xmlconfig
 from ..sources.pointers import fresh
 from ..sources.shared import shared_folder
 from ..sources.tables import table
-from .queries import _CURRENT, _DIR, _EDGES, _FILES, _IMPORTS, _TREE, _UP, _edges, _largest, _linked, _paths, _statements, _within
+from .queries import _BEFORE, _CURRENT, _DIR, _EDGES, _FILES, _IMPORTS, _TREE, _UP, _before, _edges, _largest, _linked, _now_digest, _paths, _statements, _within
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -192,6 +192,18 @@ def impact_boundaries(spark, d):
     return why
 
 
+@query(f"""WITH RECURSIVE {_REACH}, {_BEFORE}, changed AS (SELECT coalesce(o.path, n.path) AS path FROM old o FULL JOIN new n ON o.path = n.path WHERE o.path IS NULL OR n.path IS NULL OR o.digest IS DISTINCT FROM n.digest),
+walk(node, level) AS (SELECT path, 0 FROM changed UNION SELECT source, level + 1 FROM walk JOIN links ON target = node WHERE level < 2),
+first AS (SELECT node, min(level) AS level FROM walk GROUP BY node)
+SELECT level, site_id, 'file:' || source AS source, 'file:' || target AS target FROM links JOIN first ON target = node WHERE level < 2""")
+def impact_changes(spark, d):
+    """What depends, over imports and two steps far, on the paths that changed since the run before the last."""
+    edges, files = _reach(spark, d)
+    changed = snapshot.changes(_before(spark, d), _now_digest(spark, d), "path", "digest")
+    rows, _ = impacts.impact(edges, files, [], 2, changed=changed)
+    return rows.select("level", "site_id", "source", "target")
+
+
 @query(f"""WITH {_EDGES} SELECT certainty || '_import' AS reason, count(*) AS count FROM (SELECT CASE WHEN target IS NULL THEN 'unresolved' WHEN path LIKE '%.go' THEN 'candidate' ELSE 'resolved' END AS certainty FROM linked) WHERE certainty <> 'resolved' GROUP BY 1""")
 def walk_boundaries(spark, d):
     t = F.when(F.col("target").isNotNull(), F.array("target")).otherwise(F.array().cast("array<string>"))
@@ -451,8 +463,6 @@ def batch_resources(spark, d):
 SELECT old.path FROM old JOIN cur USING (path) WHERE old.digest IS NOT DISTINCT FROM cur.digest AND analyzer = 'a1'""")
 def reusable_rows(spark, d):
     """Collected rows that another run may keep: same digest, same analyzer."""
-    from .queries import _now_digest
-
     now = _now_digest(spark, d)
     old = now.select("path", F.when(F.length("path") % 4 == 0, "x").otherwise(F.col("digest")).alias("digest"), F.when(F.length("path") % 5 == 0, "a0").otherwise("a1").alias("analyzer"))
     return snapshot.reusable(old, now, "path", "digest", "a1").select("path")
@@ -462,8 +472,6 @@ def reusable_rows(spark, d):
 SELECT r.path, CASE WHEN cur.path IS NULL THEN 'gone' ELSE 'changed' END AS cause FROM r LEFT JOIN cur USING (path) WHERE cur.path IS NULL OR r.digest IS DISTINCT FROM cur.digest""")
 def moved_sources(spark, d):
     """Sources that changed between reading and publishing."""
-    from .queries import _now_digest
-
     now = _now_digest(spark, d)
     read = now.select("path", F.when(F.length("path") % 4 == 0, "x").otherwise(F.col("digest")).alias("digest"))
     read = read.union(now.where(F.length("path") % 9 == 0).select(F.concat(F.lit("gone/"), "path"), "digest"))
@@ -572,8 +580,6 @@ def json_requests(spark, d):
 @query(f"WITH {_CURRENT} SELECT path, CASE WHEN length(path) % 4 = 0 THEN 'scan' ELSE 'known' END AS how FROM cur")
 def scan_reuse(spark, d):
     """A scan's cache read by the next one: files that changed or are new must be scanned again."""
-    from .queries import _now_digest
-
     now = _now_digest(spark, d)
     at = f"{shared_folder(spark)}/{fresh('scan')}"
     sinks.scan_cache(now.select("path", F.when(F.length("path") % 4 == 0, "old").otherwise(F.col("digest")).alias("digest"), F.array("path").alias("imports")), at)

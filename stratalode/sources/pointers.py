@@ -44,6 +44,9 @@ class Folder:
         finally:
             f.close()
 
+    def remove(self, name: str) -> None:
+        self._fs.delete(self.path(name), False)
+
     def replace(self, name: str, text: str) -> None:
         """A whole new text under a name that may exist; a reader sees the old text or the new one."""
         staged = f"_staged-{uuid.uuid4().hex}"

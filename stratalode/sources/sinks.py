@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import base64
+import hashlib
 import html
 import json
 
@@ -84,3 +86,40 @@ def requests(lines: DataFrame, schema: str, most: int = 8192) -> DataFrame:
     long = F.octet_length(F.col("value").cast("binary")) > most
     fault = F.when(long, "too_long").when(F.col("value").isNull() | F.get_json_object("value", "$").isNull() | ~F.trim("value").startswith("{"), "not_an_object")
     return lines.withColumn("_v", F.when(fault.isNull(), v)).withColumn("fault", fault).select("value", "_v.*", "fault")
+
+
+def offline_status(status: dict, allowed: dict, most: int = 64 * 1024) -> str:
+    """A status as JSON for a page without a server: only fields that are allowed, at every level; raises beyond ``most`` bytes.
+
+    ``allowed``: field -> True for a plain value, or the fields allowed below it.
+    """
+
+    def take(value, rule):
+        if rule is True:
+            return value if not isinstance(value, dict) else None
+        return {k: take(value[k], r) for k, r in rule.items() if k in value} if isinstance(value, dict) else None
+
+    text = escaped(take(status, allowed))
+    if len(text.encode()) > most:
+        raise ValueError(f"the status takes more than {most} bytes")
+    return text
+
+
+def bookmark(view: dict, most: int = 32 * 1024) -> str:
+    """A view as a short text for an address, with its own digest."""
+    body = json.dumps(view, sort_keys=True, separators=(",", ":")).encode()
+    if len(body) > most:
+        raise ValueError(f"a view takes at most {most} bytes")
+    return base64.urlsafe_b64encode(hashlib.sha256(body).digest()[:8] + body).decode().rstrip("=")
+
+
+def opened(text: str, fields: dict[str, type | tuple], most: int = 32 * 1024) -> dict:
+    """The view of a bookmark; raises if it was changed, is too long, or holds other fields than these."""
+    raw = base64.urlsafe_b64decode(text + "=" * (-len(text) % 4))
+    mark, body = raw[:8], raw[8:]
+    if len(body) > most or hashlib.sha256(body).digest()[:8] != mark:
+        raise ValueError("not a bookmark of this program")
+    view = json.loads(body)
+    if not isinstance(view, dict) or set(view) - set(fields) or any(not isinstance(v, fields[k]) for k, v in view.items()):
+        raise ValueError("a bookmark with unknown fields")
+    return view

@@ -72,6 +72,29 @@ def test_frameworks(spark):
     assert jobs == {"j": ("odoo/c.py#M.run", None), "k": (None, "computed_call")}
 
 
+def test_look_alikes_are_not_the_frameworks(spark):
+    body = {
+        "own.py": "from mine import path\nurlpatterns = [path('q', v)]\n", "alias.py": "import django.urls as u\nurlpatterns = [u.path('q', v)]\n", "twice.py": "from django.urls import path\nfrom mine import path\nurlpatterns = [path('q', v)]\n",
+        "maybe.py": "try:\n    from django.urls import path\nexcept ImportError:\n    pass\nurlpatterns = [path('q', v)]\n", "made.py": "from django.urls import path\npath = wrap(path)\nurlpatterns = [path('q', v)]\n", "renamed.py": "from django.urls import re_path as r\nurlpatterns = [r('q', v)]\n",
+        "a/management/commands/x.py": "from django.core.management.base import BaseCommand as B\nclass Command(B):\n    def handle(self): pass\n", "a/management/commands/y.py": "class Command(Other):\n    def handle(self): pass\n", "o.py": "from mine import route\nclass C:\n    @route('/a')\n    def f(self): pass\n",
+    }
+    got = {r.path: r.reason for r in frameworks.registrations(spark.createDataFrame(list(body.items()), "path string, body string")).collect()}
+    assert {p for p, r in got.items() if r is None} == {"alias.py", "renamed.py", "a/management/commands/x.py"}
+    assert all(got[p] == "api_identity_unproven" for p in ("own.py", "twice.py", "maybe.py", "made.py", "a/management/commands/y.py", "o.py"))
+
+
+def test_impact_of_changes_and_contracts(spark):
+    none = spark.createDataFrame([], "site_id string, path string, caller_id string, target_id string, certainty string")
+    i = spark.createDataFrame([("1", "b.py", "a.py", "resolved"), ("2", "c.py", "gone.py", "resolved")], "site_id string, path string, target_path string, certainty string")
+    c = spark.createDataFrame([("k", "client.py", "", "spec.yaml", "resolved")], "site_id string, path string, caller_id string, witness_path string, certainty string")
+    e = impact.links(none, i, spark.createDataFrame([], "id string, path string"), c)
+    files = spark.createDataFrame([(p,) for p in ("a.py", "b.py", "c.py", "client.py", "spec.yaml")], "path string")
+    changed = spark.createDataFrame([("a.py",), ("gone.py",), ("spec.yaml",), (None,)], "path string")
+    rows, why = impact.impact(e, files, [], 2, ("call", "import", "contract"), changed=changed)
+    assert {(r.relation, r.source, r.target) for r in rows.collect()} == {("import", "file:b.py", "file:a.py"), ("import", "file:c.py", "file:gone.py"), ("contract", "file:client.py", "file:spec.yaml")}
+    assert {r.reason: r["count"] for r in why.collect()} == {"changed_path_not_in_inventory": 1}
+
+
 def test_models(spark):
     class Length:
         def rank(self, query, texts):
