@@ -7,8 +7,8 @@ of the token and context features of its surroundings (the name it is assigned
 to, the call it is passed to, header words, URL position, comment, the line that
 opened the block).  The Viterbi path decides which characters are redacted.
 
-Only tokens that could be a literal may be secret.  ``_TRIGGER`` finds the lines
-to score in one pass over the body: those with a name that ``key_class`` calls
+Only tokens that could be a literal may be secret.  ``triggers`` finds the lines
+to score: those with a name that ``key_class`` calls
 strong (and the line after, where such a line opens a value), a header word with
 a literal, or a literal that stands out by itself.  Others are taken as plain.
 A private key goes on over its base64 lines up to the end marker; it counts as
@@ -62,15 +62,47 @@ _STRONG_NAME = (
     rf"(?i:{'|'.join(sorted(STRONG - {'pass'}))}|(?:{'|'.join(sorted(KEY_BEFORE))})[^A-Za-z0-9\s]*key)|"
     r"(?<![a-z])pass(?![a-z])|P(?:ass|ASS)(?![a-z])"
 )
-#: A line is scored if it has a key marker, user information in a URL, a key word followed by a literal, a strong key name, a long mixed literal, or a literal of known prefix.
-_TRIGGER = re.compile(
+#: A line is scored if it has a key marker, user information in a URL, a key word followed by a literal, a strong key name ...
+_NAMED = re.compile(
     r"-----BEGIN |"
     r"://[^\s/@\"'`:]*:[^\s/@\"'`]+@|"
     rf"(?i:{_KEY})[^\n]*?(?:[\"'`=:]|\s)\s*[\"'`]?{_LITERAL}{{6}}|"
-    rf"{_STRONG_NAME}|"
-    r"(?<![A-Za-z0-9])(?:[A-Z]{4}[A-Z0-9]{12,}|[A-Za-z]{2,5}[_-][A-Za-z0-9_]{16,}|eyJ[A-Za-z0-9_-]{8,})|"
-    r"(?<![\w+/=.-])(?=[A-Za-z+/]*[0-9])(?=[0-9a-z+/]*[A-Z])(?=[0-9A-Z+/]*[a-z])[A-Za-z0-9+/_-]{20,}"
+    rf"{_STRONG_NAME}"
 )
+#: ... each of which holds one of these, in small letters; or
+_STEMS = ("-----begin ", "://", "pass", "pwd", "secret", "token", "key", "credential", "authorization", "bearer", "basic")
+#: if it has a literal of known prefix or a long mixed literal.
+_SHAPED = re.compile(
+    r"(?<![A-Za-z0-9])(?=[A-Za-z0-9_-]{11})(?:[A-Z]{4}[A-Z0-9]{12,}|[A-Za-z]{2,5}[_-][A-Za-z0-9_]{16,}|eyJ[A-Za-z0-9_-]{8,})|"
+    r"(?<![\w+/=.-])(?=[A-Za-z0-9+/_-]{20})(?=[A-Za-z+/]*[0-9])(?=[0-9a-z+/]*[A-Z])(?=[0-9A-Z+/]*[a-z])[A-Za-z0-9+/_-]{20,}"
+)
+_BLANK = re.compile(r"\s*")
+
+
+def triggers(body: str) -> list[tuple[int, int]]:
+    """Where something begins that may be or announce a credential, and how far it goes, in order.
+
+    Names are looked for only in lines that hold one of their stems, which plain
+    search finds faster than the patterns do.
+    """
+    out = [m.span() for m in _SHAPED.finditer(body)]
+    low = body.lower()
+    if len(low) != len(body):  # a letter that takes two characters when small: places would shift
+        return sorted(out + [m.span() for m in _NAMED.finditer(body)])
+    lines = set()
+    for stem in _STEMS:
+        at = low.find(stem)
+        while at >= 0:
+            lines.add(body.rfind("\n", 0, at) + 1)
+            hi = body.find("\n", at)
+            at = low.find(stem, hi) if hi >= 0 else -1
+    for lo in lines:
+        hi = body.find("\n", lo)
+        hi = len(body) if hi < 0 else hi
+        # what a name announces may stand on the next line that isn't blank
+        end = body.find("\n", _BLANK.match(body, hi).end())
+        out += [m.span() for m in _NAMED.finditer(body, lo, len(body) if end < 0 else end) if m.start() < hi]
+    return sorted(out)
 
 
 @lru_cache(maxsize=65536)
@@ -274,17 +306,16 @@ class Finder:
     def find(self, body: str, config: bool = False) -> list[tuple[int, int, int, int, bool]]:
         """``line_no, start, end, line_start, begins`` per secret token, offsets in code points of the body; begins: a case starts here."""
         out, done = [], -1
-        for m in _TRIGGER.finditer(body):
-            stop = m.end()
+        for start, stop in triggers(body):
             if stop <= done:
                 continue
-            lo = body.rfind("\n", 0, m.start()) + 1
+            lo = body.rfind("\n", 0, start) + 1
             while lo >= 0 and lo <= stop:
                 hi = body.find("\n", lo)
                 hi = len(body) if hi < 0 else hi
                 if lo >= done:
                     done = self._line(body, lo, hi, config, out)
-                    if lo <= m.start() and _OPENS.search(body[lo:hi].rstrip()):
+                    if lo <= start and _OPENS.search(body[lo:hi].rstrip()):
                         stop = max(stop, min(hi + 1, len(body)))  # the value stands on the next line
                 lo = hi + 1
                 if hi >= stop:

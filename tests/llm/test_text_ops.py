@@ -168,7 +168,7 @@ def test_every_strong_name_triggers():
         for value in ("k7Q!", "k7Qz!m2Rv9#x"):
             line = f'{name} = "{value}"'
             assert secrets.key_class(name) == "strong" and any(secrets.features(secrets.tokens(line), line)[1]), line
-            assert secrets._TRIGGER.search(line), line
+            assert secrets.triggers(line), line
 
 
 @pytest.mark.parametrize("line", ['webhook_key = "9f86d081884c7d659a2feaa0c55ad015"', 'client_key = "9f86d081884c7d659a2feaa0c55ad015"', 'authKey: "k7Qz!m2Rv9#x"', 'serviceKey = "t9w4xq2m8zr5"', 'dbPass = "Tr4vel!ng-0wl"', 'adminPass := "x9K2mPq7"', 'dbPass = (\n    "Tr4vel!ng-0wl"'])
