@@ -234,7 +234,7 @@ def mixture(documents: DataFrame, targets: DataFrame, total: int | None = None,
     sample = []
     if sources:
         labelled = documents.where(F.col("source").isin(sources))
-        sample = sorted(hashed_sample(labelled, F.col("doc_id"), TRAIN_ROWS, labelled.count()).where(F.col("text").isNotNull()).select("doc_id", "source", "text", *looked).collect(), key=lambda r: r.doc_id)
+        sample = sorted(hashed_sample(labelled, F.col("doc_id"), TRAIN_ROWS, labelled.count()).where(F.col("text").isNotNull()).select("doc_id", "source", "text", *looked).collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0))
     ranks = read_bytes(spark, ranks_path)
     models, domains = fit_classifier(sources, [tuple(r) for r in sample])
     # counted and classified once; everything below reads it back

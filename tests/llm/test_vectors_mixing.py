@@ -126,7 +126,7 @@ DOC = "doc_id bigint, text string, source string, tokens int"
 
 
 def world(spark):
-    docs = [(i, f"alpha text {i} " * 10, "a", 0) for i in range(200)] + [(1000 + i, f"beta words {i} " * 10, "b", 0) for i in range(40)] + [(2000, "gamma", "c", 0), (2001, None, "a", 0), (2002, "free text", None, 0), (2003, "other", "unlisted", 0), (2004, "", "a", 0)]
+    docs = [(i, f"alpha text {i} " * 10, "a", 0) for i in range(200)] + [(1000 + i, f"beta words {i} " * 10, "b", 0) for i in range(40)] + [(2000, "gamma", "c", 0), (2001, None, "a", 0), (2002, "free text", None, 0), (2003, "other", "unlisted", 0), (2004, "", "a", 0), (None, "beta words none", "b", 0)]
     return spark.createDataFrame(docs, DOC)
 
 
