@@ -30,7 +30,7 @@ INTERVALS = "block bigint, lo bigint, hi bigint"
 def to_intervals(df: DataFrame, seq: str) -> DataFrame:
     """``block, lo, hi`` of the distinct sequence numbers in ``df``; null numbers are dropped."""
     s = F.col(seq).cast("bigint")
-    numbers = df.where(s.isNotNull()).select(F.floor(s / BLOCK).alias("block"), s.alias("s")).distinct()
+    numbers = df.where(s.isNotNull()).select(F.shiftright(s, BLOCK.bit_length() - 1).alias("block"), s.alias("s")).distinct()
     w = Window.partitionBy("block").orderBy("s")
     return numbers.withColumn("island", F.col("s") - F.row_number().over(w)).groupBy("block", "island").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).drop("island")
 
@@ -75,7 +75,7 @@ def rows_in(df: DataFrame, seq: str, gaps: DataFrame, salts: int = SALTS) -> Dat
     """
     s = F.col(seq).cast("bigint")
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    left = df.select(row.alias("_r"), F.floor(s / BLOCK).alias("_block"), F.pmod(F.xxhash64(seq, F.monotonically_increasing_id()), F.lit(salts)).cast("int").alias("_salt"), s.alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast("bigint").alias("_hi"))
+    left = df.select(row.alias("_r"), F.shiftright(s, BLOCK.bit_length() - 1).alias("_block"), F.pmod(F.xxhash64(seq, F.monotonically_increasing_id()), F.lit(salts)).cast("int").alias("_salt"), s.alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast("bigint").alias("_hi"))
     kind = left.schema["_r"].dataType
     starts = gaps.select(F.lit(None).cast(kind).alias("_r"), F.col("block").alias("_block"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"), F.col("lo").alias("_at"), F.lit(0).alias("_kind"), F.col("hi").alias("_hi"))
     w = Window.partitionBy("_block", "_salt").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
@@ -171,6 +171,8 @@ def changed_paths(docs: DataFrame, log: DataFrame, runs: DataFrame, folder: str
     spark = docs.sparkSession
     ledger = IntervalLedger(spark, folder or f"{shared_folder(spark)}/{fresh('ledger')}")
     now = latest(docs.select("path", "id", "digest", stamp_ns("stamp").alias("stamp")), "path", ["stamp", "id"], ["id", "digest"])
+    # a row without a number of its own gets one below all others that its path determines
+    now = now.withColumn("id", F.coalesce("id", -F.pmod(F.xxhash64("path"), F.lit(1 << 61)) - 1))
     now = cut(now.withColumn("digest", plain_digest(F.col("digest"))))  # one narrow snapshot for the ranges, what is done, and the rows
     if not ledger.generation():
         seen = last_logged(log, runs).where(F.col("action") != "deleted").drop("action")

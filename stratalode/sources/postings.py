@@ -52,7 +52,12 @@ def index_of(spark: SparkSession, folder: str, table: str, ident: str, text: str
     at = f"{folder}/{table}.parquet"
     store = Store(spark, f"{shared_folder(spark)}/keywords/{table}-{text}-{fingerprint(spark, at)}")
     if not store.current():
-        build(spark.read.parquet(at).select(ident, text), store, ident, text)
+        try:
+            build(spark.read.parquet(at).select(ident, text), store, ident, text)
+        except RuntimeError:
+            if not store.current():
+                raise
+            # another session built the same index first: that one serves
     return store
 
 

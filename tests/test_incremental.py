@@ -128,15 +128,15 @@ LOG = "log_id bigint, run_no int, path string, digest string, action string"
 def test_changed_paths(spark):
     docs = [
         (1, "same", "10:1", "AB", 0, ""), (2, "other", "10:1", "cd", 0, ""), (3, "new", "10:1", "ef", 0, ""), (4, "gone", "10:1", "aa", 0, ""), (5, "failed", "10:1", "bb", 0, ""),
-        (6, "late", "20:1", "x2", 0, ""), (7, "late", "10:1", "x1", 0, ""), (8, "back", "5:1", "y1", 0, ""), (8, "back", "5:1", "y1", 0, ""), (9, None, "1:1", "z", 0, ""), (10, "nodigest", "1:1", None, 0, ""), (11, "badstamp", "zz", "q", 0, ""),
+        (6, "late", "20:1", "x2", 0, ""), (7, "late", "10:1", "x1", 0, ""), (8, "back", "5:1", "y1", 0, ""), (8, "back", "5:1", "y1", 0, ""), (9, None, "1:1", "z", 0, ""), (10, "nodigest", "1:1", None, 0, ""), (11, "badstamp", "zz", "q", 0, ""), (None, "nonumber", "1:1", "n", 0, ""), (None, "knownnonumber", "1:1", "k", 0, ""),
     ]
     log = [
         (1, 1, "same", "sha256:ab", "scanned"), (2, 1, "same", "sha256:ab", "scanned"), (3, 1, "other", "cc", "scanned"), (4, 1, "gone", "aa", "scanned"), (5, 2, "gone", "aa", "deleted"),
-        (6, 3, "failed", "bb", "scanned"), (7, 1, "late", "x1", "scanned"), (8, 2, "late", "X2", "scanned"), (9, 2, "back", "y1", "scanned"), (10, 1, "back", "y0", "scanned"), (11, None, "new", "ef", "scanned"), (12, 1, None, "z", "scanned"), (13, 1, "badstamp", "Q", "scanned"),
+        (6, 3, "failed", "bb", "scanned"), (7, 1, "late", "x1", "scanned"), (8, 2, "late", "X2", "scanned"), (9, 2, "back", "y1", "scanned"), (10, 1, "back", "y0", "scanned"), (11, None, "new", "ef", "scanned"), (12, 1, None, "z", "scanned"), (13, 1, "badstamp", "Q", "scanned"), (14, 1, "knownnonumber", "K", "scanned"),
     ]
     runs = spark.createDataFrame([(1, "ready"), (2, "ready"), (3, "failed"), (None, "ready")], "run_no int, state string")
     got = inc.changed_paths(spark.createDataFrame(docs, DOCS), spark.createDataFrame(log, LOG), runs)
-    assert sorted(r.path for r in got.collect()) == ["failed", "gone", "new", "nodigest", "other"]
+    assert sorted(r.path for r in got.collect()) == ["failed", "gone", "new", "nodigest", "nonumber", "other"]
 
 
 def test_changed_paths_with_a_lasting_ledger(spark, tmp_path):
